@@ -64,11 +64,13 @@ def recursive_score(
     inputs: str = "inputs",
     low: float | None = None,
     high: float | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Long table ``keys, step, name`` of ``steps`` predictions per trajectory.
+    """Long table ``keys, step, carry, name`` of ``steps`` predictions per trajectory.
 
     ``features`` maps the values so far (an array, newest last) and the inputs of a step (a
-    struct) to the model's features, which decides how predictions become lags.
+    struct) to the model's features, which decides how predictions become lags. ``carry``
+    names inputs to return with the predictions.
     """
     keys = names(keys)
     carried = trajectories.select(*keys, F.col(inputs).alias("_in"), F.col(seed).alias("_past"))
@@ -78,7 +80,9 @@ def recursive_score(
         value = clip(PREDICTION, low, high)
         carried = scored.select(*keys, "_in", F.concat("_past", F.array(value)).alias("_past"))
     new = F.slice("_past", F.size("_past") - (steps - 1), steps)
-    return carried.select(*keys, F.posexplode(new).alias("step", name))
+    rows = carried.select(*keys, "_in", F.posexplode(new).alias("step", name))
+    given = [F.col("_in")[F.col("step")][c].alias(c) for c in carry]
+    return rows.select(*keys, "step", *given, name)
 
 
 def attach_seed(

@@ -109,13 +109,12 @@ def forecast_months(
     steps = steps.select(*keys, F.col("pos").alias("step"), F.col("col").alias(time))
     steps = steps.withColumns(fourier_terms(month_index(time), config.period_months))
     phase = ["sin_11yr", "cos_11yr", "sin_5p5yr", "cos_5p5yr"]
-    inputs = step_arrays(steps, keys, "step", phase)
+    inputs = step_arrays(steps, keys, "step", [time, *phase])
     seeds = seed_array(monthly, keys, time, "ssn", SEED_MONTHS)
     ready = join_same(inputs, seeds.where(F.size("seed") >= SEED_MONTHS), keys)
-    scored = recursive_score(
-        model, ready, keys, config.months_ahead, features, "ssn", low=0.0
+    return recursive_score(
+        model, ready, keys, config.months_ahead, features, "ssn", low=0.0, carry=[time]
     )
-    return join_same(scored, steps.select(*keys, "step", time), [*keys, "step"])
 
 
 def cycle_phase(

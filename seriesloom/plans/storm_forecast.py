@@ -63,12 +63,14 @@ def step_inputs(
     and time, then joined to all trajectories.
     """
     keys, trajectory = names(keys), names(trajectory)
-    out = rolling(scenarios, "bz_gsm", 3, "bz_min", [*keys, *trajectory], "step", agg=F.min)
     if history is None:
-        out = out.withColumn("kp_lag_27d", F.lit(QUIET_KP))
+        out = scenarios.withColumn("kp_lag_27d", F.lit(QUIET_KP))
     else:
-        out = join_same(out, recurrence_by_time(scenarios, history, keys, time), [*keys, time], "left")
+        past = recurrence_by_time(scenarios, history, keys, time)
+        out = join_same(scenarios, past, [*keys, time], "left")
         out = out.withColumn("kp_lag_27d", F.coalesce("kp_lag_27d", F.lit(QUIET_KP)))
+    # Last, because the arrays that follow need the same partitioning.
+    out = rolling(out, "bz_gsm", 3, "bz_min", [*keys, *trajectory], "step", agg=F.min)
     made = {
         "speed_mean": F.col("speed"),
         "density_mean": F.col("density"),
@@ -115,14 +117,20 @@ def forecast_storms(
     """``keys, trajectory, step, time, kp`` by feeding each prediction back as a lag."""
     keys, trajectory = names(keys), names(trajectory)
     inputs = step_inputs(scenarios, history, keys, trajectory, time)
-    arrays = step_arrays(inputs, [*keys, *trajectory], "step", STEP_INPUTS)
+    arrays = step_arrays(inputs, [*keys, *trajectory], "step", [time, *STEP_INPUTS])
     seeds = seed_array(observed_kp, keys, time, "Kp", 3)
     ready = attach_seed(arrays, seeds, keys, 3, QUIET_KP)
-    scored = recursive_score(
-        model, ready, [*keys, *trajectory], steps, storm_features, "kp", low=0.0, high=9.0
+    return recursive_score(
+        model,
+        ready,
+        [*keys, *trajectory],
+        steps,
+        storm_features,
+        "kp",
+        low=0.0,
+        high=9.0,
+        carry=[time],
     )
-    when = inputs.select(*keys, *trajectory, "step", time)
-    return join_same(scored, when, [*keys, *trajectory, "step"])
 
 
 def storm_outlook(
