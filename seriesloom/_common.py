@@ -15,6 +15,14 @@ def names(value: str | Iterable[str] | None) -> list[str]:
     return [value] if isinstance(value, str) else list(value)
 
 
+def series_keys(value: str | Iterable[str]) -> list[str]:
+    """Keys of an operator that joins tables of series, which takes at least one."""
+    keys = names(value)
+    if not keys:
+        raise ValueError("name at least one key column; a single series needs a constant one")
+    return keys
+
+
 def col(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
@@ -38,9 +46,28 @@ def from_micros(value: Column) -> Column:
     return F.timestamp_micros(value).cast("timestamp_ntz")
 
 
+def floor_div(value: Column, size: int) -> Column:
+    """Whole-number division that rounds down, without a detour over doubles."""
+    divisor = F.lit(size).cast("long")
+    return F.call_function("div", value - F.pmod(value, divisor), divisor)
+
+
 def time_chunk(time: str | Column, span: str) -> Column:
     """Index of the fixed-length slice of time that a row falls in."""
-    return F.floor(micros(time) / F.lit(span_us(span)))
+    return floor_div(micros(time), span_us(span))
+
+
+def keyed(value: Column, keys: Sequence[str], *more: Column) -> Column:
+    """``value``, or a failed job where a key is NULL: such a row belongs to no series, and
+    the joins of the series operators would lose it without a word."""
+    parts = [*[F.col(k) for k in keys], *more]
+    if not parts:
+        return value
+    unusable = parts[0].isNull()
+    for part in parts[1:]:
+        unusable = unusable | part.isNull()
+    message = F.lit("series operators need keys and order columns without NULL")
+    return F.when(unusable, F.raise_error(message).cast("long")).otherwise(value)
 
 
 def require_utc(df: DataFrame) -> None:
@@ -55,7 +82,11 @@ def over(keys: Sequence[str], *order: str | Column) -> WindowSpec:
 
 
 def join_same(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join on same-named columns in which NULL keys match, keeping the left copy of the keys."""
+    """Equi-join on same-named columns in which NULL keys match, keeping the left copy of the keys.
+
+    For tables of groups, whose keys may be NULL. A plain ``join`` is better between series:
+    it can reuse the partitioning of a window or an aggregation on the same keys.
+    """
     renamed = right.select(
         *[F.col(c).alias(f"__r_{c}") for c in on],
         *[c for c in right.columns if c not in on],

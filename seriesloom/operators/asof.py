@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom._common import join_same, micros, names, over, require_utc, span_us, time_chunk
+from seriesloom._common import keyed, micros, names, over, require_utc, span_us, time_chunk
 
 
 def neighbours(
@@ -39,14 +39,14 @@ def neighbours(
         F.struct(*carried).alias("_probe"),
         F.lit(None).cast(history.select(point.alias("p")).schema["p"].dataType).alias("_hist"),
         micros(probe_time).alias("_us"),
-        time_chunk(probe_time, span).alias("_chunk"),
+        keyed(time_chunk(probe_time, span), keys).alias("_chunk"),
     )
     right = history.where(F.col(history_time).isNotNull()).select(
         *keys,
         F.lit(None).cast(left.schema["_probe"].dataType).alias("_probe"),
         point.alias("_hist"),
         micros(history_time).alias("_us"),
-        time_chunk(history_time, span).alias("_chunk"),
+        keyed(time_chunk(history_time, span), keys).alias("_chunk"),
     )
     axis = left.unionByName(right).withColumn("_side", F.col("_probe").isNotNull())
 
@@ -74,7 +74,7 @@ def neighbours(
         F.last("_hist", ignorenulls=True).over(rising.rowsBetween(*to_here)).alias("_lo"),
         F.last("_hist", ignorenulls=True).over(falling.rowsBetween(*to_here)).alias("_hi"),
     ).where("_side")
-    out = join_same(local, edges, [*keys, "_chunk"], "left")
+    out = local.join(edges, [*keys, "_chunk"], "left")
     return out.select(
         *keys,
         *[F.col("_probe")[c].alias(c) for c in carried],

@@ -14,7 +14,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom._common import join_same, names
+from seriesloom._common import names
 from seriesloom.config import STORM_KP, TreeSettings
 from seriesloom.functions.clean import clip
 from seriesloom.operators.clean import require_columns
@@ -104,7 +104,7 @@ def cross_validate(
     pairs = reduce(DataFrame.unionByName, scored)
     errors = regression_scores(pairs, label, PREDICTION, "fold")
     events = contingency(pairs, label, PREDICTION, threshold, "fold").select("fold", "csi")
-    return join_same(errors, events, ["fold"])
+    return errors.join(events, "fold")
 
 
 def fold_summary(scores: DataFrame, columns: Sequence[str] = ("mae", "r2", "csi")) -> DataFrame:
@@ -157,7 +157,7 @@ def permutation_importance(
     other = numbered(spread, 1).select(
         "_repeat", "_pos", *[F.col(f).alias(f"_other_{f}") for f in features]
     )
-    paired = join_same(own, other, ["_repeat", "_pos"])
+    paired = own.join(other, ["_repeat", "_pos"])
     variants = F.array(
         *[
             F.struct(

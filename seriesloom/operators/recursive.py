@@ -14,7 +14,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom._common import join_same, names
+from seriesloom._common import names, series_keys
 from seriesloom.functions.clean import clip
 from seriesloom.operators.model import PREDICTION
 from seriesloom.operators.windows import tail_rows
@@ -94,5 +94,5 @@ def attach_seed(
     seed: str = "seed",
 ) -> DataFrame:
     """Join the seed of each series to its trajectories and pad short or missing ones."""
-    joined = join_same(trajectories, seeds, names(keys), "left")
+    joined = trajectories.join(seeds, series_keys(keys), "left")
     return joined.withColumn(seed, left_pad(seed, rows, default))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom._common import from_micros, interval, join_same, micros, names, require_utc, span_us
+from seriesloom._common import floor_div, from_micros, interval, micros, names, require_utc, span_us
 
 
 def resample(
@@ -41,8 +41,8 @@ def grid(df: DataFrame, time: str, every: str, keys: str | Sequence[str] = ()) -
     width = span_us(every)
     per_slice = 1024
     ends = df.groupBy(*keys).agg(
-        F.min(F.floor(micros(time) / width)).alias("_lo"),
-        F.max(F.floor(micros(time) / width)).alias("_hi"),
+        F.min(floor_div(micros(time), width)).alias("_lo"),
+        F.max(floor_div(micros(time), width)).alias("_hi"),
     )
     slices = ends.where("_lo is not null").select(
         *keys, "_hi", F.explode(F.sequence("_lo", "_hi", F.lit(per_slice))).alias("_from")
@@ -62,7 +62,7 @@ def resample_full(
     """As :func:`resample`, with a row of NULLs for each empty bucket inside a series' range."""
     keys = names(keys)
     filled = resample(df, time, every, aggs, keys)
-    return join_same(grid(filled, time, every, keys), filled, [*keys, time], "left")
+    return grid(filled, time, every, keys).join(filled, [*keys, time], "left")
 
 
 def lookback_join(
@@ -79,4 +79,4 @@ def lookback_join(
     shifted = history.select(
         *keys, (F.col(time) + interval(back)).alias(time), F.col(value).alias(name)
     )
-    return join_same(df, shifted, [*keys, time], "left")
+    return df.join(shifted, [*keys, time], "left")

@@ -20,7 +20,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from seriesloom._common import col, join_same, names, over, require_utc, time_chunk
+from seriesloom._common import col, floor_div, keyed, names, over, require_utc, time_chunk
 
 BLOCK_ROWS = 65_536
 
@@ -39,9 +39,11 @@ def number_rows(
     the local position in the chunk plus the rows in all earlier chunks; only the table of
     chunk counts, one row per series and chunk, is ever ordered as a whole.
     ``order`` has to be unique within a series for the numbering to be repeatable.
+
+    The join at the end finds the rows already partitioned and sorted by series and chunk.
     """
     keys = names(keys)
-    cut = df.withColumn("_chunk", chunk)
+    cut = df.withColumn("_chunk", keyed(chunk, keys, chunk))
     counts = cut.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.select(
         *keys,
@@ -52,11 +54,11 @@ def number_rows(
     local = cut.withColumn(
         "_local", F.row_number().over(over([*keys, "_chunk"], *[col(o) for o in order])) - 1
     )
-    out = join_same(local, starts, [*keys, "_chunk"])
+    out = local.join(starts, [*keys, "_chunk"])
     out = out.withColumn(name, F.col("_start") + F.col("_local"))
     if total:
         out = out.withColumn(total, F.col("_total"))
-    return out.drop("_chunk", "_local", "_start", "_total")
+    return out.select(*df.columns, *[c for c in (name, total) if c])
 
 
 def _blocks(
@@ -71,11 +73,11 @@ def _blocks(
     """Rows in blocks with their neighbours; ``_own`` marks the rows a block reports."""
     require_utc(df)
     numbered = number_rows(df, keys, [time], time_chunk(time, span), "_pos")
-    pos, size = F.col("_pos"), F.lit(block_rows)
-    low = F.floor(F.greatest(pos - F.lit(after), F.lit(0)) / size)
-    high = F.floor((pos + F.lit(before)) / size)
+    pos = F.col("_pos")
+    low = floor_div(F.greatest(pos - F.lit(after), F.lit(0)), block_rows)
+    high = floor_div(pos + F.lit(before), block_rows)
     spread = numbered.withColumn("_block", F.explode(F.sequence(low, high)))
-    spread = spread.withColumn("_own", F.col("_block") == F.floor(pos / size))
+    spread = spread.withColumn("_own", F.col("_block") == floor_div(pos, block_rows))
     return spread, Window.partitionBy(*keys, "_block").orderBy("_pos")
 
 
@@ -167,7 +169,8 @@ def ffill(
         w = over(keys, time)
         return df.withColumns({c: last_value(c, w) for c in columns})
     require_utc(df)
-    cut = df.withColumn("_chunk", time_chunk(time, span))
+    chunk = time_chunk(time, span)
+    cut = df.withColumn("_chunk", keyed(chunk, keys, chunk))
     ends = cut.groupBy(*keys, "_chunk").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(time))).alias(c) for c in columns]
     )
@@ -179,7 +182,7 @@ def ffill(
     )
     w = over([*keys, "_chunk"], time)
     filled = cut.withColumns({c: last_value(c, w) for c in columns})
-    out = join_same(filled, carried, [*keys, "_chunk"], "left")
+    out = filled.join(carried, [*keys, "_chunk"], "left")
     out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"_carry_{c}")) for c in columns})
     return out.select(*df.columns)
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom._common import join_same, names
+from seriesloom._common import names
 from seriesloom.operators.stats import describe
 
 
@@ -43,4 +43,4 @@ def aligned(
 ) -> DataFrame:
     """Rows for the times that all feeds share."""
     on = [*names(keys), time]
-    return reduce(lambda left, right: join_same(left, right, on), feeds)
+    return reduce(lambda left, right: left.join(right, on), feeds)

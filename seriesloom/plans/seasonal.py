@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom._common import join_same, names, over
+from seriesloom._common import names, over, series_keys
 from seriesloom.config import MONTHLY_LAGS, SEASONAL_FEATURES, SeasonalConfig, StormConfig
 from seriesloom.functions.domain import (
     activity_tier,
@@ -103,7 +103,7 @@ def forecast_months(
     features=scoring_features,
 ) -> DataFrame:
     """``keys, step, time, ssn``: the coming months of each series with at least 36 of them."""
-    keys = names(keys)
+    keys = series_keys(keys)
     last = monthly.where(F.col("ssn").isNotNull()).groupBy(*keys).agg(F.max(time).alias("_last"))
     steps = last.select(*keys, F.posexplode(mid_month_axis(F.col("_last"), config.months_ahead)))
     steps = steps.select(*keys, F.col("pos").alias("step"), F.col("col").alias(time))
@@ -111,7 +111,7 @@ def forecast_months(
     phase = ["sin_11yr", "cos_11yr", "sin_5p5yr", "cos_5p5yr"]
     inputs = step_arrays(steps, keys, "step", [time, *phase])
     seeds = seed_array(monthly, keys, time, "ssn", SEED_MONTHS)
-    ready = join_same(inputs, seeds.where(F.size("seed") >= SEED_MONTHS), keys)
+    ready = inputs.join(seeds.where(F.size("seed") >= SEED_MONTHS), keys)
     return recursive_score(
         model, ready, keys, config.months_ahead, features, "ssn", low=0.0, carry=[time]
     )
@@ -132,7 +132,7 @@ def cycle_phase(
     forecast ones. The level is that of the last of these rows, so it describes a time ahead
     of the observations; ``at_last_observed`` takes the last observed month instead.
     """
-    keys = names(keys)
+    keys = series_keys(keys)
     seen = monthly.select(*keys, time, "ssn", F.lit(True).alias("_observed"))
     ahead = forecast.where(F.col("step") < months_ahead)
     ahead = ahead.select(*keys, time, "ssn", F.lit(False).alias("_observed"))
@@ -146,7 +146,7 @@ def cycle_phase(
         F.min(F.when(in_cycle, F.col("level"))).alias("_lo"),
         F.max(F.when(in_cycle, F.col("level"))).alias("_hi"),
     )
-    out = join_same(current, extremes, keys)
+    out = current.join(extremes, keys)
     out = out.withColumns(
         {
             "_lo": F.coalesce("_lo", F.lit(0.0)),

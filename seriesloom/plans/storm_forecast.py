@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom._common import interval, join_same, names
+from seriesloom._common import interval, names
 from seriesloom.config import QUIET_KP, RECURRENCE, STORM_FEATURES, STORM_KP, StormConfig
 from seriesloom.functions.clean import finite_or_zero
 from seriesloom.functions.domain import coupling, equinox_term, ram_pressure, southward_field
@@ -67,7 +67,7 @@ def step_inputs(
         out = scenarios.withColumn("kp_lag_27d", F.lit(QUIET_KP))
     else:
         past = recurrence_by_time(scenarios, history, keys, time)
-        out = join_same(scenarios, past, [*keys, time], "left")
+        out = scenarios.join(past, [*keys, time], "left")
         out = out.withColumn("kp_lag_27d", F.coalesce("kp_lag_27d", F.lit(QUIET_KP)))
     # Last, because the arrays that follow need the same partitioning.
     out = rolling(out, "bz_gsm", 3, "bz_min", [*keys, *trajectory], "step", agg=F.min)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom._common import interval, join_same, names
+from seriesloom._common import interval, names
 from seriesloom.config import QUIET_KP, RECURRENCE, STORM_FEATURES, STORM_LAGS
 from seriesloom.functions.domain import coupling, equinox_term, ram_pressure, southward_field
 from seriesloom.operators.asof import asof_nearest
@@ -62,11 +62,10 @@ def live_frame(
     """
     keys = names(keys)
     wanted = ["speed", "density", "by_gsm", "bz_gsm", "bt"]
-    both = join_same(
-        plasma.select(*keys, time, "speed", "density"),
-        mag.select(*keys, time, "by_gsm", "bz_gsm", "bt"),
-        [*keys, time],
-    ).na.drop("any", subset=wanted)
+    both = plasma.select(*keys, time, "speed", "density").join(
+        mag.select(*keys, time, "by_gsm", "bz_gsm", "bt"), [*keys, time]
+    )
+    both = both.na.drop("any", subset=wanted)
     frame = with_physics(bucket_means(both, keys, time), time)
 
     short = {n: k for n, k in STORM_LAGS.items() if n != "kp_lag_27d"}
@@ -74,7 +73,7 @@ def live_frame(
         frame = frame.withColumns({n: F.lit(QUIET_KP) for n in short})
     else:
         on_grid = resample(kp, time, BUCKET, [F.avg("Kp").alias("Kp")], keys)
-        frame = join_same(frame, on_grid, [*keys, time], "left")
+        frame = frame.join(on_grid, [*keys, time], "left")
         frame = lags_filled(frame, "Kp", short, keys, time, QUIET_KP).drop("Kp")
 
     if history is None:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom._common import join_same, names
+from seriesloom._common import series_keys
 from seriesloom.functions.timeaxis import iso_time
 
 
@@ -26,7 +26,7 @@ def forecast_arrays(
 ) -> DataFrame:
     """One ``forecast`` struct per series: times, a map of arrays by scenario, and arrays of the
     per-step columns. Arrays are as long as the forecast horizon."""
-    keys = names(keys)
+    keys = series_keys(keys)
     per_scenario = by_scenario.groupBy(*keys, "scenario").agg(
         ordered_array(step, F.col(value)).alias("_values")
     )
@@ -40,7 +40,7 @@ def forecast_arrays(
         ordered_array(step, iso_time("time_tag")).alias("_times"),
         *[ordered_array(step, F.col(c)).alias(c) for c in columns],
     )
-    both = join_same(arrays, maps, keys)
+    both = arrays.join(maps, keys)
     forecast = F.struct(
         F.col("_times").alias("times"), F.col("_by_scenario").alias("by_scenario"), *columns
     )

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seriesloom._common import join_same
 from seriesloom.functions.domain import coupling
 from seriesloom.operators import stats
 from seriesloom.operators.ensemble import with_weights
@@ -52,7 +51,7 @@ def bucket_grid(spark, sf_dir):
     FROM plasma JOIN mag USING (series_id, time_tag) GROUP BY 1, 2""",
 )
 def mean_of_minute_coupling(spark, sf_dir):
-    both = join_same(plasma(spark, sf_dir), mag(spark, sf_dir), ["series_id", "time_tag"])
+    both = plasma(spark, sf_dir).join(mag(spark, sf_dir), ["series_id", "time_tag"])
     value = r(F.avg(coupling("speed", "bt", "by_gsm", "bz_gsm")), 2)
     return resample(both, "time_tag", "3 hours", [value.alias("coupling_mean")], "series_id")
 
@@ -153,7 +152,7 @@ def mean_across_columns(spark, sf_dir):
 
 @query("join_two_feeds", "SELECT series_id, time_tag, speed, density, temperature, by_gsm, bz_gsm, bt FROM plasma JOIN mag USING (series_id, time_tag)")
 def join_two_feeds(spark, sf_dir):
-    return join_same(plasma(spark, sf_dir), mag(spark, sf_dir), ["series_id", "time_tag"])
+    return plasma(spark, sf_dir).join(mag(spark, sf_dir), ["series_id", "time_tag"])
 
 
 THREE = """(SELECT series_id, time_tag, speed, bz_gsm, "Kp" FROM
@@ -176,7 +175,7 @@ def join_three_feeds(spark, sf_dir):
 )
 def left_join_on_bucket(spark, sf_dir):
     p = resample(plasma(spark, sf_dir), "time_tag", "3 hours", [F.max("speed").alias("v")], "series_id")
-    return join_same(p, kp(spark, sf_dir), ["series_id", "time_tag"], "left")
+    return p.join(kp(spark, sf_dir), ["series_id", "time_tag"], "left")
 
 
 @query(
@@ -188,7 +187,7 @@ def left_join_on_bucket(spark, sf_dir):
 def buckets_with_target(spark, sf_dir):
     aggs = [F.avg("speed").alias("speed_mean")]
     p = resample(plasma(spark, sf_dir), "time_tag", "3 hours", aggs, "series_id")
-    out = join_same(p, kp(spark, sf_dir), ["series_id", "time_tag"]).na.drop("any")
+    out = p.join(kp(spark, sf_dir), ["series_id", "time_tag"]).na.drop("any")
     return out.withColumn("speed_mean", r("speed_mean"))
 
 

@@ -72,10 +72,8 @@ FILL = f"""(SELECT g.series_id, g.time_tag, v_mean FROM (SELECT series_id, unnes
 
 
 def _with_holes(spark, sf_dir):
-    from seriesloom._common import join_same
-
     g = gappy(spark, sf_dir).select("series_id", "time_tag", "v_mean")
-    return join_same(grid(g, "time_tag", "3 hours", "series_id"), g, ["series_id", "time_tag"], "left")
+    return grid(g, "time_tag", "3 hours", "series_id").join(g, ["series_id", "time_tag"], "left")
 
 
 @query(

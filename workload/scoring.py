@@ -217,11 +217,9 @@ def equal_accuracy_test(spark, sf_dir):
     SELECT series_id AS event_type, time_tag, y FROM pairs)) a JOIN (SELECT 'error' AS series_id, time_tag, max("Kp") AS "Kp" FROM kp GROUP BY 2) b USING (series_id, time_tag)""",
 )
 def forecast_pairs(spark, sf_dir):
-    from seriesloom._common import join_same
-
     seen = pairs(spark, sf_dir).select("series_id", "time_tag", F.col("y").alias("kp_true"))
     made = kp(spark, sf_dir).groupBy("time_tag").agg(F.max("Kp").alias("kp_pred"))
-    return join_same(seen, made.withColumn("series_id", F.lit("error")), ["series_id", "time_tag"])
+    return seen.join(made.withColumn("series_id", F.lit("error")), ["series_id", "time_tag"])
 
 
 @query(
