@@ -96,13 +96,13 @@ def describe_by_series(spark, sf_dir):
 
 @query(
     "null_counts",
-    """SELECT 'a' AS "column", count(*) - count(CASE WHEN event_id % 3 <> 0 THEN value END) AS nulls, count(*) AS "rows" FROM events
+    """SELECT 'a' AS "column", count(*) - count(CASE WHEN event_type <> 'click' THEN value END) AS nulls, count(*) AS "rows" FROM events
     UNION ALL SELECT 'value', count(*) - count(value), count(*) FROM events
     UNION ALL SELECT 'props', count(*) - count(props), count(*) FROM events""",
 )
 def null_counts(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
-    ev = ev.withColumn("a", F.when(F.col("event_id") % 3 != 0, F.col("value")))
+    ev = ev.withColumn("a", F.when(F.col("event_type") != "click", F.col("value")))
     return stats.null_profile(ev, ["a", "value", "props"])
 
 
@@ -142,11 +142,11 @@ def peak_month(spark, sf_dir):
 @query(
     "mean_across_columns",
     f"""SELECT event_id, {R('CASE WHEN a IS NULL AND b IS NULL THEN NULL WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE (a + b) / 2 END')} AS mean
-    FROM (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN value END AS a, CASE WHEN event_id % 4 <> 0 THEN value * 2 END AS b FROM events)""",
+    FROM (SELECT event_id, CASE WHEN event_type NOT IN ('click', 'view') THEN value END AS a, CASE WHEN event_type NOT IN ('view', 'error') THEN value * 2 END AS b FROM events)""",
 )
 def mean_across_columns(spark, sf_dir):
-    a = F.when(F.col("event_id") % 3 != 0, F.col("value"))
-    b = F.when(F.col("event_id") % 4 != 0, F.col("value") * 2)
+    a = F.when(~F.col("event_type").isin("click", "view"), F.col("value"))
+    b = F.when(~F.col("event_type").isin("view", "error"), F.col("value") * 2)
     return table(spark, sf_dir, "events").select("event_id", r(stats.row_mean(a, b)).alias("mean"))
 
 

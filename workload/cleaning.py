@@ -13,22 +13,22 @@ from workload.series import ev3h_by_type, events, gappy, kp, table
 
 @query(
     "coerce_numbers",
-    """SELECT event_id, TRY_CAST(CASE WHEN event_id % 5 = 0 THEN 'bad' ELSE CAST(value AS VARCHAR) END AS DOUBLE) AS value
+    """SELECT event_id, TRY_CAST(CASE WHEN event_type = 'error' THEN 'bad' ELSE CAST(value AS VARCHAR) END AS DOUBLE) AS value
     FROM events""",
 )
 def coerce_numbers(spark, sf_dir):
-    text = F.when(F.col("event_id") % 5 == 0, "bad").otherwise(F.col("value").cast("string"))
+    text = F.when(F.col("event_type") == "error", "bad").otherwise(F.col("value").cast("string"))
     return table(spark, sf_dir, "events").select("event_id", c.to_number(text).alias("value"))
 
 
 @query(
     "parse_times",
-    """SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN date_trunc('second', ts) END AS at,
-    CASE WHEN event_id % 7 <> 0 THEN date_trunc('second', ts) - INTERVAL 2 HOUR END AS shifted FROM events""",
+    """SELECT event_id, CASE WHEN event_type <> 'signup' THEN date_trunc('second', ts) END AS at,
+    CASE WHEN event_type <> 'signup' THEN date_trunc('second', ts) - INTERVAL 2 HOUR END AS shifted FROM events""",
 )
 def parse_times(spark, sf_dir):
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
-    text = F.when(F.col("event_id") % 7 == 0, "no time").otherwise(stamp)
+    text = F.when(F.col("event_type") == "signup", "no time").otherwise(stamp)
     return table(spark, sf_dir, "events").select(
         "event_id",
         c.to_time(text).alias("at"),
@@ -41,26 +41,27 @@ def parse_times(spark, sf_dir):
     f"""SELECT event_id, CASE WHEN abs(v - 999.9e0) > 1e-8 + 1e-5 * 999.9e0 THEN v END AS density,
     CASE WHEN abs(s - 9999.0e0) > 1e-8 + 1e-5 * 9999.0e0 AND abs(s - 99999.9e0) > 1e-8 + 1e-5 * 99999.9e0 THEN s END AS speed
     FROM (SELECT event_id,
-      CASE event_id % 6 WHEN 0 THEN 999.9e0 WHEN 1 THEN 999.905e0 WHEN 2 THEN 999.95e0 ELSE value END AS v,
-      CASE event_id % 6 WHEN 3 THEN 9999.0e0 WHEN 4 THEN 99999.9e0 WHEN 5 THEN 9999.2e0 ELSE value END AS s FROM events)""",
+      CASE event_type WHEN 'click' THEN 999.9e0 WHEN 'error' THEN 999.905e0 WHEN 'view' THEN 999.95e0 ELSE value END AS v,
+      CASE event_type WHEN 'click' THEN 9999.0e0 WHEN 'signup' THEN 99999.9e0 WHEN 'purchase' THEN 9999.2e0 ELSE value END AS s FROM events)""",
 )
 def sentinels_to_null(spark, sf_dir):
-    m = F.col("event_id") % 6
-    v = F.when(m == 0, 999.9).when(m == 1, 999.905).when(m == 2, 999.95).otherwise(F.col("value"))
-    s = F.when(m == 3, 9999.0).when(m == 4, 99999.9).when(m == 5, 9999.2).otherwise(F.col("value"))
+    kind, value = F.col("event_type"), F.col("value")
+    v = F.when(kind == "click", 999.9).when(kind == "error", 999.905).when(kind == "view", 999.95)
+    s = F.when(kind == "click", 9999.0).when(kind == "signup", 99999.9).when(kind == "purchase", 9999.2)
+    v, s = v.otherwise(value), s.otherwise(value)
     df = table(spark, sf_dir, "events").select("event_id", v.alias("density"), s.alias("speed"))
     return clean.null_sentinels(df, {"density": (999.9,), "speed": (9999.0, 99999.9)})
 
 
-HOLES = """SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN value END AS a,
-    CASE WHEN event_id % 4 <> 0 THEN value END AS b FROM events"""
+HOLES = """SELECT event_id, CASE WHEN event_type NOT IN ('click', 'view') THEN value END AS a,
+    CASE WHEN event_type NOT IN ('view', 'error') THEN value END AS b FROM events"""
 
 
 def _holes(spark, sf_dir):
     return table(spark, sf_dir, "events").select(
         "event_id",
-        F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("a"),
-        F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("b"),
+        F.when(~F.col("event_type").isin("click", "view"), F.col("value")).alias("a"),
+        F.when(~F.col("event_type").isin("view", "error"), F.col("value")).alias("b"),
     )
 
 
@@ -80,15 +81,16 @@ def drop_all_null(spark, sf_dir):
 
 
 def _delivered_twice(spark, sf_dir):
-    """Every row again from a later snapshot, every fourth with another value the second time."""
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "value")
-    again = F.when(F.col("event_id") % 4 == 0, F.col("value") + 1.0).otherwise(F.col("value"))
+    """Every row again from a later snapshot, purchases with another value the second time."""
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "value", "event_type")
+    again = F.when(F.col("event_type") == "purchase", F.col("value") + 1.0).otherwise(F.col("value"))
     first = ev.withColumn("snapshot", F.lit(1))
-    return first.unionByName(ev.withColumn("value", again).withColumn("snapshot", F.lit(2)))
+    both = first.unionByName(ev.withColumn("value", again).withColumn("snapshot", F.lit(2)))
+    return both.drop("event_type")
 
 
 TWICE = """SELECT event_id, ts, value, 1 AS snapshot FROM events UNION ALL
-    SELECT event_id, ts, CASE WHEN event_id % 4 = 0 THEN value + 1.0 ELSE value END, 2 FROM events"""
+    SELECT event_id, ts, CASE WHEN event_type = 'purchase' THEN value + 1.0 ELSE value END, 2 FROM events"""
 
 
 @query("dedupe_whole_rows", f"SELECT DISTINCT event_id, ts, value FROM ({TWICE})")
@@ -130,11 +132,12 @@ def clip_values(spark, sf_dir):
 
 @query(
     "unusable_to_zero",
-    "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN value ELSE 0.0 END AS value FROM events",
+    "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN value ELSE 0.0 END AS value FROM events",
 )
 def unusable_to_zero(spark, sf_dir):
-    m = F.col("event_id") % 4
-    broken = F.when(m == 1, F.lit(float("nan"))).when(m == 2, F.lit(float("inf"))).when(m == 0, F.col("value"))
+    kind = F.col("event_type")
+    broken = F.when(kind == "error", F.lit(float("nan"))).when(kind == "signup", F.lit(float("inf")))
+    broken = broken.when(kind.isin("click", "view"), F.col("value"))
     return table(spark, sf_dir, "events").select("event_id", c.finite_or_zero(broken).alias("value"))
 
 

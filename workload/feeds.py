@@ -41,7 +41,7 @@ def _land_tables(df: DataFrame, header: list[str], label: str) -> str:
 
 def _plasma_rows(spark, sf_dir) -> DataFrame:
     q = _quarter_hours(spark, sf_dir)
-    bad = F.col("n") % 2 == 0
+    bad = F.hour("time_tag") < 6
     return q.select(
         F.col("time_tag").alias("_at"),
         F.date_format("time_tag", "yyyy-MM-dd HH:mm:ss").alias("time_tag"),
@@ -53,7 +53,7 @@ def _plasma_rows(spark, sf_dir) -> DataFrame:
 
 @query(
     "scan_header_json",
-    f"""SELECT time_tag, CAST(n AS DOUBLE) AS density, speed, CASE WHEN n % 2 = 1 THEN temperature END AS temperature
+    f"""SELECT time_tag, CAST(n AS DOUBLE) AS density, speed, CASE WHEN hour(time_tag) >= 6 THEN temperature END AS temperature
     FROM {QUARTER}""",
 )
 def scan_header_json(spark, sf_dir):
@@ -64,17 +64,16 @@ def scan_header_json(spark, sf_dir):
 
 @query(
     "scan_header_json_drop_empty",
-    f"""SELECT CASE WHEN n % 7 <> 0 THEN time_tag END AS time_tag, CAST(n AS DOUBLE) AS density, speed,
-    CASE WHEN n % 2 = 1 THEN temperature END AS temperature FROM {QUARTER} WHERE n % 5 <> 0""",
+    f"""SELECT CASE WHEN minute(time_tag) < 45 THEN time_tag END AS time_tag, CAST(n AS DOUBLE) AS density, speed,
+    CASE WHEN hour(time_tag) >= 6 THEN temperature END AS temperature FROM {QUARTER} WHERE hour(time_tag) <> 12""",
 )
 def scan_header_json_drop_empty(spark, sf_dir):
-    """Another column order, unreadable times, and rows without any value."""
+    """Another column order, unreadable times, and an hour of the day without any value."""
     rows = _plasma_rows(spark, sf_dir)
-    count = F.col("density").cast("int")
-    emptied = {c: F.when(count % 5 != 0, F.col(c)).otherwise("x") for c in ("speed", "temperature")}
-    time = F.when(count % 7 != 0, F.col("time_tag")).otherwise("not a time")
-    density = F.when(count % 5 != 0, F.col("density")).otherwise("x")
-    rows = rows.withColumns({**emptied, "time_tag": time, "density": density})
+    silent = F.hour("_at") == 12
+    columns = {c: F.when(silent, "x").otherwise(F.col(c)) for c in ("density", "speed", "temperature")}
+    time = F.when(F.minute("_at") < 45, F.col("time_tag")).otherwise("not a time")
+    rows = rows.withColumns({**columns, "time_tag": time})
     path = _land_tables(rows, ["speed", "time_tag", "temperature", "density"], "plasma")
     return json_feeds.read_header_json(spark, path, ["density", "speed", "temperature"], drop_all_null=True)
 
@@ -162,10 +161,10 @@ def _land_archive(spark, sf_dir) -> str:
         1: F.dayofyear("day").cast("string"),
         2: (F.col("n") % 24).cast("string"),
         9: text["bt"],
-        15: F.when(F.col("n") % 11 == 0, "999.9").otherwise((F.col("n") / 2).cast("string")),
+        15: F.when(F.dayofmonth("day") == 11, "999.9").otherwise((F.col("n") / 2).cast("string")),
         16: text["bz"],
-        23: F.when(F.col("n") % 13 == 0, "n/a").otherwise(text["n"]),
-        24: F.when(F.col("n") % 7 == 0, "9999.").otherwise(text["speed"]),
+        23: F.when(F.dayofmonth("day") == 13, "n/a").otherwise(text["n"]),
+        24: F.when(F.dayofmonth("day") == 7, "9999.").otherwise(text["speed"]),
         38: text["kp10"],
     }
     lines = d.select(F.year("day").alias("in_year"), _archive_line(fields, 42).alias("value"))
@@ -178,7 +177,7 @@ def _land_archive(spark, sf_dir) -> str:
 
 
 ARCHIVE = f"""(SELECT day + to_hours(n % 24) AS time_tag, speed, CAST(n AS DOUBLE) AS density, n / 2 AS by_gsm, bz AS bz_gsm, bt,
-    kp10 / 10 AS kp FROM {DAILY} WHERE n % 7 <> 0 AND n % 11 <> 0 AND n % 13 <> 0)"""
+    kp10 / 10 AS kp FROM {DAILY} WHERE day(day) NOT IN (7, 11, 13))"""
 
 
 @query("scan_hourly_archive", f"SELECT * FROM {ARCHIVE}")
@@ -188,7 +187,7 @@ def scan_hourly_archive(spark, sf_dir):
 
 @query(
     "scan_short_archive",
-    f"SELECT day + to_hours(n % 24) AS time_tag, speed, CAST(n AS DOUBLE) AS density, bt, bz AS bz_gsm, kp10 / 10 AS kp FROM {DAILY} WHERE n % 7 <> 0",
+    f"SELECT day + to_hours(n % 24) AS time_tag, speed, CAST(n AS DOUBLE) AS density, bt, bz AS bz_gsm, kp10 / 10 AS kp FROM {DAILY} WHERE day(day) <> 7",
 )
 def scan_short_archive(spark, sf_dir):
     d = _daily(spark, sf_dir)
@@ -197,7 +196,7 @@ def scan_short_archive(spark, sf_dir):
         1: F.month("day").cast("string"),
         2: F.dayofmonth("day").cast("string"),
         3: (F.col("n") % 24).cast("string"),
-        6: F.when(F.col("n") % 7 == 0, "99999.9").otherwise(F.col("speed").cast("string")),
+        6: F.when(F.dayofmonth("day") == 7, "99999.9").otherwise(F.col("speed").cast("string")),
         7: F.col("n").cast("string"),
         9: F.col("bt").cast("string"),
         10: F.col("bz").cast("string"),
@@ -299,12 +298,12 @@ def metrics_store(spark, sf_dir):
 
 @query(
     "field_map_variants",
-    f"SELECT event_id, {R(K, 2)} AS k FROM events WHERE event_id % 4 <> 0",
+    f"SELECT event_id, {R(K, 2)} AS k FROM events WHERE event_type <> 'signup'",
 )
 def field_map_variants(spark, sf_dir):
     """A text feed with other field numbers; a field given as negative counts from the end."""
     ev = table(spark, sf_dir, "events")
-    k = F.when(F.col("event_id") % 4 == 0, "?").otherwise(k_of().cast("string"))
+    k = F.when(F.col("event_type") == "signup", "?").otherwise(k_of().cast("string"))
     path = fresh_path(spark, "fields")
     ev.select(F.concat_ws(" ", F.lit(" a"), F.col("event_id"), F.lit("b"), k).alias("value")).write.text(path)
     fields = {"event_id": (1, "bigint"), "k": (-1, "double")}

@@ -87,12 +87,12 @@ def forward_fill(spark, sf_dir):
 
 @query(
     "forward_fill_raw_events",
-    """SELECT event_id, last_value(CASE WHEN event_id % 9 = 0 THEN value END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts
+    """SELECT event_id, last_value(CASE WHEN value > 100 THEN value END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM events""",
 )
 def forward_fill_raw_events(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
-    ev = ev.withColumn("value", F.when(F.col("event_id") % 9 == 0, F.col("value")))
+    ev = ev.withColumn("value", F.when(F.col("value") > 100, F.col("value")))
     return windows.ffill(ev, "value", "event_type", "ts", span="1 hour").select("event_id", "value")
 
 
@@ -286,6 +286,14 @@ def asof_forward_past_the_end(spark, sf_dir):
     return out.select("series_id", "time_tag", F.coalesce("found", F.lit(2.0)).alias("found"))
 
 
+@query("asof_forward_strict", FORWARD.replace("97 hours 30 minutes", "4 days"))
+def asof_forward_strict(spark, sf_dir):
+    """Probes on the grid: next to an outage the following row is exactly 3 hours away."""
+    probes, past = _probes(spark, sf_dir, "4 days")
+    out = asof.asof_forward(probes, past, "probe", "at", "v_mean", "found", "series_id", "3 hours")
+    return out.select("series_id", "time_tag", F.coalesce("found", F.lit(2.0)).alias("found"))
+
+
 @query(
     "recurrence_boost",
     f"""SELECT p.series_id, count(h."Kp") AS found, {R('CASE WHEN avg(h."Kp") IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, (avg(h."Kp") - 3) / 4)) END')} AS boost

@@ -64,11 +64,16 @@ view(
 
 
 def gappy(spark, sf_dir) -> DataFrame:
-    """Buckets with an odd row count only: a series with holes at any scale."""
-    return ev3h_by_type(spark, sf_dir).where(F.col("n") % 2 == 1)
+    """The same series without the buckets of a weekly outage, Mondays from 6 to 12 o'clock."""
+    hour = F.hour("time_tag")
+    outage = (F.dayofweek("time_tag") == 2) & (hour >= 6) & (hour < 12)
+    return ev3h_by_type(spark, sf_dir).where(~outage)
 
 
-view("gappy", "SELECT * FROM ev3h_by_type WHERE n % 2 = 1")
+view(
+    "gappy",
+    "SELECT * FROM ev3h_by_type WHERE NOT (isodow(time_tag) = 1 AND hour(time_tag) >= 6 AND hour(time_tag) < 12)",
+)
 
 
 def plasma(spark, sf_dir) -> DataFrame:
