@@ -30,8 +30,9 @@ def minute_floor(time: str | Column) -> Column:
 
 
 def day_of_year_time(year: Column, day: Column, hour: Column) -> Column:
-    """Time from year, 1-based day of year and hour; NULL for a year out of range."""
-    first = F.try_make_timestamp_ntz(year, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    """Time from year, 1-based day of year and hour; NULL outside the years 1 to 9999."""
+    usable = F.when(year.between(1, 9999), year)
+    first = F.try_make_timestamp_ntz(usable, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
     return first + F.make_dt_interval(day - 1, hour)
 
 

@@ -40,7 +40,9 @@ def number_rows(
     chunk counts, one row per series and chunk, is ever ordered as a whole.
     ``order`` has to be unique within a series for the numbering to be repeatable.
 
-    The join at the end finds the rows already partitioned and sorted by series and chunk.
+    The join at the end finds the rows already partitioned and sorted by series and chunk. It
+    is a left join, because an inner one would filter out rows with a NULL key before the
+    check for them.
     """
     keys = names(keys)
     cut = df.withColumn("_chunk", keyed(chunk, keys, chunk))
@@ -54,7 +56,7 @@ def number_rows(
     local = cut.withColumn(
         "_local", F.row_number().over(over([*keys, "_chunk"], *[col(o) for o in order])) - 1
     )
-    out = local.join(starts, [*keys, "_chunk"])
+    out = local.join(starts, [*keys, "_chunk"], "left")
     out = out.withColumn(name, F.col("_start") + F.col("_local"))
     if total:
         out = out.withColumn(total, F.col("_total"))
