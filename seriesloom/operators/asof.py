@@ -2,9 +2,13 @@
 
 Spark's DataFrame API has no as-of join. Both sides are put on one time axis and cut into
 slices of time; inside a slice a running ``last`` finds the history row before or after each
-probe. Slices without a nearer row take it from a small table that holds the first and last
-history row of every slice. No pairs are formed, no task sees more than one slice of one
-series, and the result does not depend on the slice length.
+probe. No pairs are formed, no task sees more than one slice of one series, and the result
+does not depend on the slice length.
+
+With a tolerance, history rows that lie within it of a slice boundary are copied into the
+next slice as well, so one exchange of probes and history is all there is. Without one, the
+nearest row may be any number of slices away; a table with the first and last history row of
+every slice then supplies it.
 
 History times must be unique within a series; use ``clean.dedupe`` first where they are not.
 """
@@ -16,89 +20,87 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom._common import keyed, micros, names, over, require_utc, span_us, time_chunk
+from seriesloom._common import (
+    floor_div,
+    keyed,
+    micros,
+    names,
+    over,
+    require_utc,
+    span_us,
+    time_chunk,
+)
+
+SPAN = "30 days"
+
+
+def _point(at: Column, value: Column) -> Column:
+    return F.struct(at.alias("at"), value.alias("value"))
 
 
-def neighbours(
+def _axis(
     probes: DataFrame,
-    history: DataFrame,
+    marks: DataFrame,
     probe_time: str,
-    history_time: str,
-    value: str,
-    keys: str | Sequence[str] = (),
-    span: str = "30 days",
+    keys: list[str],
+    span: str,
 ) -> DataFrame:
-    """Add ``_prev`` and ``_next``: structs ``(at, value)`` of the history rows at or before,
-    and at or after, each probe. ``at`` is in microseconds."""
-    require_utc(probes)
-    keys = names(keys)
+    """Probes and marks as rows ``keys, _probe, <marks>, _us, _chunk, _side``.
+
+    ``marks`` has the keys, its own columns, and ``_us`` and ``_chunk``. It sorts ahead of
+    probes of the same time, as ``_side`` is true for probes.
+    """
     carried = [c for c in probes.columns if c not in keys]
-    point = F.struct(micros(history_time).alias("at"), F.col(value).alias("value"))
     left = probes.select(
         *keys,
         F.struct(*carried).alias("_probe"),
-        F.lit(None).cast(history.select(point.alias("p")).schema["p"].dataType).alias("_hist"),
         micros(probe_time).alias("_us"),
         keyed(time_chunk(probe_time, span), keys).alias("_chunk"),
+        F.lit(True).alias("_side"),
     )
-    right = history.where(F.col(history_time).isNotNull()).select(
-        *keys,
-        F.lit(None).cast(left.schema["_probe"].dataType).alias("_probe"),
-        point.alias("_hist"),
-        micros(history_time).alias("_us"),
-        keyed(time_chunk(history_time, span), keys).alias("_chunk"),
-    )
-    axis = left.unionByName(right).withColumn("_side", F.col("_probe").isNotNull())
+    return left.unionByName(marks.withColumn("_side", F.lit(False)), allowMissingColumns=True)
 
-    # Primitive aggregates only, so that this stays a hash aggregation.
-    at = F.when(~F.col("_side"), F.col("_us"))
-    slices = axis.groupBy(*keys, "_chunk").agg(
-        *_edge(F.min, F.min_by, at, "_first"), *_edge(F.max, F.max_by, at, "_last")
-    )
-    slices = slices.select(*keys, "_chunk", _point("_first"), _point("_last"))
-    along = over(keys, "_chunk")
-    back = over(keys, F.col("_chunk").desc())
-    so_far = (Window.unboundedPreceding, -1)
-    edges = slices.select(
-        *keys,
-        "_chunk",
-        F.last("_last", ignorenulls=True).over(along.rowsBetween(*so_far)).alias("_before"),
-        F.last("_first", ignorenulls=True).over(back.rowsBetween(*so_far)).alias("_after"),
+
+def _run(keys: list[str], column: str, falling: bool = False) -> Column:
+    """The last value of ``column`` so far, along a slice or against it."""
+    us = F.col("_us").desc() if falling else F.col("_us")
+    w = over([*keys, "_chunk"], us, F.col("_side"))
+    return F.last(column, ignorenulls=True).over(
+        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    # History rows sort ahead of probes of the same time in both directions.
-    rising = over([*keys, "_chunk"], F.col("_us"), F.col("_side"))
-    falling = over([*keys, "_chunk"], F.col("_us").desc(), F.col("_side"))
-    to_here = (Window.unboundedPreceding, Window.currentRow)
-    local = axis.select(
-        "*",
-        F.last("_hist", ignorenulls=True).over(rising.rowsBetween(*to_here)).alias("_lo"),
-        F.last("_hist", ignorenulls=True).over(falling.rowsBetween(*to_here)).alias("_hi"),
-    ).where("_side")
-    out = local.join(edges, [*keys, "_chunk"], "left")
-    return out.select(
-        *keys,
-        *[F.col("_probe")[c].alias(c) for c in carried],
-        F.col("_us").alias("_us"),
-        F.coalesce("_lo", "_before").alias("_prev"),
-        F.coalesce("_hi", "_after").alias("_next"),
+
+
+def _history(history: DataFrame, time: str, value: str, keys: list[str], name: str) -> DataFrame:
+    rows = history.where(F.col(time).isNotNull())
+    return rows.select(
+        *keys, _point(micros(time), F.col(value)).alias(name), micros(time).alias("_us")
     )
 
 
-def _edge(pick, pick_by, at: Column, name: str) -> list[Column]:
-    return [
-        pick(at).alias(f"{name}_at"),
-        pick_by(F.col("_hist.value"), at).alias(f"{name}_value"),
-    ]
+def _within_reach(rows: DataFrame, keys: list[str], span: str, back: int, ahead: int) -> DataFrame:
+    """Copies of a row for every slice that has times up to ``back`` before or ``ahead`` after it."""
+    size = span_us(span)
+    low, high = (floor_div(F.col("_us") + F.lit(d), size) for d in (-back, ahead))
+    return rows.withColumn("_chunk", F.explode(F.sequence(keyed(low, keys), high)))
 
 
-def _point(name: str) -> Column:
-    point = F.struct(F.col(f"{name}_at").alias("at"), F.col(f"{name}_value").alias("value"))
-    return F.when(F.col(f"{name}_at").isNotNull(), point).alias(name)
+def _answer(
+    found: DataFrame, probes: DataFrame, keys: list[str], chosen: Column, keep: Column, name: str
+) -> DataFrame:
+    carried = [c for c in probes.columns if c not in keys]
+    out = found.select(
+        *keys,
+        *[F.col("_probe")[c].alias(c) for c in carried],
+        F.when(keep, chosen).alias("_hit"),
+    )
+    return out.select(*probes.columns, F.col("_hit.value").alias(name))
 
 
-def _finish(found: DataFrame, probes: DataFrame, chosen: Column, keep: Column, name: str) -> DataFrame:
-    picked = found.withColumn("_hit", F.when(keep, chosen))
-    return picked.select(*probes.columns, F.col("_hit.value").alias(name))
+def _nearer() -> Column:
+    down = F.col("_us") - F.col("_prev.at")
+    up = F.col("_next.at") - F.col("_us")
+    take_next = F.col("_prev").isNull() | (up <= down)
+    return F.when(take_next, F.col("_next")).otherwise(F.col("_prev"))
 
 
 def asof_nearest(
@@ -110,19 +112,25 @@ def asof_nearest(
     name: str,
     keys: str | Sequence[str] = (),
     tolerance: str | None = None,
-    span: str = "30 days",
+    span: str = SPAN,
 ) -> DataFrame:
     """Nearest history row in either direction; the later one when both are equally far.
 
     A distance equal to ``tolerance`` still counts. Without a tolerance every distance does.
     """
-    found = neighbours(probes, history, probe_time, history_time, value, keys, span)
-    down = F.col("_us") - F.col("_prev.at")
-    up = F.col("_next.at") - F.col("_us")
-    chosen = F.when(F.col("_prev").isNull() | (up <= down), F.col("_next")).otherwise(F.col("_prev"))
-    reach = F.abs(F.col("_us") - chosen["at"])
-    keep = reach.isNotNull() if tolerance is None else reach <= span_us(tolerance)
-    return _finish(found, probes, chosen, keep, name)
+    require_utc(probes)
+    keys = names(keys)
+    points = _history(history, history_time, value, keys, "_hist")
+    if tolerance is None:
+        found = _neighbours_at_any_distance(probes, points, probe_time, keys, span)
+        return _answer(found, probes, keys, _nearer(), F.lit(True), name)
+    reach = span_us(tolerance)
+    axis = _axis(probes, _within_reach(points, keys, span, reach, reach), probe_time, keys, span)
+    found = axis.select(
+        "*", _run(keys, "_hist").alias("_prev"), _run(keys, "_hist", True).alias("_next")
+    ).where("_side")
+    near = F.abs(F.col("_us") - _nearer()["at"]) <= reach
+    return _answer(found, probes, keys, _nearer(), near, name)
 
 
 def asof_forward(
@@ -134,16 +142,63 @@ def asof_forward(
     name: str,
     keys: str | Sequence[str] = (),
     tolerance: str = "3 hours",
-    span: str = "30 days",
+    span: str = SPAN,
 ) -> DataFrame:
     """First history row at or after the probe, or the last row for a probe past the end.
 
     The distance has to be smaller than ``tolerance``.
     """
-    found = neighbours(probes, history, probe_time, history_time, value, keys, span)
+    require_utc(probes)
+    keys = names(keys)
+    reach = span_us(tolerance)
+    points = _history(history, history_time, value, keys, "_hist")
+    # Hash aggregation to one row per series: where its history ends.
+    ends = points.groupBy(*keys).agg(
+        F.max("_us").alias("_us"), F.max_by(F.col("_hist.value"), F.col("_us")).alias("_v")
+    )
+    ends = ends.where("_us is not null").select(
+        *keys, _point(F.col("_us"), F.col("_v")).alias("_end"), "_us"
+    )
+    marks = _within_reach(points, keys, span, reach, 0).unionByName(
+        _within_reach(ends, keys, span, 0, reach), allowMissingColumns=True
+    )
+    axis = _axis(probes, marks, probe_time, keys, span)
+    found = axis.select(
+        "*", _run(keys, "_end").alias("_prev"), _run(keys, "_hist", True).alias("_next")
+    ).where("_side")
     chosen = F.coalesce(F.col("_next"), F.col("_prev"))
-    keep = F.abs(F.col("_us") - chosen["at"]) < span_us(tolerance)
-    return _finish(found, probes, chosen, keep, name)
+    return _answer(found, probes, keys, chosen, F.abs(F.col("_us") - chosen["at"]) < reach, name)
+
+
+def _neighbours_at_any_distance(
+    probes: DataFrame, points: DataFrame, probe_time: str, keys: list[str], span: str
+) -> DataFrame:
+    axis = _axis(probes, _within_reach(points, keys, span, 0, 0), probe_time, keys, span)
+    # Primitive aggregates only, so that this stays a hash aggregation.
+    at, value = F.when(~F.col("_side"), F.col("_us")), F.col("_hist.value")
+    slices = axis.groupBy(*keys, "_chunk").agg(
+        F.min(at).alias("_a"),
+        F.min_by(value, at).alias("_av"),
+        F.max(at).alias("_z"),
+        F.max_by(value, at).alias("_zv"),
+    )
+    first, last = (
+        F.when(F.col(t).isNotNull(), _point(F.col(t), F.col(v))) for t, v in (("_a", "_av"), ("_z", "_zv"))
+    )
+    earlier = over(keys, "_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    later = over(keys, F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    edges = slices.select(
+        *keys,
+        "_chunk",
+        F.last(last, ignorenulls=True).over(earlier).alias("_before"),
+        F.last(first, ignorenulls=True).over(later).alias("_after"),
+    )
+    local = axis.select(
+        "*", _run(keys, "_hist").alias("_lo"), _run(keys, "_hist", True).alias("_hi")
+    ).where("_side")
+    return local.join(edges, [*keys, "_chunk"], "left").withColumns(
+        {"_prev": F.coalesce("_lo", "_before"), "_next": F.coalesce("_hi", "_after")}
+    )
 
 
 def recurrence_boost(

@@ -13,56 +13,65 @@ QUARTILES = (0.25, 0.5, 0.75)
 SKETCH_ACCURACY = 10_000
 
 
-def _long(df: DataFrame, columns: Sequence[str], keys: list[str]) -> DataFrame:
-    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
-    out = df.select(*keys, F.explode(F.array(*pairs)).alias("_p"))
-    return out.select(*keys, "_p.column", "_p.value").where("value is not null")
+def _doubles(df: DataFrame, columns: Sequence[str], keys: list[str]) -> DataFrame:
+    return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
 
 
-def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float] = QUARTILES,
-    keys: str | Sequence[str] = (),
-    accuracy: int = SKETCH_ACCURACY,
-) -> DataFrame:
-    """Linearly interpolated quantiles: one row per key, column and ``prob``.
-
-    Spark's exact ``percentile`` gathers all distinct values of a group in one task. Here a
-    mergeable sketch first gives, for each quantile, two values that enclose it. One pass
-    counts the rows below them; only the rows between them, about ``4 / accuracy`` of all,
-    are grouped by value and put in order. The answer is exact whatever the sketch returned
-    inside its error bound.
-    """
-    keys = names(keys)
-    by = [*keys, "column"]
-    long = _long(df, columns, keys)
+def _sketch(column: str, probs: Sequence[float], accuracy: int) -> Column:
+    """For each quantile, values a little below and a little above it."""
     margin = 2.0 / accuracy
     probes = [p for q in probs for p in (max(q - margin, 0.0), min(q + margin, 1.0))]
-    sketch = long.groupBy(*by).agg(
-        F.percentile_approx("value", probes, accuracy).alias("_s"), F.count("value").alias("_n")
-    )
-    brackets = F.array(
-        *[
+    return F.percentile_approx(column, probes, accuracy).alias(f"_s_{column}")
+
+
+def _unfold(df: DataFrame, keys: list[str], rows: Sequence[Column]) -> DataFrame:
+    return df.select(*keys, F.explode(F.array(*rows)).alias("_r")).select(*keys, "_r.*")
+
+
+def _refine(
+    rows: DataFrame, sketch: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: list[str]
+) -> DataFrame:
+    """Exact quantiles from the sketch table ``keys, _n_<column>, _s_<column>``."""
+    if keys:
+        placed = join_same(rows, sketch, keys)
+    else:
+        placed = rows.withColumn("_k", sketch.select(F.struct("*")).scalar()).select(*columns, "_k.*")
+    targets = [(c, i, float(q)) for c in columns for i, q in enumerate(probs)]
+
+    def ends(c: str, i: int) -> tuple[Column, Column]:
+        return F.col(f"_s_{c}")[2 * i], F.col(f"_s_{c}")[2 * i + 1]
+
+    aggs = [F.first(f"_n_{c}").alias(f"_n_{c}") for c in columns]
+    hits = []
+    for j, (c, i, q) in enumerate(targets):
+        v, (lo, hi) = F.col(c), ends(c, i)
+        aggs += [
+            F.count_if(v < lo).alias(f"_below{j}"),
+            F.max(F.when(v < lo, v)).alias(f"_under{j}"),
+            F.min(F.when(v > hi, v)).alias(f"_above{j}"),
+        ]
+        hit = F.struct(F.lit(c).alias("column"), F.lit(q).alias("prob"), v.alias("value"))
+        hits.append(((v >= lo) & (v <= hi), hit))
+    sides = _unfold(
+        placed.groupBy(*keys).agg(*aggs),
+        keys,
+        [
             F.struct(
-                F.lit(float(q)).alias("prob"),
-                F.col("_s")[2 * i].alias("lo"),
-                F.col("_s")[2 * i + 1].alias("hi"),
+                F.lit(c).alias("column"),
+                F.lit(q).alias("prob"),
+                F.col(f"_n_{c}").alias("_n"),
+                *[F.col(f"{n}{j}").alias(n) for n in ("_below", "_under", "_above")],
             )
-            for i, q in enumerate(probs)
-        ]
-    )
-    sketch = sketch.select(*by, "_n", brackets.alias("_b"))
-    placed = join_same(long, sketch, by).select(*by, "value", "_n", F.explode("_b").alias("_q"))
-    placed = placed.select(*by, "value", "_n", "_q.*")
-    group = [*by, "prob"]
-    sides = placed.groupBy(*group).agg(
-        F.first("_n").alias("_n"),
-        F.count_if(F.col("value") < F.col("lo")).alias("_below"),
-        F.max(F.when(F.col("value") < F.col("lo"), F.col("value"))).alias("_under"),
-        F.min(F.when(F.col("value") > F.col("hi"), F.col("value"))).alias("_above"),
-    )
-    inside = placed.where("value between lo and hi").groupBy(*group, "value").agg(
+            for j, (c, _, q) in enumerate(targets)
+        ],
+    ).where("_n > 0")
+    # Most rows lie in no bracket and go no further than this filter.
+    any_hit = hits[0][0]
+    for condition, _ in hits[1:]:
+        any_hit = any_hit | condition
+    group = [*keys, "column", "prob"]
+    inside = _unfold(placed.where(any_hit), keys, [F.when(c, h) for c, h in hits])
+    inside = inside.where("prob is not null").groupBy(*group, "value").agg(
         F.count(F.lit(1)).alias("_c")
     )
     run = Window.partitionBy(*group).orderBy("value")
@@ -87,24 +96,50 @@ def exact_quantiles(
     return picked.select(*group, (low + (high - low) * F.col("_part")).alias("quantile"))
 
 
+def exact_quantiles(
+    df: DataFrame,
+    columns: Sequence[str],
+    probs: Sequence[float] = QUARTILES,
+    keys: str | Sequence[str] = (),
+    accuracy: int = SKETCH_ACCURACY,
+) -> DataFrame:
+    """Linearly interpolated quantiles: one row per key, column and ``prob``.
+
+    Spark's exact ``percentile`` gathers all distinct values of a group in one task. Here a
+    mergeable sketch first gives, for each quantile, two values that enclose it. One pass
+    counts the rows below them; only the rows between them, about ``4 / accuracy`` of all,
+    are grouped by value and put in order. The answer is exact whatever the sketch returned
+    inside its error bound.
+    """
+    keys = names(keys)
+    rows = _doubles(df, columns, keys)
+    sketch = rows.groupBy(*keys).agg(
+        *[F.count(c).alias(f"_n_{c}") for c in columns], *[_sketch(c, probs, accuracy) for c in columns]
+    )
+    return _refine(rows, sketch, columns, probs, keys)
+
+
 def describe(df: DataFrame, columns: Sequence[str], keys: str | Sequence[str] = ()) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles, one row per column."""
     keys = names(keys)
     by = [*keys, "column"]
-    base = _long(df, columns, keys).groupBy(*by).agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    rows = _doubles(df, columns, keys)
+    stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    wide = rows.groupBy(*keys).agg(
+        *[f(c).alias(f"_{n}_{c}") for c in columns for n, f in stats.items()]
+    )
+    base = _unfold(
+        wide,
+        keys,
+        [F.struct(F.lit(c).alias("column"), *[F.col(f"_{n}_{c}").alias(n) for n in stats]) for c in columns],
     )
-    wide = exact_quantiles(df, columns, QUARTILES, keys).groupBy(*by).agg(
+    quartiles = exact_quantiles(df, columns, QUARTILES, keys).groupBy(*by).agg(
         *[
             F.max(F.when(F.col("prob") == q, F.col("quantile"))).alias(n)
             for q, n in zip(QUARTILES, ("p25", "p50", "p75"))
         ]
     )
-    out = join_same(base, wide, by)
+    out = join_same(base, quartiles, by, "left")
     return out.select(*by, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
