@@ -17,11 +17,20 @@ def _doubles(df: DataFrame, columns: Sequence[str], keys: list[str]) -> DataFram
     return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
 
 
-def _sketch(column: str, probs: Sequence[float], accuracy: int) -> Column:
-    """For each quantile, values a little below and a little above it."""
+def _sketch(column: str, probs: Sequence[float], accuracy: int) -> list[Column]:
+    """Row count and, for each quantile, a value a little below and one a little above it.
+
+    The sketch is off by at most ``n / accuracy`` ranks, the values asked for by twice that.
+    From ``2 * accuracy`` rows on they therefore enclose both neighbours of the quantile.
+    Smaller groups are enclosed by their extremes.
+    """
     margin = 2.0 / accuracy
     probes = [p for q in probs for p in (max(q - margin, 0.0), min(q + margin, 1.0))]
-    return F.percentile_approx(column, probes, accuracy).alias(f"_s_{column}")
+    ends = F.array(*[f(column) for _ in probs for f in (F.min, F.max)])
+    near = F.percentile_approx(column, probes, accuracy)
+    n = F.count(column)
+    bracket = F.when(n < 2 * accuracy, ends).otherwise(near)
+    return [n.alias(f"_n_{column}"), bracket.alias(f"_s_{column}")]
 
 
 def _unfold(df: DataFrame, keys: list[str], rows: Sequence[Column]) -> DataFrame:
@@ -45,13 +54,9 @@ def _refine(
     hits = []
     for j, (c, i, q) in enumerate(targets):
         v, (lo, hi) = F.col(c), ends(c, i)
-        aggs += [
-            F.count_if(v < lo).alias(f"_below{j}"),
-            F.max(F.when(v < lo, v)).alias(f"_under{j}"),
-            F.min(F.when(v > hi, v)).alias(f"_above{j}"),
-        ]
+        aggs.append(F.count_if(v < lo).alias(f"_below{j}"))
         hit = F.struct(F.lit(c).alias("column"), F.lit(q).alias("prob"), v.alias("value"))
-        hits.append(((v >= lo) & (v <= hi), hit))
+        hits.append(F.when((v >= lo) & (v <= hi), hit))
     sides = _unfold(
         placed.groupBy(*keys).agg(*aggs),
         keys,
@@ -60,18 +65,13 @@ def _refine(
                 F.lit(c).alias("column"),
                 F.lit(q).alias("prob"),
                 F.col(f"_n_{c}").alias("_n"),
-                *[F.col(f"{n}{j}").alias(n) for n in ("_below", "_under", "_above")],
+                F.col(f"_below{j}").alias("_below"),
             )
             for j, (c, _, q) in enumerate(targets)
         ],
     ).where("_n > 0")
-    # Most rows lie in no bracket and go no further than this filter.
-    any_hit = hits[0][0]
-    for condition, _ in hits[1:]:
-        any_hit = any_hit | condition
     group = [*keys, "column", "prob"]
-    inside = _unfold(placed.where(any_hit), keys, [F.when(c, h) for c, h in hits])
-    inside = inside.where("prob is not null").groupBy(*group, "value").agg(
+    inside = _unfold(placed, keys, hits).where("prob is not null").groupBy(*group, "value").agg(
         F.count(F.lit(1)).alias("_c")
     )
     run = Window.partitionBy(*group).orderBy("value")
@@ -82,18 +82,16 @@ def _refine(
 
     def value_at(position: Column) -> Column:
         offset = position - F.col("_below")
-        return F.max(F.when((start <= offset) & (offset < end), F.col("value")))
+        found = F.max(F.when((start <= offset) & (offset < end), F.col("value")))
+        return F.coalesce(found, F.raise_error(F.lit("quantile outside its bracket")).cast("double"))
 
     picked = ranked.groupBy(*group).agg(
-        F.first("_under").alias("_under"),
-        F.first("_above").alias("_above"),
         F.first(at - F.floor(at)).alias("_part"),
         value_at(F.floor(at)).alias("_a"),
         value_at(F.ceil(at)).alias("_z"),
     )
-    low = F.coalesce("_a", "_under")
-    high = F.coalesce("_z", "_above")
-    return picked.select(*group, (low + (high - low) * F.col("_part")).alias("quantile"))
+    step = F.col("_z") - F.col("_a")
+    return picked.select(*group, (F.col("_a") + step * F.col("_part")).alias("quantile"))
 
 
 def exact_quantiles(
@@ -107,15 +105,12 @@ def exact_quantiles(
 
     Spark's exact ``percentile`` gathers all distinct values of a group in one task. Here a
     mergeable sketch first gives, for each quantile, two values that enclose it. One pass
-    counts the rows below them; only the rows between them, about ``4 / accuracy`` of all,
-    are grouped by value and put in order. The answer is exact whatever the sketch returned
-    inside its error bound.
+    counts the rows below them; only the rows between them, a share of about
+    ``4 / accuracy``, are grouped by value and put in order. The answer is exact.
     """
     keys = names(keys)
     rows = _doubles(df, columns, keys)
-    sketch = rows.groupBy(*keys).agg(
-        *[F.count(c).alias(f"_n_{c}") for c in columns], *[_sketch(c, probs, accuracy) for c in columns]
-    )
+    sketch = rows.groupBy(*keys).agg(*[a for c in columns for a in _sketch(c, probs, accuracy)])
     return _refine(rows, sketch, columns, probs, keys)
 
 
