@@ -50,6 +50,8 @@ def regressor(features: Sequence[str], label: str, settings: TreeSettings) -> Pi
 def fit(df: DataFrame, features: Sequence[str], label: str, settings: TreeSettings) -> PipelineModel:
     """Fit on all rows, one model for all series. Runs jobs."""
     require_columns(df, [*features, label])
+    if df.isEmpty():
+        raise ValueError("no rows to train on")
     shared_dir(df.sparkSession)
     return regressor(features, label, settings).fit(df.select(*features, label))
 

@@ -169,6 +169,23 @@ def spread(df: DataFrame, column: str, keys: str | Sequence[str] = ()) -> DataFr
     )
 
 
+def standardise(
+    df: DataFrame, columns: Sequence[str], keys: str | Sequence[str] = ()
+) -> DataFrame:
+    """Columns shifted to mean 0 and scaled by their population deviation; a constant becomes 0."""
+    keys = names(keys)
+    moments = df.groupBy(*keys).agg(
+        *[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_d_{c}") for c in columns]
+    )
+    if keys:
+        placed = join_same(df, moments, keys)
+    else:
+        placed = df.withColumn("_k", moments.select(F.struct("*")).scalar()).select(*df.columns, "_k.*")
+    scale = {c: F.when(F.col(f"_d_{c}") > 0, F.col(f"_d_{c}")).otherwise(F.lit(1.0)) for c in columns}
+    scaled = {c: (F.col(c) - F.col(f"_m_{c}")) / scale[c] for c in columns}
+    return placed.withColumns(scaled).select(*df.columns)
+
+
 def condition_share(
     df: DataFrame, conditions: dict[str, Column], keys: str | Sequence[str] = ()
 ) -> DataFrame:

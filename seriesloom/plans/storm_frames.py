@@ -41,8 +41,13 @@ def with_physics(df: DataFrame, time: str) -> DataFrame:
 
 def archive_frame(hourly: DataFrame, keys: str | Sequence[str], time: str = "time_tag") -> DataFrame:
     """Training frame: features and ``Kp``. Lags count rows, so a dropped bucket shifts them."""
+    return frame_of_means(bucket_means(hourly, keys, time, "kp"), keys, time)
+
+
+def frame_of_means(means: DataFrame, keys: str | Sequence[str], time: str = "time_tag") -> DataFrame:
+    """The training frame from the 3-hour means of the archive."""
     keys = names(keys)
-    frame = with_physics(bucket_means(hourly, keys, time, "kp"), time)
+    frame = with_physics(means, time)
     frame = lags(frame, {n: ("Kp", k) for n, k in STORM_LAGS.items()}, keys, time)
     return frame.select(*keys, time, *STORM_FEATURES, "Kp").na.drop("any")
 

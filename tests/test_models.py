@@ -204,3 +204,37 @@ def test_live_frame_needs_both_instruments(spark):
     past = spark.createDataFrame([("a", at(3, days=-27), 6.0)], "k string, time_tag timestamp_ntz, Kp double")
     out = storm_frames.live_frame(p, g, kp, past, "k")
     assert values(out, "kp_lag_3h", "kp_lag_6h", "kp_lag_27d", order="time_tag") == [(2.0, 2.0, 6.0), (3.5, 2.0, 6.0)]
+
+
+def test_no_training_rows(spark):
+    with pytest.raises(ValueError, match="no rows"):
+        m.fit(storm_table(spark).where("false"), STORM_FEATURES, "Kp", SMALL)
+
+
+def test_reports(spark):
+    """On the middle tables: the smallest have no series long enough for a 27-day lag."""
+    import json
+    import os
+
+    import __spark_entry__ as contract
+
+    data = "/root/testdata/sf0.01"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    storms = contract.queries()["storm_report"](spark, data).collect()
+    assert len(storms) >= 1
+    for row in storms:
+        doc = json.loads(row.document)
+        f = doc["forecast"]
+        assert len(f["times"]) == len(f["kp_weighted"]) == len(f["storm_prob_per_window"]) == 8
+        assert set(f["by_scenario"]) == {"Quiet", "Moderate", "Active"}
+        assert all(0 <= v <= 9 for a in f["by_scenario"].values() for v in a)
+        assert 0 <= max(f["storm_prob_per_window"]) * 100 <= doc["outlook"]["storm_prob_pct"] + 1e-9 <= 100
+        assert doc["metrics"]["test_count"] > 0 and doc["latest"]["category"]
+    months = contract.queries()["seasonal_report"](spark, data).collect()
+    assert len(months) == 25
+    for row in months:
+        doc = json.loads(row.document)
+        if "forecast" in doc:
+            assert len(doc["forecast"]["times"]) == 12
+            assert sum(doc["integration"]["recommended_scenario_weights"].values()) == pytest.approx(1.0, abs=0.002)

@@ -239,3 +239,16 @@ def feed_summaries(spark, sf_dir):
         "mag": mag(spark, sf_dir).select("time_tag", "bz_gsm"),
     }
     return _rounded(feed_review.summaries(feeds), "feed")
+
+
+@query(
+    "standardised_columns",
+    f"""SELECT series_id, time_tag, {R('(speed - avg(speed) OVER ()) / stddev_pop(speed) OVER ()')} AS speed,
+    {R('(bz_gsm - avg(bz_gsm) OVER ()) / stddev_pop(bz_gsm) OVER ()')} AS bz_gsm FROM hourly""",
+)
+def standardised_columns(spark, sf_dir):
+    from workload.series import hourly
+
+    df = hourly(spark, sf_dir).select("series_id", "time_tag", "speed", "bz_gsm")
+    out = stats.standardise(df, ["speed", "bz_gsm"])
+    return out.select("series_id", "time_tag", r("speed").alias("speed"), r("bz_gsm").alias("bz_gsm"))

@@ -11,10 +11,10 @@ from seriesloom.functions.timeaxis import time_axis
 from seriesloom.operators import model as m
 from seriesloom.operators import windows
 from seriesloom.operators.ensemble import exceedance_by_step
-from seriesloom.plans import seasonal, storm_forecast, storm_frames
+from seriesloom.plans import reports, seasonal, storm_forecast, storm_frames
 from seriesloom.session import fresh_path, written
 from workload.registry import query
-from workload.series import events, hourly, k_of, kp, monthly_by_nation, scenario_name
+from workload.series import events, hourly, k_of, kp, mag, monthly_by_nation, plasma, scenario_name
 
 # The settings a full run uses are the defaults of the config; fewer trees keep a check short.
 TREES = TreeSettings(trees=10)
@@ -158,3 +158,24 @@ def seasonal_scenario_weights(spark, sf_dir):
     ahead = seasonal.forecast_months(model, monthly, "series_id", SEASONAL)
     phase = seasonal.cycle_phase(monthly, ahead, "series_id", SEASONAL)
     return seasonal.recommended_weights(phase, "series_id")
+
+
+@query("storm_report")
+def storm_report(spark, sf_dir):
+    """The whole flow: feeds and archive to one document per station, as JSON text."""
+    feeds = {f.__name__: written(f(spark, sf_dir), f.__name__) for f in (plasma, mag, kp, hourly)}
+    draws = written(_trajectories(spark, sf_dir, STORM.steps), "draws")
+    inputs = ("speed", "density", "by_gsm", "bz_gsm", "bt")
+    paths = draws.groupBy("series_id", "scenario", "step", "time_tag").agg(*[F.avg(c).alias(c) for c in inputs])
+    out = reports.storm_report(
+        feeds["plasma"], feeds["mag"], feeds["kp"], feeds["hourly"], paths, draws,
+        "series_id", STORM, {"live": "events", "archive": "events"},
+    )
+    return out.select("series_id", F.to_json(F.struct("*")).alias("document"))
+
+
+@query("seasonal_report")
+def seasonal_report(spark, sf_dir):
+    """The monthly flow: one document per nation, as JSON text."""
+    out = reports.seasonal_report(monthly_by_nation(spark, sf_dir), "series_id", SEASONAL, "orders", STORM)
+    return out.select("series_id", F.to_json(F.struct("*")).alias("document"))
