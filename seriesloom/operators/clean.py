@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom._common import col, names
+from seriesloom._common import col, names, over
 from seriesloom.functions.clean import sentinel_to_null
 
 
@@ -37,15 +37,16 @@ def dedupe(
 ) -> DataFrame:
     """One row per ``keys``: the first or last by ``order``.
 
-    Grouped aggregation rather than a ranking window: every map task sends at most one row
-    per key, so a key with very many copies needs neither a sort nor a large group.
+    Spark applies the rank limit in every map task before it shuffles, so a key with very many
+    copies sends one row per task.
     """
     keys = names(keys)
     if keep not in ("first", "last"):
         raise ValueError("keep is 'first' or 'last'")
-    rest = [c for c in df.columns if c not in keys]
+    order = [col(o) for o in order]
     # All remaining columns end the ordering, so that ties give the same row on every run.
-    rank = F.struct(*[col(o) for o in order], *[F.col(c) for c in rest])
-    pick = F.min_by if keep == "first" else F.max_by
-    chosen = df.groupBy(*keys).agg(pick(F.struct(*rest), rank).alias("_row"))
-    return chosen.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
+    order += [F.col(c) for c in df.columns if c not in keys]
+    if keep == "last":
+        order = [o.desc() for o in order]
+    rank = F.row_number().over(over(keys, *order))
+    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")

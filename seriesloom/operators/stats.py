@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom._common import col, join_same, names
+from seriesloom._common import col, join_same, names, over
 
 QUARTILES = (0.25, 0.5, 0.75)
 SKETCH_ACCURACY = 10_000
@@ -200,9 +200,10 @@ def condition_share(
 def peak_row(df: DataFrame, value: str, time: str, keys: str | Sequence[str] = ()) -> DataFrame:
     """Largest value of each series and its time; the earliest one on a tie."""
     keys = names(keys)
-    best = F.max_by(time, F.struct(F.col(value), -F.unix_micros(F.col(time).cast("timestamp"))))
     known = df.where(F.col(value).isNotNull())
-    return known.groupBy(*keys).agg(best.alias("peak_time"), F.max(value).alias("peak_value"))
+    rank = F.row_number().over(over(keys, F.col(value).desc(), F.col(time)))
+    best = known.select(*keys, time, value, rank.alias("_rank")).where("_rank = 1")
+    return best.select(*keys, F.col(time).alias("peak_time"), F.col(value).alias("peak_value"))
 
 
 def row_mean(*columns: str | Column) -> Column:

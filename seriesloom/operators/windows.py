@@ -215,11 +215,11 @@ def tail_rows(df: DataFrame, rows: int, keys: str | Sequence[str], time: str) ->
 
 
 def last_row(df: DataFrame, keys: str | Sequence[str], time: str) -> DataFrame:
-    """The newest row of each series, by aggregation."""
+    """The newest row of each series; the other columns decide between rows of the same time."""
     keys = names(keys)
-    rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(time, *rest)).alias("_row"))
-    return best.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
+    rest = [F.col(c).desc() for c in df.columns if c not in (*keys, time)]
+    rank = F.row_number().over(over(keys, F.col(time).desc(), *rest))
+    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
 def index_fraction(
