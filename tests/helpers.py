@@ -10,16 +10,11 @@ def at(hours=0.0, days=0):
     return START + dt.timedelta(days=days, hours=hours)
 
 
-def frame(spark, rows, schema):
-    return spark.createDataFrame(rows, schema)
-
-
 def values(df, *columns, order=None):
-    """Rows as tuples, in the order of a column, or sorted."""
-    rows = [tuple(r[c] for c in columns) for r in df.select(*columns, *([order] if order else [])).collect()] if not order else [
-        tuple(r[c] for c in columns) for r in df.orderBy(order).collect()
-    ]
-    return rows if order else sorted(rows, key=lambda t: tuple((x is None, str(x)) for x in t))
+    """Rows as tuples: along a column, or sorted with missing values last."""
+    rows = (df.orderBy(order) if order else df).collect()
+    out = [tuple(row[c] for c in columns) for row in rows]
+    return out if order else sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
 def normal(df: pd.DataFrame):

@@ -10,7 +10,7 @@ from seriesloom.operators.ensemble import with_weights
 from seriesloom.operators.resample import grid, resample, resample_full
 from seriesloom.plans import feed_review
 from workload.registry import R, n, query, r
-from workload.series import draws, ev3h_by_type, events, gappy, kp, mag, monthly_by_nation, plasma, table
+from workload.series import draws, events, gappy, kp, mag, monthly_by_nation, plasma, table
 
 
 @query(
