@@ -245,10 +245,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def digest(found: DataFrame) -> DataFrame:
     """Counts per kind of plain span, and the spans as text."""
+    is_kind = lambda kind: lambda s: s.kind == kind
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
     return found.select(
         "doc_id",
-        *[F.size(F.filter("base", lambda s, k=kind: s.kind == k)).cast("long").alias(f"n_{kind}") for kind in KINDS],
+        *[F.size(F.filter("base", is_kind(kind))).cast("long").alias(f"n_{kind}") for kind in KINDS],
         F.sha2(text("base"), 256).alias("base_sha256"),
         text("spans").alias("spans"),
     )
