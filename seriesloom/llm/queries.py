@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import decontaminate, jaccard, langid, packing, pii
+from seriesloom.llm import decontaminate, fingerprint, jaccard, langid, packing, pii, urls
 from seriesloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,64 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text."""
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    return urls.judge(table(spark, sf_dir, "pages")).drop("score")
+
+
+LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def url_sql() -> str:
+    """The rules, the two models, the threshold and the verdicts of ``urls`` in SQL."""
+    k = urls.ORDER
+    ordered = sorted(urls.RULES, key=lambda x: -len(x[0]) - len(x[1]))
+    when = lambda pick: " ".join(
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{pick((h, p, v))}'" for h, p, v in ordered
+    )
+    levels = []
+    for i in range(k + 1):
+        below = f"JOIN l{i - 1} ON l{i - 1}.gram = substr(h.gram, 2)" if i else ""
+        last = (f"l{i - 1}.good_p", f"l{i - 1}.bad_p") if i else (f"1e0/{urls.ALPHABET}", f"1e0/{urls.ALPHABET}")
+        mixed = ", ".join(
+            f"CASE WHEN {c}_n > 0 THEN ({c} + {c}_t * {q}) / ({c}_n + {c}_t) ELSE {q} END AS {c}_p" for c, q in zip(("good", "bad"), last, strict=True)
+        )
+        levels.append(
+            f"""h{i} AS (SELECT substr(gram, {k + 1 - i}) AS gram, sum(good)::DOUBLE AS good, sum(bad)::DOUBLE AS bad FROM g GROUP BY 1),
+c{i} AS (SELECT substr(gram, 1, {i}) AS context, sum(good) AS good_n, sum(bad) AS bad_n, count(*) FILTER (good > 0) AS good_t,
+         count(*) FILTER (bad > 0) AS bad_t FROM h{i} GROUP BY 1),
+l{i} AS (SELECT h.gram, {mixed} FROM h{i} h JOIN c{i} ON c{i}.context = substr(h.gram, 1, {i}) {below})"""
+        )
+    half, q = urls.MOST_BINS // 2, ",\n"
+    return f"""
+WITH s AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {LOWER}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM s),
+r AS (SELECT *, CASE {when(lambda x: x[0] + x[1])} END AS rule, CASE {when(lambda x: x[2])} END AS said FROM p),
+t AS (SELECT host, path, count(*) FILTER (said = 'allow') AS good, count(*) FILTER (said = 'block') AS bad,
+      repeat(chr(2), {k}) || host || translate(path, {LOWER}) || chr(3) AS m FROM r GROUP BY host, path),
+e AS (SELECT host, path, good, bad, substr(m, i, {k + 1}) AS gram FROM (SELECT *, unnest(range(1, length(m) - {k} + 1)) AS i FROM t)),
+g AS (SELECT gram, sum(good) AS good, sum(bad) AS bad FROM e GROUP BY gram),
+{q.join(levels)},
+x AS (SELECT host, path, good, bad, round(sum(ln(good_p) - ln(bad_p)) / count(*), 9) AS score FROM e JOIN l{k} USING (gram) GROUP BY ALL),
+b AS (SELECT greatest(-{half}, least({half}, floor(score / {urls.BIN}))) AS bin, sum(good) AS good, sum(bad) AS bad FROM x GROUP BY 1),
+y AS (SELECT bin, round(coalesce(sum(bad) OVER w, 0) / sum(bad) OVER () - coalesce(sum(good) OVER w, 0) / sum(good) OVER (), 9) AS gain
+      FROM b WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+z AS (SELECT bin * {urls.BIN} AS least FROM y WHERE gain IS NOT NULL ORDER BY gain DESC, bin DESC LIMIT 1)
+SELECT page_id, r.host, r.path, rule, coalesce(said, CASE WHEN score >= coalesce((SELECT least FROM z), score) THEN 'allow' ELSE 'block' END) AS verdict
+FROM r JOIN x ON r.host = x.host AND r.path = x.path
+"""
+
+
+oracle("op3_url_filter", url_sql())
+
+
 @query
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learnt from four of five folds."""
