@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import decontaminate, fingerprint, jaccard, langid, packing, pii, urls
+from seriesloom.llm import classlm, decontaminate, fingerprint, jaccard, langid, packing, pii, urls
 from seriesloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,6 +128,12 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+@query
+def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and class model scores of every document."""
+    return classlm.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class and number of links of every document."""
