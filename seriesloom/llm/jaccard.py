@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesloom.llm.common import Out, rows
 from seriesloom.llm.components import components
@@ -197,9 +198,9 @@ def _verify(group: pd.DataFrame, threshold: Fraction) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["cls", "linked", "other"])
 
 
-def join(docs: DataFrame, n: int = WORDS, threshold: Fraction = THRESHOLD, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> DataFrame:
-    """One row per document: class_id (smallest id of all that are connected by links), copy_id
-    (smallest id with the same n-grams) and n_links (other documents at the threshold or above).
+def classes(docs: DataFrame, n: int = WORDS, threshold: Fraction = THRESHOLD, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> tuple[DataFrame, DataFrame]:
+    """(documents, classes): doc_id and cls of every row; of every class its number of documents
+    (docs), smallest id (first), component (root) and number of documents linked to it (linked).
 
     Runs jobs; intermediate tables go below the shared folder.
     """
@@ -208,15 +209,15 @@ def join(docs: DataFrame, n: int = WORDS, threshold: Fraction = THRESHOLD, recal
     signed = written(
         plain.mapInArrow(partial(_sign, n=n, bands=bands, width=width), "doc_id long, cls binary, grams long, bands array<long>"), "signed"
     )
-    classes = written(signed.groupBy("cls").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"), F.max("grams").alias("grams")), "classes")
+    classes_ = written(signed.groupBy("cls").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"), F.max("grams").alias("grams")), "classes")
     # one row of each class shows its bands: the one with the smallest id, as ids of a class may tie
-    shown = signed.join(classes.select("cls", "first"), "cls").where(F.col("doc_id").eqNullSafe(F.col("first")))
+    shown = signed.join(classes_.select("cls", "first"), "cls").where(F.col("doc_id").eqNullSafe(F.col("first")))
     banded = shown.select("cls", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where("hub <> last")
     stars = banded.join(hubs.select("band", "hub"), "band").where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
     found = components(stars)
     member = found.toDF("cls", "root").union(found.select("root", "root").distinct())
-    member = member.join(classes, "cls")
+    member = member.join(classes_, "cls")
     size = member.groupBy("root").agg(F.count("*").alias("sets"), F.sum("grams").alias("grams"))
     blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("long")
     asked = written(member.drop("grams").join(size.select("root", blocks.alias("blocks")), "root"), "asked")
@@ -244,17 +245,41 @@ def join(docs: DataFrame, n: int = WORDS, threshold: Fraction = THRESHOLD, recal
     counts = verified.where("other is null").groupBy("cls").agg(F.sum("linked").alias("linked"))
     group = components(verified.where("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b")))
     labelled = (
-        classes.join(group.toDF("cls", "root"), "cls", "left")
+        classes_.join(group.toDF("cls", "root"), "cls", "left")
         .join(counts, "cls", "left")
         .select("cls", "docs", "first", F.coalesce("root", "cls").alias("root"), F.coalesce("linked", F.lit(0)).alias("linked"))
     )
+    return signed.select("doc_id", "cls"), written(labelled, "labelled")
+
+
+def join(docs: DataFrame, **settings) -> DataFrame:
+    """One row per document: class_id (smallest id of all that are connected by links), copy_id
+    (smallest id with the same n-grams) and n_links (other documents at the threshold or above).
+
+    ``settings`` are those of ``classes``.
+    """
+    signed, labelled = classes(docs, **settings)
     smallest = labelled.groupBy("root").agg(F.min("first").alias("class_id"))
     facts = labelled.join(smallest, "root").select("cls", "class_id", F.col("first").alias("copy_id"), (F.col("docs") - 1 + F.col("linked")).alias("n_links"))
-    return signed.select("doc_id", "cls").join(facts, "cls").select("doc_id", "class_id", "copy_id", "n_links")
+    return signed.join(facts, "cls").select("doc_id", "class_id", "copy_id", "n_links")
+
 
+def _with_class(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    grams = Grams(n)
+    for batch in batches:
+        made = [class_of(grams(text)) for (text,) in rows(batch, "text")]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, "__cls"])
 
-def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """The documents whose id is their class's smallest, each such id once; without an id all stay."""
-    found = join(docs, **settings).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(found, docs["doc_id"] == found["__id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+
+def keep_one(docs: DataFrame, n: int = WORDS, **settings) -> DataFrame:
+    """One document of each group of connected ones: that with the smallest id, unchanged.
+
+    A missing id is larger than any other; of equal ids in one class any one row stays.
+    """
+    _, labelled = classes(docs, n, **settings)
+    best = labelled.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "cls")).alias("b"))
+    best = best.select(F.col("b.cls").alias("__best"), F.col("b.first").alias("__first"))
+    schema = T.StructType([*docs.schema.fields, T.StructField("__cls", T.BinaryType())])
+    keyed = docs.mapInArrow(partial(_with_class, n=n), schema)
+    kept = keyed.join(best, (keyed["__cls"] == best["__best"]) & keyed["doc_id"].cast("long").eqNullSafe(best["__first"]), "left_semi")
+    return kept.dropDuplicates(["__cls"]).drop("__cls")
