@@ -15,14 +15,18 @@ Weights = Mapping[str, float] | DataFrame
 
 
 def with_weights(df: DataFrame, weights: Weights, scenario: str = "scenario") -> DataFrame:
-    """Attach ``weight``; scenarios without one are left out.
+    """Attach ``weight``; a scenario without one fails the job, as its rows would be lost.
 
     A mapping becomes a column expression. A table ``(scenario, weight)`` is joined, and Spark
     broadcasts it only if its measured size allows that.
     """
     if isinstance(weights, DataFrame):
-        return df.join(weights.select(F.col("scenario").alias(scenario), "weight"), scenario)
-    return df.withColumn("weight", weight_of(scenario, weights)).where("weight is not null")
+        out = df.join(weights.select(F.col("scenario").alias(scenario), "weight"), scenario, "left")
+    else:
+        out = df.withColumn("weight", weight_of(scenario, weights))
+    message = F.concat(F.lit("no weight for scenario "), F.coalesce(F.col(scenario).cast("string"), F.lit("NULL")))
+    known = F.when(F.col("weight").isNull(), F.raise_error(message).cast("double")).otherwise(F.col("weight"))
+    return out.withColumn("weight", known)
 
 
 def scenario_summary(

@@ -18,7 +18,7 @@ from seriesloom._common import names
 from seriesloom.config import STORM_KP, TreeSettings
 from seriesloom.functions.clean import clip
 from seriesloom.operators.clean import require_columns
-from seriesloom.operators.splits import expanding_folds
+from seriesloom.operators.splits import fold_parts, numbered
 from seriesloom.operators.verify import contingency, r2, regression_scores
 from seriesloom.operators.windows import last_row, number_rows
 from seriesloom.session import shared_dir, written
@@ -92,15 +92,19 @@ def cross_validate(
     max_rows: int | None = None,
     threshold: float = STORM_KP,
 ) -> DataFrame:
-    """Scores per fold: ``fold, rows, mae, r2, csi``. Runs one fit per fold."""
-    rows = df.select(*names(keys), time, *features, label)
-    parts = written(expanding_folds(rows, folds, gap, keys, time, max_rows), "folds")
-    present = [r[0] for r in parts.select("fold").distinct().collect()]
+    """Scores per fold: ``fold, rows, mae, r2, csi``. Runs one fit per fold.
+
+    The rows are numbered and written once; a fold is a filter on their positions.
+    """
+    rows = written(numbered(df.select(*names(keys), time, *features, label), keys, time, max_rows), "folds")
     scored = []
-    for k in sorted(present):
-        part = parts.where(F.col("fold") == k)
-        model = fit(part.where("is_train"), features, label, settings)
-        scored.append(predict(model, part.where("not is_train")).select("fold", label, PREDICTION))
+    for k in range(folds):
+        in_train, in_test = fold_parts(F.lit(k), folds, gap)
+        train = rows.where(in_train)
+        if train.isEmpty():
+            continue
+        model = fit(train, features, label, settings)
+        scored.append(predict(model, rows.where(in_test)).select(F.lit(k).alias("fold"), label, PREDICTION))
     if not scored:
         raise ValueError("no series is long enough for cross-validation")
     pairs = reduce(DataFrame.unionByName, scored)
@@ -139,20 +143,31 @@ def permutation_importance(
     order: Sequence[str],
     repeats: int = 5,
     seed: int = 42,
+    slice_rows: int = 10_000,
+    min_rows: int = 20,
 ) -> DataFrame:
     """Loss of R² when one feature is shuffled over the test rows, mean over the repeats.
 
     ``order`` names columns that identify a row. Each repeat numbers the rows twice by two
     hashes of them, slice by slice, and pairs equal numbers: a random permutation without a
-    global sort. One permutation serves all features of a repeat.
+    global sort. One permutation serves all features of a repeat. A slice holds about
+    ``slice_rows`` rows. With fewer than ``min_rows`` rows every feature has a NULL importance
+    and the status ``too few rows``. Runs a count.
     """
     base = test.select(*order, *features, label)
+    count = base.count()
+    if count < min_rows:
+        none = [(f, None, None, "too few rows") for f in features]
+        return test.sparkSession.createDataFrame(
+            none, "feature string, importance double, importance_std double, status string"
+        )
+    slices = max(1, -(-count // slice_rows))
     spread = base.withColumn("_repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
 
     def numbered(df: DataFrame, salt: int) -> DataFrame:
         hashed = df.withColumn("_h", F.xxhash64(*order, "_repeat", F.lit(seed * 2 + salt)))
         return number_rows(
-            hashed, ["_repeat"], ["_h", *order], F.shiftright("_h", 54), "_pos"
+            hashed, ["_repeat"], ["_h", *order], F.floor(F.shiftrightunsigned("_h", 32) * slices / 2**32), "_pos"
         ).drop("_h")
 
     own = numbered(spread, 0).select("_repeat", "_pos", label, *features)
@@ -176,7 +191,9 @@ def permutation_importance(
     whole = predict(model, base).agg(r2(label, PREDICTION)).scalar()
     drop = whole - F.col("_r2")
     return lost.select("feature", drop.alias("_drop")).groupBy("feature").agg(
-        F.avg("_drop").alias("importance"), F.stddev_pop("_drop").alias("importance_std")
+        F.avg("_drop").alias("importance"),
+        F.stddev_pop("_drop").alias("importance_std"),
+        F.lit("ok").alias("status"),
     )
 
 

@@ -102,7 +102,11 @@ def forecast_months(
     time: str = "time_tag",
     features=scoring_features,
 ) -> DataFrame:
-    """``keys, step, time, ssn``: the coming months of each series with at least 36 of them."""
+    """``keys, step, time, ssn, status``: the coming months of every series.
+
+    A series with fewer than 36 months has no complete lags: its ``ssn`` is NULL and its
+    ``status`` ``too few months``.
+    """
     keys = series_keys(keys)
     last = monthly.where(F.col("ssn").isNotNull()).groupBy(*keys).agg(F.max(time).alias("_last"))
     steps = last.select(*keys, F.posexplode(mid_month_axis(F.col("_last"), config.months_ahead)))
@@ -111,10 +115,14 @@ def forecast_months(
     phase = ["sin_11yr", "cos_11yr", "sin_5p5yr", "cos_5p5yr"]
     inputs = step_arrays(steps, keys, "step", [time, *phase])
     seeds = seed_array(monthly, keys, time, "ssn", SEED_MONTHS)
-    ready = inputs.join(seeds.where(F.size("seed") >= SEED_MONTHS), keys)
-    return recursive_score(
-        model, ready, keys, config.months_ahead, features, "ssn", low=0.0, carry=[time]
+    both = inputs.join(seeds, keys)
+    enough = F.size("seed") >= SEED_MONTHS
+    scored = recursive_score(
+        model, both.where(enough), keys, config.months_ahead, features, "ssn", low=0.0, carry=[time]
     )
+    short = both.where(~enough).select(*keys, F.posexplode("inputs").alias("step", "_in"))
+    short = short.select(*keys, "step", F.col("_in")[time].alias(time), F.lit(None).cast("double").alias("ssn"))
+    return scored.withColumn("status", F.lit("ok")).unionByName(short.withColumn("status", F.lit("too few months")))
 
 
 def cycle_phase(
@@ -134,7 +142,7 @@ def cycle_phase(
     """
     keys = series_keys(keys)
     seen = monthly.select(*keys, time, "ssn", F.lit(True).alias("_observed"))
-    ahead = forecast.where(F.col("step") < months_ahead)
+    ahead = forecast.where((F.col("step") < months_ahead) & F.col("ssn").isNotNull())
     ahead = ahead.select(*keys, time, "ssn", F.lit(False).alias("_observed"))
     joined = seen.unionByName(ahead)
     smooth = rolling(joined, "ssn", 13, "level", keys, time, 7, centred=True)

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+FOLDER_SETTING = "spark.seriesloom.dir"
 
 
 def build_session(app: str, master: str | None = None, **settings: str) -> SparkSession:
@@ -34,10 +37,18 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: the one the cluster names, else a new one for tests."""
-    named = spark.sparkContext.getConf().get(CHECKPOINT_SETTING)
+    """The folder every executor can reach.
+
+    What ``spark.checkpoint.dir`` names, else what ``spark.seriesloom.dir`` names. Without
+    either only a local master gets a new folder of its own, as in tests; a cluster is refused,
+    because its executors would each write to their own disk.
+    """
+    conf = spark.sparkContext.getConf()
+    named = conf.get(CHECKPOINT_SETTING) or spark.conf.get(FOLDER_SETTING, None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError(f"set {CHECKPOINT_SETTING} or {FOLDER_SETTING} to a folder all executors share")
     if not getattr(spark, "_seriesloom_dir", None):
         spark._seriesloom_dir = tempfile.mkdtemp(prefix="seriesloom-")
         spark.sparkContext.setCheckpointDir(spark._seriesloom_dir)
@@ -57,3 +68,28 @@ def written(df, label: str):
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``written`` made, wherever its file system is."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def intermediate(spark: SparkSession) -> Iterator[Callable]:
+    """A ``written`` whose tables are deleted at the end of the block."""
+    made: list[str] = []
+
+    def write(df, label: str):
+        path = fresh_path(spark, label)
+        made.append(path)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield write
+    finally:
+        for path in made:
+            delete_path(spark, path)

@@ -16,16 +16,36 @@ MAG = ("bx_gsm", "by_gsm", "bz_gsm", "lon_gsm", "lat_gsm", "bt")
 KP = ("time_tag", "Kp", "a_running", "station_count")
 
 
+UNREADABLE = "file is not the expected JSON: "
+
+
 def _documents(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     text = spark.read.text(path, wholetext=True)
     table = F.from_json("value", "array<array<string>>")
     return text.select(F.col("_metadata.file_path").alias("source_file"), table.alias("_t"))
 
 
+def unreadable_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """``source_file`` of the files whose text is not an array of arrays, such as a cut download."""
+    return _documents(spark, path).where("_t is null").select("source_file")
+
+
+def _readable(docs: DataFrame, skip_unreadable: bool) -> DataFrame:
+    if skip_unreadable:
+        return docs.where("_t is not null")
+    failed = F.raise_error(F.concat(F.lit(UNREADABLE), F.col("source_file"))).cast("array<array<string>>")
+    return docs.withColumn("_t", F.coalesce("_t", failed))
+
+
 def header_of(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
-    """Column names in the first row of one file. Runs a job."""
-    row = _documents(spark, path).select(F.col("_t")[0]).first()
-    return list(row[0]) if row and row[0] else []
+    """Column names of all files' first rows, in the order of the file names. Runs a job.
+
+    Files with the same header count once, so what is collected grows with the number of
+    different headers only. An unreadable file fails.
+    """
+    docs = _readable(_documents(spark, path), False).where(F.size("_t") >= 1)
+    seen = docs.groupBy(F.col("_t")[0].alias("h")).agg(F.min("source_file").alias("f")).collect()
+    return list(dict.fromkeys(c for r in sorted(seen, key=lambda r: r.f) for c in r.h))
 
 
 def read_header_json(
@@ -36,14 +56,17 @@ def read_header_json(
     strict_time: bool = False,
     drop_all_null: bool = False,
     positions: bool = False,
+    skip_unreadable: bool = False,
 ) -> DataFrame:
     """Files of the form ``[[header], [row], ...]``.
 
     Columns are found by name in each file's own header, so their order may differ between
     files; an absent one is NULL. Values that are not numbers are NULL. Files without data
-    rows give none. ``positions`` keeps ``source_file`` and ``source_pos``.
+    rows give none. A file that does not parse fails the job unless ``skip_unreadable``, with
+    ``unreadable_files`` to list what was left out. ``positions`` keeps ``source_file`` and
+    ``source_pos``.
     """
-    docs = _documents(spark, path).where(F.size("_t") >= 2)
+    docs = _readable(_documents(spark, path), skip_unreadable).where(F.size("_t") >= 2)
     rows = docs.select(
         "source_file",
         F.col("_t")[0].alias("_header"),
@@ -71,11 +94,12 @@ def read_object_json(
 ) -> DataFrame:
     """Files with an array of objects, or with that array inside ``{"data": [...]}``.
 
-    All fields are read as text, because feeds quote numbers or not as they please.
+    All fields are read as text, because feeds quote numbers or not as they please. A file
+    that does not parse fails the job.
     """
     item = T.StructType([T.StructField(f, T.StringType()) for f in fields])
     schema = T.StructType([*item.fields, T.StructField(wrapper, T.ArrayType(item))])
-    raw = spark.read.schema(schema).json(path, multiLine=True)
+    raw = spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
     bare = F.array(F.struct(*fields))
     items = F.when(F.col(wrapper).isNotNull(), F.col(wrapper)).otherwise(bare)
     return raw.select(F.explode(items).alias("_i")).select("_i.*")

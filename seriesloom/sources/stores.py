@@ -49,7 +49,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def write_metrics(metrics: DataFrame, path: str, setup: Mapping[str, object]) -> None:
     """Store metrics under their training setup, replacing those of the same setup only."""
     tagged = metrics.withColumns({k: F.lit(v) for k, v in setup.items()})
-    tagged.coalesce(1).write.mode("overwrite").option(
+    tagged.write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy(*setup).parquet(path)
 

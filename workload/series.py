@@ -145,6 +145,50 @@ view(
 )
 
 
+def ship_archive(spark, sf_dir) -> DataFrame:
+    """Archive of the model queries: one row per supplier nation and ship date, seven columns."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
+    )
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    day = F.col("l_shipdate").cast("date").cast("timestamp_ntz")
+    out = (
+        lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        .groupBy(F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("series_id"), day.alias("time_tag"))
+        .agg(
+            r(F.lit(300.0) + F.avg(F.col("l_quantity").cast("double")) * 8, 6).alias("speed"),
+            F.count("l_quantity").cast("double").alias("density"),
+            r(F.avg(F.col("l_discount").cast("double")) * 100 - 5, 6).alias("by_gsm"),
+            r(F.lit(4.0) - F.avg(F.col("l_tax").cast("double")) * 100, 6).alias("bz_gsm"),
+            r(F.least(F.lit(9.0), F.max(F.col("l_quantity").cast("double")) / 6), 6).alias("kp"),
+        )
+    )
+    return out.withColumn("bt", F.abs("bz_gsm") + 2.0)
+
+
+view(
+    "ship_archive",
+    f"""SELECT *, abs(bz_gsm) + 2.0 AS bt FROM (
+    SELECT 'N' || CAST(s_nationkey AS VARCHAR) AS series_id, CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) AS time_tag,
+    {R('300 + avg(CAST(l_quantity AS DOUBLE)) * 8', 6)} AS speed, CAST(count(l_quantity) AS DOUBLE) AS density,
+    {R('avg(CAST(l_discount AS DOUBLE)) * 100 - 5', 6)} AS by_gsm, {R('4.0 - avg(CAST(l_tax AS DOUBLE)) * 100', 6)} AS bz_gsm,
+    {R('least(9.0, max(CAST(l_quantity AS DOUBLE)) / 6)', 6)} AS kp
+    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)""",
+)
+view(
+    "ship_frame",
+    """SELECT series_id, time_tag, "Kp", kp_lag_3h FROM (
+    SELECT series_id, time_tag, kp AS "Kp", lag(kp, 1) OVER w AS kp_lag_3h, lag(kp, 216) OVER w AS old
+    FROM ship_archive WINDOW w AS (PARTITION BY series_id ORDER BY time_tag)) WHERE old IS NOT NULL""",
+)
+view(
+    "ship_split",
+    """SELECT *, pos < greatest(1, least(floor(0.75 * n), n - 1)) AS is_train FROM (
+    SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY time_tag) - 1 AS pos, count(*) OVER (PARTITION BY series_id) AS n
+    FROM ship_frame)""",
+)
+
+
 def monthly_by_nation(spark, sf_dir) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
@@ -237,3 +281,22 @@ view(
       SELECT series_id, time_tag, {R('least(9.0, v_mean / 12)', 6)} AS y FROM ev3h_by_type)
     WINDOW w AS (PARTITION BY series_id ORDER BY time_tag)) WHERE lag3 IS NOT NULL""",
 )
+
+
+MONTH_W = "PARTITION BY series_id ORDER BY time_tag"
+view(
+    "month_split",
+    f"""SELECT *, pos < greatest(12, least(floor(0.85 * n), n - 12)) AS is_train FROM (
+    SELECT *, row_number() OVER ({MONTH_W}) - 1 AS pos, count(*) OVER (PARTITION BY series_id) AS n FROM (
+      SELECT series_id, time_tag, lead(ssn, 1) OVER ({MONTH_W}) AS y, lag(ssn, 36) OVER ({MONTH_W}) AS old FROM monthly_by_nation)
+    WHERE old IS NOT NULL AND y IS NOT NULL)""",
+)
+view(
+    "months_ahead",
+    """SELECT series_id, step, CAST(date_trunc('month', last_month) + to_months(CAST(step + 1 AS INTEGER)) + INTERVAL 14 DAY AS TIMESTAMP) AS time_tag, months FROM (
+    SELECT series_id, max(time_tag) AS last_month, count(*) AS months, unnest(range(12)) AS step FROM monthly_by_nation GROUP BY 1)""",
+)
+view(
+    "ensemble_draws",
+    f"SELECT DISTINCT {STATION} AS series_id, {SCENARIO_SQL} AS scenario, user_id AS draw FROM events",
+)
