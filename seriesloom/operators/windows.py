@@ -63,6 +63,34 @@ def number_rows(
     return out.select(*df.columns, *[c for c in (name, total) if c])
 
 
+FINER, LONGEST = 20, 1 << 46  # halvings below the even slice; microseconds, over two years
+
+
+def even_span(
+    df: DataFrame, keys: str | Sequence[str], time: str, rows: int = 500_000
+) -> str:
+    """The longest time slice, among powers of two, with at most ``rows`` rows of any series.
+
+    Follows the densest place of the data, so a burst shortens the slices, down to a
+    millionth of the slice that even data would have. Counts the rows of short slices, and
+    longer ones from those counts. Runs two small jobs.
+    """
+    keys = names(keys)
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    ends = df.agg(F.min(at).alias("a"), F.max(at).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    if ends.n <= rows:
+        return f"{LONGEST} microseconds"
+    even = max(1, (ends.b - ends.a) * rows // ends.n)
+    low = max(0, even.bit_length() - 1 - FINER)
+    steps = LONGEST.bit_length() - 1 - low
+    counts = df.groupBy(*keys, F.shiftright(at, low).alias("_slice")).agg(F.count(F.lit(1)).alias("_n"))
+    longer = counts.withColumn("_up", F.explode(F.sequence(F.lit(0), F.lit(steps))))
+    longer = longer.groupBy(*keys, "_up", F.expr("shiftright(_slice, _up)").alias("_slice")).agg(F.sum("_n").alias("_n"))
+    most = longer.groupBy("_up").agg(F.max("_n").alias("m")).collect()
+    best = max([r["_up"] for r in most if r.m <= rows], default=0)
+    return f"{1 << (low + best)} microseconds"
+
+
 def _blocks(
     df: DataFrame,
     keys: list[str],

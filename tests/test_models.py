@@ -211,30 +211,50 @@ def test_no_training_rows(spark):
         m.fit(storm_table(spark).where("false"), STORM_FEATURES, "Kp", SMALL)
 
 
-def test_reports(spark):
-    """On the middle tables: the smallest have no series long enough for a 27-day lag."""
+def test_reports(spark, monkeypatch):
+    """On the middle tables: the smallest have no live series long enough for a 27-day lag."""
     import json
     import os
+    from dataclasses import replace
 
-    import __spark_entry__ as contract
+    from workload import modelling
 
     data = "/root/testdata/sf0.01"
     if not os.path.isdir(data):
         pytest.skip("no test tables")
-    storms = contract.queries()["storm_report"](spark, data).collect()
-    assert len(storms) >= 1
-    for row in storms:
-        doc = json.loads(row.document)
-        f = doc["forecast"]
-        assert len(f["times"]) == len(f["kp_weighted"]) == len(f["storm_prob_per_window"]) == 8
-        assert set(f["by_scenario"]) == {"Quiet", "Moderate", "Active"}
-        assert all(0 <= v <= 9 for a in f["by_scenario"].values() for v in a)
-        assert 0 <= max(f["storm_prob_per_window"]) * 100 <= doc["outlook"]["storm_prob_pct"] + 1e-9 <= 100
+    few = replace(modelling.STORM, trees=replace(modelling.STORM.trees, trees=10), steps=8)
+    monkeypatch.setattr(modelling, "STORM", few)
+    monkeypatch.setattr(modelling, "SEASONAL", replace(modelling.SEASONAL, trees=few.trees))
+    as_text = lambda df: [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"))).collect()]
+    storms = as_text(modelling.storm_documents(spark, data))
+    assert {d["series_id"][0] for d in storms} == {"N", "S"}
+    for doc in storms:
         assert doc["metrics"]["test_count"] > 0 and doc["latest"]["category"]
-    months = contract.queries()["seasonal_report"](spark, data).collect()
-    assert len(months) == 25
-    for row in months:
-        doc = json.loads(row.document)
+        assert ("forecast" in doc) == (doc["series_id"][0] == "S")
         if "forecast" in doc:
-            assert len(doc["forecast"]["times"]) == 12
-            assert sum(doc["integration"]["recommended_scenario_weights"].values()) == pytest.approx(1.0, abs=0.002)
+            f = doc["forecast"]
+            assert len(f["times"]) == len(f["kp_weighted"]) == len(f["storm_prob_per_window"]) == 8
+            assert set(f["by_scenario"]) == {"Quiet", "Moderate", "Active"}
+            assert all(0 <= v <= 9 for a in f["by_scenario"].values() for v in a)
+            assert 0 <= max(f["storm_prob_per_window"]) * 100 <= doc["outlook"]["storm_prob_pct"] + 1e-9 <= 100
+    months = as_text(modelling.seasonal_documents(spark, data))
+    assert len(months) == 25
+    for doc in months:
+        assert len(doc["forecast"]["times"]) == 12
+        assert sum(doc["integration"]["recommended_scenario_weights"].values()) == pytest.approx(1.0, abs=0.002)
+
+
+def test_recursion_with_fitted_trees_equals_a_loop(spark):
+    """Each step of ``recursive_score`` is the fitted model on the values made so far."""
+    rows = [(float(i % 7), float(i % 5), float((i % 7) * 0.7 + (i % 5) * 0.2)) for i in range(300)]
+    train = spark.createDataFrame(rows, "lag double, x double, y double")
+    model = m.fit(train, ["lag", "x"], "y", TreeSettings(trees=8))
+    inputs = [0.0, 3.0, 1.0, 4.0]
+    paths = spark.createDataFrame([("a", [2.0], [(x,) for x in inputs])], "k string, seed array<double>, inputs array<struct<x: double>>")
+    features = lambda past, step: {"lag": F.element_at(past, -1), "x": step["x"]}
+    made = [r.v for r in recursive.recursive_score(model, paths, "k", 4, features, "v").orderBy("step").collect()]
+    value, wanted = 2.0, []
+    for x in inputs:
+        value = m.predict(model, spark.createDataFrame([(value, x)], "lag double, x double")).first()["prediction"]
+        wanted.append(value)
+    assert made == pytest.approx(wanted)

@@ -10,7 +10,7 @@ from seriesloom.operators.ensemble import with_weights
 from seriesloom.operators.resample import grid, resample, resample_full
 from seriesloom.plans import feed_review
 from workload.registry import R, n, query, r
-from workload.series import draws, events, gappy, kp, mag, monthly_by_nation, plasma, table
+from workload.series import SCENARIO_SQL, draws, events, gappy, kp, mag, monthly_by_nation, plasma, table
 
 
 @query(
@@ -203,14 +203,13 @@ def attach_weights(spark, sf_dir):
 @query(
     "attach_weight_table",
     f"""SELECT scenario, draw, step, kp, {R('weight', 6)} AS weight FROM draws JOIN (
-    SELECT {"CASE event_type WHEN 'click' THEN 'Quiet' WHEN 'error' THEN 'Moderate' ELSE 'Active' END"} AS scenario,
-    avg(value) / 100 AS weight FROM events WHERE event_type IN ('click', 'error', 'purchase') GROUP BY 1) USING (scenario)""",
+    SELECT {SCENARIO_SQL} AS scenario, avg(value) / 100 AS weight FROM events GROUP BY 1) USING (scenario)""",
 )
 def attach_weight_table(spark, sf_dir):
     from workload.series import scenario_name
 
-    some = events(spark, sf_dir, "click", "error", "purchase").withColumn("scenario", scenario_name())
-    weights = some.groupBy("scenario").agg((F.avg("value") / 100).alias("weight"))
+    every = events(spark, sf_dir).withColumn("scenario", scenario_name())
+    weights = every.groupBy("scenario").agg((F.avg("value") / 100).alias("weight"))
     out = with_weights(draws(spark, sf_dir), weights)
     return out.withColumn("weight", r("weight", 6)).select("scenario", "draw", "step", "kp", "weight")
 

@@ -189,20 +189,21 @@ def head_rows(spark, sf_dir):
 
 @query(
     "pad_short_seed",
-    f"""SELECT draw, round(CASE WHEN k >= 3 THEN a3 ELSE 2.0 END, 6) AS v1,
+    f"""SELECT scenario, draw, round(CASE WHEN k >= 3 THEN a3 ELSE 2.0 END, 6) AS v1,
     round(CASE WHEN k >= 2 THEN a2 ELSE 2.0 END, 6) AS v2, round(a1, 6) AS v3 FROM (
-      SELECT draw, count(*) AS k, max(CASE WHEN i = 1 THEN kp END) AS a1, max(CASE WHEN i = 2 THEN kp END) AS a2,
+      SELECT scenario, draw, count(*) AS k, max(CASE WHEN i = 1 THEN kp END) AS a1, max(CASE WHEN i = 2 THEN kp END) AS a2,
       max(CASE WHEN i = 3 THEN kp END) AS a3 FROM (
-        SELECT draw, kp, row_number() OVER (PARTITION BY draw ORDER BY step DESC) AS i FROM draws
-        WHERE scenario = 'Active' AND step <= 2) WHERE i <= 3 GROUP BY draw)""",
+        SELECT scenario, draw, kp, row_number() OVER (PARTITION BY scenario, draw ORDER BY step DESC) AS i FROM draws)
+      WHERE i <= 3 GROUP BY 1, 2)""",
 )
 def pad_short_seed(spark, sf_dir):
+    """All draws; those with events in one or two steps only are padded."""
     from workload.series import draws
 
-    early = draws(spark, sf_dir).where("scenario = 'Active' and step <= 2")
-    seeds = seed_array(early, "draw", "step", "kp", 3)
-    padded = seeds.select("draw", left_pad("seed", 3, 2.0).alias("s"))
-    return padded.select("draw", *[F.round(F.col("s")[i], 6).alias(f"v{i + 1}") for i in range(3)])
+    keys = ["scenario", "draw"]
+    seeds = seed_array(draws(spark, sf_dir), keys, "step", "kp", 3)
+    padded = seeds.select(*keys, left_pad("seed", 3, 2.0).alias("s"))
+    return padded.select(*keys, *[F.round(F.col("s")[i], 6).alias(f"v{i + 1}") for i in range(3)])
 
 
 @query(

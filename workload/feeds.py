@@ -243,16 +243,30 @@ def scan_year_range(spark, sf_dir):
     return text_feeds.read_hourly_archive(spark, [f"{path}/in_year={y}" for y in (1998, 1999)])
 
 
-@query("union_of_years", f"SELECT * FROM {ARCHIVE} WHERE year(time_tag) IN (1996, 1998, 2000)")
+@query("union_of_years", f"SELECT * FROM {ARCHIVE}")
 def union_of_years(spark, sf_dir):
+    """One frame per landed year, of which there are few; the first comes twice."""
     path = _land_archive(spark, sf_dir)
-    parts = [text_feeds.read_hourly_archive(spark, f"{path}/in_year={y}") for y in (1996, 1998, 2000)]
+    found = spark.read.text(path).select("in_year").distinct().collect()
+    parts = [text_feeds.read_hourly_archive(spark, f"{path}/in_year={y}") for y in sorted(r.in_year for r in found)]
     out = parts[0]
-    for part in parts[1:]:
+    for part in [*parts[1:], parts[0]]:
         out = out.unionByName(part)
     return dedupe(out, "time_tag", ["time_tag"], "last")
 
 
+@query(
+    "missing_years",
+    f"""SELECT y AS year FROM (SELECT unnest(range(1995, 2001)) AS y) WHERE y = 1999 OR y NOT IN (SELECT year(day) FROM {DAILY} WHERE year(day) % 2 = 1)""",
+)
+def missing_years(spark, sf_dir):
+    """Years of a range that a store of the odd ones lacks, and the current year."""
+    path = fresh_path(spark, "years")
+    stores.write_years(_daily(spark, sf_dir).where(F.year("day") % 2 == 1), path, "day")
+    found = stores.missing_years(spark, path, 1995, 6, 1999)
+    return spark.createDataFrame([(y,) for y in found], "year long")
+
+
 @query(
     "result_documents",
     f"""SELECT x.step, strftime(time_tag, '%Y-%m-%dT%H:%M:%S+00:00') AS time, {R('active')} AS active, {R('mean')} AS mean FROM (

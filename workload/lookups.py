@@ -32,7 +32,7 @@ def row_lags(spark, sf_dir):
 def row_lags_raw_events(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
     shifts = {"lag_1": ("value", 1), "lag_216": ("value", 216), "lead_1": ("value", -1)}
-    out = windows.lags(ev, shifts, "event_type", "ts", span="1 hour")
+    out = windows.lags(ev, shifts, "event_type", "ts", span=windows.even_span(ev, "event_type", "ts"))
     return out.drop("value")
 
 
@@ -93,7 +93,7 @@ def forward_fill(spark, sf_dir):
 def forward_fill_raw_events(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
     ev = ev.withColumn("value", F.when(F.col("value") > 100, F.col("value")))
-    return windows.ffill(ev, "value", "event_type", "ts", span="1 hour").select("event_id", "value")
+    return windows.ffill(ev, "value", "event_type", "ts", span=windows.even_span(ev, "event_type", "ts")).select("event_id", "value")
 
 
 def _lag_fill(k: int) -> str:
@@ -145,7 +145,7 @@ def centred_mean(spark, sf_dir):
 )
 def centred_mean_raw_events(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
-    out = windows.rolling(ev, "value", 13, "smooth", "event_type", "ts", 7, centred=True, span="1 hour")
+    out = windows.rolling(ev, "value", 13, "smooth", "event_type", "ts", 7, centred=True, span=windows.even_span(ev, "event_type", "ts"))
     return out.select("event_id", r("smooth").alias("smooth"))
 
 
@@ -180,7 +180,7 @@ def tail_mean_and_last(spark, sf_dir):
 )
 def row_index_and_fraction(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select("event_id", "event_type", "ts")
-    out = windows.index_fraction(ev, "event_type", "ts", "1 hour")
+    out = windows.index_fraction(ev, "event_type", "ts", windows.even_span(ev, "event_type", "ts"))
     return out.select("event_id", n("row_index").alias("row_index"), r("row_fraction", 6).alias("row_fraction"))
 
 

@@ -339,6 +339,24 @@ HOURLY_FRAME = """SELECT series_id, time_tag FROM (SELECT series_id, time_tag, l
       SELECT series_id, time_bucket(INTERVAL 3 HOUR, time_tag) AS time_tag, avg(kp) AS k FROM hourly GROUP BY 1, 2)) WHERE old IS NOT NULL"""
 
 
+def storm_documents(spark, sf_dir) -> DataFrame:
+    """The whole flow: feeds and archive to one document per series."""
+    feeds = {f.__name__: written(f(spark, sf_dir), f.__name__) for f in (plasma, mag, kp)}
+    archive = written(ship_archive(spark, sf_dir).unionByName(hourly(spark, sf_dir)), "archive")
+    draws = written(_trajectories(spark, sf_dir, STORM.steps), "draws")
+    inputs = ("speed", "density", "by_gsm", "bz_gsm", "bt")
+    paths = draws.groupBy("series_id", "scenario", "step", "time_tag").agg(*[F.avg(c).alias(c) for c in inputs])
+    return reports.storm_report(
+        feeds["plasma"], feeds["mag"], feeds["kp"], archive, paths, draws,
+        "series_id", STORM, {"live": "events", "archive": "lineitem and events"},
+    )
+
+
+def seasonal_documents(spark, sf_dir) -> DataFrame:
+    """The monthly flow: one document per nation."""
+    return reports.seasonal_report(monthly_by_nation(spark, sf_dir), "series_id", SEASONAL, "orders", STORM)
+
+
 @query(
     "storm_report",
     f"""SELECT series_id, coalesce(p.c, 0) AS plasma_rows, coalesce(g.c, 0) AS mag_rows, coalesce(k.c, 0) AS kp_rows, f.c AS archive_rows,
@@ -350,16 +368,8 @@ HOURLY_FRAME = """SELECT series_id, time_tag FROM (SELECT series_id, time_tag, l
     LEFT JOIN (SELECT series_id, count(*) AS c FROM kp GROUP BY 1) k USING (series_id)""",
 )
 def storm_report(spark, sf_dir):
-    """The whole flow: feeds and archive to one document per series."""
-    feeds = {f.__name__: written(f(spark, sf_dir), f.__name__) for f in (plasma, mag, kp)}
-    archive = written(ship_archive(spark, sf_dir).unionByName(hourly(spark, sf_dir)), "archive")
-    draws = written(_trajectories(spark, sf_dir, STORM.steps), "draws")
-    inputs = ("speed", "density", "by_gsm", "bz_gsm", "bt")
-    paths = draws.groupBy("series_id", "scenario", "step", "time_tag").agg(*[F.avg(c).alias(c) for c in inputs])
-    out = reports.storm_report(
-        feeds["plasma"], feeds["mag"], feeds["kp"], archive, paths, draws,
-        "series_id", STORM, {"live": "events", "archive": "lineitem and events"},
-    )
+    """Counts and ranges of the documents."""
+    out = storm_documents(spark, sf_dir)
     steps = F.when(F.col("forecast").isNull(), 0).otherwise(F.size("forecast.times"))
     counts = ("plasma_rows", "mag_rows", "kp_rows", "archive_rows")
     return out.select(
@@ -374,8 +384,8 @@ def storm_report(spark, sf_dir):
     FROM monthly_by_nation LEFT JOIN (SELECT series_id, count(*) AS c FROM month_split WHERE NOT is_train GROUP BY 1) t USING (series_id) GROUP BY 1""",
 )
 def seasonal_report(spark, sf_dir):
-    """The monthly flow: one document per nation."""
-    out = reports.seasonal_report(monthly_by_nation(spark, sf_dir), "series_id", SEASONAL, "orders", STORM)
+    """Counts and ranges of the documents."""
+    out = seasonal_documents(spark, sf_dir)
     return out.select(
         "series_id", n("data_months").alias("data_months"), n(F.coalesce("metrics.test_months", F.lit(0))).alias("test_months"),
         n(F.size("forecast.times")).alias("months_ahead"),

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from seriesloom.operators import ensemble, quality, splits, verify
 from seriesloom.operators.model import fold_summary
+from seriesloom.operators.windows import even_span
 from workload.registry import R, n, query, r
-from workload.series import draws, ev3h_by_type, hourly, kp, monthly_by_nation, pairs, paths, plasma, table
+from workload.series import draws, ev3h_by_type, hourly, kp, mag, monthly_by_nation, pairs, paths, plasma, table
 
 WEIGHTS = {"Quiet": 0.2, "Moderate": 0.5, "Active": 0.3}
 WEIGHT = "CASE scenario WHEN 'Quiet' THEN 0.2e0 WHEN 'Moderate' THEN 0.5e0 ELSE 0.3e0 END"
@@ -33,7 +34,7 @@ def time_split(spark, sf_dir):
 )
 def time_split_raw_events(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select("event_type", "ts")
-    out = splits.time_split(ev, 0.85, "event_type", "ts", 12, 12, span="1 hour")
+    out = splits.time_split(ev, 0.85, "event_type", "ts", 12, 12, span=even_span(ev, "event_type", "ts"))
     return out.groupBy("event_type").agg(
         F.count_if("is_train").alias("train_rows"),
         F.count_if(~F.col("is_train")).alias("test_rows"),
@@ -222,14 +223,23 @@ def forecast_pairs(spark, sf_dir):
     return seen.join(made.withColumn("series_id", F.lit("error")), ["series_id", "time_tag"])
 
 
+SUMMARY = ", ".join(
+    f"{R(f'avg({c})')} AS {c}_mean, {R(f'stddev_pop({c})')} AS {c}_std, {R(f'1.96 * stddev_pop({c}) / sqrt(count(*))')} AS {c}_ci95" for c in ("mae", "r2", "csi")
+)
+
+
 @query(
     "fold_score_summary",
-    f"""SELECT count(*) AS folds, {R('avg(mae)')} AS mae_mean, {R('stddev_pop(mae)')} AS mae_std, {R('1.96 * stddev_pop(mae) / sqrt(count(*))')} AS mae_ci95 FROM (
-    SELECT series_id, avg(abs(y - p)) AS mae FROM pairs GROUP BY 1)""",
+    f"""SELECT count(*) AS folds, {SUMMARY} FROM (
+    SELECT series_id, avg(abs(y - p)) AS mae, 1 - sum(pow(y - p, 2)) / (var_pop(y) * count(*)) AS r2,
+    CASE WHEN count_if(y >= 5 OR p >= 5) = 0 THEN 0.0 ELSE count_if(y >= 5 AND p >= 5)::DOUBLE / count_if(y >= 5 OR p >= 5) END AS csi FROM pairs GROUP BY 1)""",
 )
 def fold_score_summary(spark, sf_dir):
-    scores = verify.regression_scores(pairs(spark, sf_dir), "y", "p", "series_id")
-    out = fold_summary(scores, ["mae"])
+    """All three scores; the series stand for the folds."""
+    rows = pairs(spark, sf_dir)
+    scores = verify.regression_scores(rows, "y", "p", "series_id")
+    events = verify.contingency(rows, "y", "p", 5.0, "series_id").select("series_id", "csi")
+    out = fold_summary(scores.join(events, "series_id"))
     return out.withColumns({c: r(c) for c in out.columns if c != "folds"})
 
 
@@ -291,18 +301,42 @@ def _audit(df):
 NOW = "TIMESTAMP '2024-02-01 00:00:00'"
 
 
+def _feed_sql(feed: str) -> str:
+    return f"""SELECT '{feed}' AS feed, 'not_empty' AS "check", CASE WHEN count(*) > 0 THEN 'ok' ELSE 'error' END AS status, count(*)::DOUBLE AS observed, '> 0' AS "limit" FROM {feed}
+      UNION ALL SELECT '{feed}', 'fresh', CASE WHEN a <= 6 THEN 'ok' ELSE 'warning' END, a, '<= 6 h' FROM (SELECT (epoch_us({NOW}) - epoch_us(max(time_tag))) / 3600000000.0e0 AS a FROM {feed})"""
+
+
 @query(
     "feed_audit",
-    f"""SELECT "check", status, {R('observed', 3)} AS observed, "limit" FROM (
-      SELECT 'not_empty' AS "check", CASE WHEN count(*) > 0 THEN 'ok' ELSE 'error' END AS status, count(*)::DOUBLE AS observed, '> 0' AS "limit" FROM plasma
-      UNION ALL SELECT 'fresh', CASE WHEN a <= 6 THEN 'ok' ELSE 'warning' END, a, '<= 6 h' FROM (SELECT (epoch_us({NOW}) - epoch_us(max(time_tag))) / 3600000000.0e0 AS a FROM plasma)
-      UNION ALL SELECT 'speed_min', CASE WHEN min(speed) >= 100 THEN 'ok' ELSE 'warning' END, min(speed), '>= 100' FROM plasma
-      UNION ALL SELECT 'speed_max', CASE WHEN max(speed) <= 2000 THEN 'ok' ELSE 'warning' END, max(speed), '<= 2000' FROM plasma)""",
+    f"""SELECT feed, "check", status, {R('observed', 3)} AS observed, "limit" FROM (
+      {_feed_sql('plasma')} UNION ALL {_feed_sql('mag')} UNION ALL {_feed_sql('kp')}
+      UNION ALL SELECT 'plasma', 'speed_min', CASE WHEN min(speed) >= 100 THEN 'ok' ELSE 'warning' END, min(speed), '>= 100' FROM plasma
+      UNION ALL SELECT 'plasma', 'speed_max', CASE WHEN max(speed) <= 2000 THEN 'ok' ELSE 'warning' END, max(speed), '<= 2000' FROM plasma)""",
 )
 def feed_audit(spark, sf_dir):
+    """All three feeds."""
     now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
-    checks = [quality.not_empty(), quality.fresh("time_tag", now), *quality.in_range("speed", 100, 2000)]
-    return _audit(quality.audit(plasma(spark, sf_dir), checks))
+    always = [quality.not_empty(), quality.fresh("time_tag", now)]
+    more = {plasma: quality.in_range("speed", 100, 2000), mag: [], kp: []}
+    parts = [
+        quality.audit(feed(spark, sf_dir), [*always, *extra]).select(F.lit(feed.__name__).alias("feed"), "*") for feed, extra in more.items()
+    ]
+    return _audit(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
+ARCHIVE_COLUMNS = ["time_tag", "speed", "density", "by_gsm", "bz_gsm", "bt", "kp"]
+PRESENT = " ".join(
+    f"UNION ALL SELECT series_id, '{c}_present', CASE WHEN count({c}) > 0 THEN 'ok' ELSE 'error' END, count({c})::DOUBLE, '> 0' FROM hourly GROUP BY 1" for c in ARCHIVE_COLUMNS
+)
+
+
+@query(
+    "archive_columns",
+    f"SELECT unnest({[*ARCHIVE_COLUMNS, 'station_count']!r}) AS \"check\", unnest({['ok'] * 7 + ['error']!r}) AS status",
+)
+def archive_columns(spark, sf_dir):
+    """Required columns against the schema; the last one is missing."""
+    return quality.column_audit(hourly(spark, sf_dir), [*ARCHIVE_COLUMNS, "station_count"])
 
 
 @query(
@@ -311,23 +345,29 @@ def feed_audit(spark, sf_dir):
       SELECT series_id, 'min_rows' AS "check", CASE WHEN count(*) >= 700 THEN 'ok' ELSE 'error' END AS status, count(*)::DOUBLE AS observed, '>= 700' AS "limit" FROM hourly GROUP BY 1
       UNION ALL SELECT series_id, 'kp_min', CASE WHEN min(kp) >= 0 THEN 'ok' ELSE 'warning' END, min(kp), '>= 0' FROM hourly GROUP BY 1
       UNION ALL SELECT series_id, 'kp_max', CASE WHEN max(kp) <= 9.5 THEN 'ok' ELSE 'warning' END, max(kp), '<= 9.5' FROM hourly GROUP BY 1
-      UNION ALL SELECT series_id, 'speed_present', CASE WHEN count(speed) > 0 THEN 'ok' ELSE 'error' END, count(speed)::DOUBLE, '> 0' FROM hourly GROUP BY 1
+      {PRESENT}
       UNION ALL SELECT series_id, 'expected_events', 'warning', floor(count(*) * 0.25e0 * 0.08e0), 'years >= 8' FROM hourly GROUP BY 1)""",
 )
 def archive_audit(spark, sf_dir):
     checks = [
         quality.min_rows(700),
         *quality.in_range("kp", 0, 9.5),
-        *quality.not_all_null(["speed"]),
+        *quality.not_all_null(ARCHIVE_COLUMNS),
         quality.expected_events(years=1),
     ]
     return _audit(quality.audit(hourly(spark, sf_dir), checks, "series_id"))
 
 
+SIZES = (32, 48, 120)
+
+
 @query(
     "training_size_audit",
-    """SELECT series_id, "check", status, observed, "limit" FROM (
-      SELECT series_id, 'min_rows' AS "check", CASE WHEN count(*) >= 48 THEN 'ok' ELSE 'error' END AS status, count(*)::DOUBLE AS observed, '>= 48' AS "limit" FROM monthly_by_nation GROUP BY 1)""",
+    " UNION ALL ".join(
+        f"""SELECT series_id, 'min_rows' AS "check", CASE WHEN count(*) >= {k} THEN 'ok' ELSE 'error' END AS status, count(*)::DOUBLE AS observed, '>= {k}' AS "limit" FROM monthly_by_nation GROUP BY 1"""
+        for k in SIZES
+    ),
 )
 def training_size_audit(spark, sf_dir):
-    return quality.audit(monthly_by_nation(spark, sf_dir), [quality.min_rows(48)], "series_id")
+    return quality.audit(monthly_by_nation(spark, sf_dir), [quality.min_rows(k) for k in SIZES], "series_id")
+
