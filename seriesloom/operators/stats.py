@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom._common import col, join_same, names, over
+from seriesloom.session import written
 
 QUARTILES = (0.25, 0.5, 0.75)
 SKETCH_ACCURACY = 10_000
@@ -71,9 +72,10 @@ def _refine(
         ],
     ).where("_n > 0")
     group = [*keys, "column", "prob"]
-    inside = _unfold(placed, keys, hits).where("prob is not null").groupBy(*group, "value").agg(
-        F.count(F.lit(1)).alias("_c")
-    )
+    # Filtered before it is unfolded: nearly all rows lie in no bracket.
+    near = F.filter(F.array(*hits), lambda h: h.isNotNull())
+    inside = placed.select(*keys, F.explode(near).alias("_r")).select(*keys, "_r.*")
+    inside = inside.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("_c"))
     run = Window.partitionBy(*group).orderBy("value")
     inside = inside.withColumn("_end", F.sum("_c").over(run))
     ranked = join_same(inside, sides, group)
@@ -115,20 +117,27 @@ def exact_quantiles(
 
 
 def describe(df: DataFrame, columns: Sequence[str], keys: str | Sequence[str] = ()) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact quartiles, one row per column."""
+    """Count, mean, sample deviation, extremes and exact quartiles, one row per column.
+
+    Statistics and sketches come from one pass, which is run and written here, as the counts
+    below the brackets and the rows inside them both need its result.
+    """
     keys = names(keys)
     by = [*keys, "column"]
     rows = _doubles(df, columns, keys)
     stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     wide = rows.groupBy(*keys).agg(
-        *[f(c).alias(f"_{n}_{c}") for c in columns for n, f in stats.items()]
+        *[f(c).alias(f"_{n}_{c}") for c in columns for n, f in stats.items()],
+        *[a for c in columns for a in _sketch(c, QUARTILES, SKETCH_ACCURACY)],
     )
+    wide = written(wide, "statistics")
     base = _unfold(
         wide,
         keys,
         [F.struct(F.lit(c).alias("column"), *[F.col(f"_{n}_{c}").alias(n) for n in stats]) for c in columns],
     )
-    quartiles = exact_quantiles(df, columns, QUARTILES, keys).groupBy(*by).agg(
+    sketch = wide.select(*keys, *[f"_{x}_{c}" for c in columns for x in ("n", "s")])
+    quartiles = _refine(rows, sketch, columns, QUARTILES, keys).groupBy(*by).agg(
         *[
             F.max(F.when(F.col("prob") == q, F.col("quantile"))).alias(n)
             for q, n in zip(QUARTILES, ("p25", "p50", "p75"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seriesloom.config import SEASONAL_FEATURES, STORM_FEATURES, SeasonalConfig
@@ -89,21 +90,33 @@ def seasonal_feature_frame(spark, sf_dir):
     return out.select("series_id", "time_tag", *[r(c).alias(c) for c in ("ssn", *SEASONAL_FEATURES, "ssn_next")])
 
 
-@query(
-    "cycle_phase_of_observed",
-    f"""SELECT series_id, CASE WHEN x < 30 THEN 'Minimum' WHEN x < 80 THEN 'Rising / Declining' WHEN x < 140 THEN 'Moderate Maximum' ELSE 'High Maximum' END AS tier,
+PHASE_SQL = f"""SELECT series_id, CASE WHEN x < 30 THEN 'Minimum' WHEN x < 80 THEN 'Rising / Declining' WHEN x < 140 THEN 'Moderate Maximum' ELSE 'High Maximum' END AS tier,
     {R('greatest(0.0, least(1.0, (x - lo) / greatest(hi - lo, 1.0)))', 3)} AS pos FROM (
       SELECT series_id, arg_max(s, time_tag) AS x, min(CASE WHEN time_tag >= TIMESTAMP '1997-01-01' THEN s END) AS lo, max(CASE WHEN time_tag >= TIMESTAMP '1997-01-01' THEN s END) AS hi FROM (
-        SELECT series_id, time_tag, avg(ssn) OVER ({W} ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS s FROM monthly_by_nation) GROUP BY 1)""",
-)
+        SELECT series_id, time_tag, avg(ssn) OVER ({W} ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS s FROM monthly_by_nation) GROUP BY 1)"""
+
+
+@query("cycle_phase_of_observed", PHASE_SQL)
 def cycle_phase_of_observed(spark, sf_dir):
-    """Without forecast months; the forecast form needs a model and is checked by a test."""
+    """Without forecast months."""
     monthly = monthly_by_nation(spark, sf_dir)
     none_ahead = monthly.where("false").withColumn("step", F.lit(0))
     out = seasonal.cycle_phase(monthly, none_ahead, "series_id", SeasonalConfig(cycle_start="1997-01-01"))
     return out.select("series_id", F.col("solar_activity_tier").alias("tier"), F.col("ssn_normalized").alias("pos"))
 
 
+@query("cycle_phase_with_forecast", PHASE_SQL)
+def cycle_phase_with_forecast(spark, sf_dir):
+    """The last six months of every series stand for a model's months ahead, so the smoothed level
+    is that of the last of them."""
+    back = F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("time_tag")))
+    months = monthly_by_nation(spark, sf_dir).withColumn("back", back)
+    seen = months.where("back > 6").drop("back")
+    ahead = months.where("back <= 6").select("series_id", "time_tag", "ssn", (6 - F.col("back")).alias("step"))
+    out = seasonal.cycle_phase(seen, ahead, "series_id", SeasonalConfig(cycle_start="1997-01-01"))
+    return out.select("series_id", F.col("solar_activity_tier").alias("tier"), F.col("ssn_normalized").alias("pos"))
+
+
 @query(
     "scenario_step_inputs",
     f"""SELECT scenario, draw, step, {R('bz_mean')} AS bz_mean, {R(f'min(bz_mean) OVER (PARTITION BY scenario, draw ORDER BY step ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)')} AS bz_min,
