@@ -49,24 +49,24 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
+_STEPS = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+
+
 def gram_hashes(units: np.ndarray, m: int) -> np.ndarray:
     """Hash of every ``m`` consecutive units (64-bit hashes themselves), by doubling."""
-    made, size, parts = units, 1, []
-    left, at = m, 0
+    made, size, level = units, 1, 0
+    n = len(units) - m + 1
+    out, at, left = None, 0, m
     while True:
         if left & 1:
-            parts.append((at, made))
+            part = made[at : at + n]
+            out = part if out is None else out * _STEPS[32 + level] + part
             at += size
         left >>= 1
         if not left:
-            break
-        made = mixed(made[:-size] * np.uint64(0x9E3779B97F4A7C15) + made[size:])
-        size *= 2
-    n = len(units) - m + 1
-    out = np.zeros(n, np.uint64)
-    for at, part in parts:
-        out = mixed(out * np.uint64(0xD6E8FEB86659FD93) + part[at : at + n])
-    return out
+            return mixed(out)
+        made = made[:-size] * _STEPS[level] + made[size:]
+        size, level = size * 2, level + 1
 
 
 def runs_of(units: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -158,23 +158,26 @@ def hits(docs: DataFrame, units: Callable, find: Callable, k: int, m: int, most:
     smallest = -(1 << 63)
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(smallest)).alias("sid"), "text")
     listed = plain.mapInArrow(partial(_keys, units=units, k=k, m=m), "tk binary, once array<long>, more array<long>")
-    once = listed.select(F.explode("once").alias("key"), "tk", F.lit(False).alias("more"))
-    each = once.union(listed.select(F.explode("more"), "tk", F.lit(True)))
-    short = F.xxhash64("tk")
+    marked = lambda c, more: F.transform(c, lambda k: F.struct(k.alias("key"), F.lit(more).alias("more")))
+    every = F.explode(F.concat(marked("once", False), marked("more", True))).alias("k")
+    # Half of a text's name is enough here: should two texts share it, both are asked for more.
+    each = listed.select(F.xxhash64("tk").alias("half"), every).select("half", "k.key", "k.more")
     repeated = (
         each.groupBy("key")
-        .agg(F.min(short).alias("a"), F.max(short).alias("b"), F.max("more").alias("more"), F.count("*").alias("n"))
+        .agg(F.min("half").alias("a"), F.max("half").alias("b"), F.max("more").alias("more"), F.count("*").alias("n"))
         .where("more or a <> b")
         .select("key", (F.col("n") > most).alias("is_hot"))
     )
     asked = (
-        each.join(repeated, "key")
-        .groupBy("tk")
+        each.select("half", "key")
+        .join(repeated, "key")
+        .groupBy("half")
         .agg(F.collect_set("key").alias("asked"), F.collect_set(F.when(F.col("is_hot"), F.col("key"))).alias("hot"))
     )
     hashed = plain.mapInArrow(_text_hash, "sid long, tk binary")
     first = written(hashed.groupBy("tk").agg(F.min("sid").alias("first")), "first")
-    wanted = written(asked.join(first, "tk").withColumnRenamed("first", "want"), "asked")
+    wanted = asked.join(first.withColumn("half", F.xxhash64("tk")), "half").drop("half")
+    wanted = written(wanted.withColumnRenamed("first", "want"), "asked")
     texts = plain.join(wanted, plain["sid"] == wanted["want"]).select("sid", "tk", "text", "asked", "hot")
     # a row per run, in the shared folder: what follows reads it twice
     seen = written(texts.mapInArrow(partial(_occurrences, units=units, k=k, m=m), OCCURRENCES), "runs")
@@ -215,7 +218,7 @@ def digest(docs: DataFrame, first: DataFrame, merged: DataFrame, cut: Callable,
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(smallest)).alias("sid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = first.join(merged, "tk", "left")
     with_key = plain.mapInArrow(_with_key, "sid long, doc_id long, text string, tk binary")
-    both = with_key.join(known, "tk").select("doc_id", "text", (F.col("sid") != F.col("first")).alias("copy"), "ranges")
+    both = with_key.join(known, "tk").select("doc_id", "text", (F.col("sid") != F.col("first")).alias("copy"), F.coalesce("ranges", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("ranges"))
     return both.mapInArrow(partial(_cut, cut=cut), schema)
 
 
