@@ -34,10 +34,15 @@ from seriesloom.llm.common import Out, rows
 from seriesloom.session import written
 
 SIZE, END = 1024, 0
-# A boundary of the vocabulary's own word pattern lies in front of any run of these blanks.
-CHUNK = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-OTHER_BLANK = re.compile(r"[^\S \n\t\r]|[\x1c-\x1f\x85]")
-MOST_CACHED = 400_000
+LETTERS = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+BLANK = " \n\t\r"
+# The vocabulary's own word pattern has a boundary in front of any run of these blanks, and between
+# a letter and these signs.
+CHUNK = re.compile(
+    rf"[{BLANK}]*[{LETTERS}]+(?![^\s.,;:!?])|(?<=[{LETTERS}])[.,;:!?]+(?![^{BLANK}])|[{BLANK}]*[^{BLANK}]+|[{BLANK}]+"
+)
+OTHER_BLANK = re.compile(rf"[^\S{BLANK}]|[\x1c-\x1f\x85]")
+MOST_CACHED, SLICE = 450_000, 1 << 20
 
 
 def vocabulary_path() -> str:
@@ -55,56 +60,103 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        #: Bytes behind each id: the vocabulary writes a byte as one character.
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)
+        # words of now and of before: only those that come again outlive a change
         self.cache: dict[str, bytes] = {}
-
-    def plain(self, texts: list[str]) -> list[bytes]:
-        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in made]
-
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if OTHER_BLANK.search(text):
-            return self.plain([text])[0]
-        parts = []
-        # long texts are cut at chunks, which keeps the list of chunks short
+        self.before: dict[str, bytes] = {}
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of some texts, of about a slice together or one longer text."""
+        listed = [None if not t or len(t) > SLICE or OTHER_BLANK.search(t) else CHUNK.findall(t) for t in texts]
+        self.prepare(set().union(*filter(None, listed)))
+        made = [None if chunks is None else b"".join([self.cache[c] for c in chunks]) for chunks in listed]
+        for text, ids in zip(texts, made, strict=True):
+            if ids is not None:
+                yield ids
+            elif text and len(text) > SLICE and not OTHER_BLANK.search(text):
+                yield b"".join(self.long(text))
+            else:
+                yield self.plain([text])[0].tobytes() if text else b""
+
+    def long(self, text: str) -> Iterator[bytes]:
         chunks: list[str] = []
-        for m in CHUNK.finditer(text):
+        for m in CHUNK.finditer(text):  # keeps the list of chunks short
             chunks.append(m[0])
-            if len(chunks) == 65_536:
-                parts.append(self.encode(chunks))
+            if len(chunks) == SLICE // 8:
+                yield from self.parts(chunks)
                 chunks = []
-        parts.append(self.encode(chunks))
-        return b"".join(parts)
-
-    def encode(self, chunks: list[str]) -> bytes:
-        cache = self.cache
-        fresh = list({c for c in chunks if c not in cache})
-        if fresh:
-            if len(cache) + len(fresh) > MOST_CACHED:
-                cache.clear()
-                fresh = list(set(chunks))
-            for at in range(0, len(fresh), 4096):
-                cache.update(zip(fresh[at : at + 4096], self.plain(fresh[at : at + 4096]), strict=True))
-        made = b"".join([cache[c] for c in chunks])
-        for c in fresh:
-            if len(c) > 40:  # such a chunk hardly comes again
-                del cache[c]
-        return made
+        yield from self.parts(chunks)
+
+    def parts(self, chunks: list[str]) -> Iterator[bytes]:
+        self.prepare(set(chunks))
+        yield b"".join([self.cache[c] for c in chunks])
+
+    def prepare(self, chunks: set[str]) -> None:
+        """Have all of these in the cache."""
+        if len(self.cache) > MOST_CACHED:
+            self.before, self.cache = self.cache, {}
+        fresh = chunks.difference(self.cache)
+        known = fresh.intersection(self.before)
+        self.cache.update((c, self.before[c]) for c in known)
+        self.learn(list(fresh - known))
+
+    def learn(self, fresh: list[str]) -> None:
+        # Words behind one blank keep their boundaries when joined, and are cheaper to encode so.
+        joined = [c for c in fresh if len(c) > 1 and c[0] in BLANK and c[1] not in BLANK]
+        groups = [joined[i : i + 512] for i in range(0, len(joined), 512)]
+        for group, ids in zip(groups, self.plain(["".join(g) for g in groups]), strict=True):
+            ends = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in group])
+            cuts = np.searchsorted(np.cumsum(self.width[ids]), ends, "left") + 1
+            data, at = ids.tobytes(), 0
+            for c, cut in zip(group, (4 * cuts).tolist(), strict=True):
+                self.cache[c] = data[at:cut]
+                at = cut
+        others = [c for c in fresh if len(c) < 2 or c[0] not in BLANK or c[1] in BLANK]
+        self.cache.update(zip(others, [x.tobytes() for x in self.plain(others)], strict=True))
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder, which keeps its words from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, slice int, nth long"
 
 
+def groups(found: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows (id, text) in lists of about a slice of text."""
+    group, size = [], 0
+    for row in found:
+        group.append(row)
+        size += len(row[1] or "")
+        if size >= SLICE or len(group) >= 1024:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int) -> Iterator[pa.RecordBatch]:
-    encode, seen = Encoder(path), np.zeros(size + 1, np.int64)
+    encode, seen = encoder(path), np.zeros(size + 1, np.int64)
     slice_ = TaskContext.get().partitionId()
     last = np.array([end], "<u4").tobytes()
     kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
     out = Out(pa.schema([(c.split()[0], k) for c, k in zip(PIECES.split(", "), kinds, strict=True)]))
-    for batch in batches:
-        for doc_id, text in rows(batch, "doc_id", "text"):
-            ids = encode(text or "") + last
+    for group in groups(row for batch in batches for row in rows(batch, "doc_id", "text")):
+        for (doc_id, _), made in zip(group, encode([text or "" for _, text in group]), strict=True):
+            ids = made + last
             total = len(ids) // 4
             for start in range(0, total, size):
                 piece = ids[4 * start : 4 * (start + size)]
@@ -123,7 +175,12 @@ def pack_histogram(counts: dict[int, int], size: int = SIZE) -> list[tuple[int,
         while left:
             room = next((s for s in range(size - 1, length - 1, -1) if packs.get(s)), None)
             if room is None:
-                packs[size - length].append((left, [length]))
+                # one after the other: each opens a pack or joins the one just opened
+                each = size // length
+                if left >= each:
+                    packs[size - each * length].append((left // each, [length] * each))
+                if left % each:
+                    packs[size - left % each * length].append((1, [length] * (left % each)))
                 break
             n, pack = packs[room].pop()
             used = min(n, left)
