@@ -112,7 +112,7 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, bands: int, width: int) ->
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     grams = Grams(n)
-    out = Out(pa.schema([("cls", pa.binary()), ("root", pa.binary()), ("blocks", pa.int64()), ("docs", pa.int64()), ("grams", pa.binary())]))
+    out = Out(pa.schema([("cls", pa.binary()), ("root", pa.int64()), ("blocks", pa.int64()), ("docs", pa.int64()), ("grams", pa.binary())]))
     for batch in batches:
         for text, cls, root, blocks, docs in rows(batch, "text", "cls", "root", "blocks", "docs"):
             found = grams(text)
@@ -212,17 +212,20 @@ def classes(docs: DataFrame, n: int = WORDS, threshold: Fraction = THRESHOLD, re
     classes_ = written(signed.groupBy("cls").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"), F.max("grams").alias("grams")), "classes")
     # one row of each class shows its bands: the one with the smallest id, as ids of a class may tie
     shown = signed.join(classes_.select("cls", "first"), "cls").where(F.col("doc_id").eqNullSafe(F.col("first")))
-    banded = shown.select("cls", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where("hub <> last")
-    stars = banded.join(hubs.select("band", "hub"), "band").where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
+    # Candidates go by half of a class's name. Should two classes share it, both are candidates.
+    half = F.xxhash64("cls")
+    banded = shown.select(half.alias("half"), F.explode("bands").alias("band"))
+    hubs = banded.groupBy("band").agg(F.min("half").alias("hub"), F.max("half").alias("last")).where("hub <> last")
+    stars = banded.join(hubs.select("band", "hub"), "band").where("half <> hub").select(F.col("half").alias("a"), F.col("hub").alias("b"))
     found = components(stars)
-    member = found.toDF("cls", "root").union(found.select("root", "root").distinct())
-    member = member.join(classes_, "cls")
+    member = found.toDF("half", "root").union(found.select("root", "root").distinct())
+    member = member.join(classes_.withColumn("half", half), "half").drop("half")
     size = member.groupBy("root").agg(F.count("*").alias("sets"), F.sum("grams").alias("grams"))
     blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("long")
     asked = written(member.drop("grams").join(size.select("root", blocks.alias("blocks")), "root"), "asked")
-    texts = plain.join(asked, plain["doc_id"].eqNullSafe(asked["first"])).select("text", "cls", "root", "blocks", "docs")
-    sets = texts.mapInArrow(partial(_sets, n=n), "cls binary, root binary, blocks long, docs long, grams binary")
+    # the same join at any size: few of the texts are asked for, but too many to broadcast
+    texts = plain.join(asked.hint("merge"), plain["doc_id"].eqNullSafe(asked["first"])).select("text", "cls", "root", "blocks", "docs")
+    sets = texts.mapInArrow(partial(_sets, n=n), "cls binary, root long, blocks long, docs long, grams binary")
     tasks = max(8, asked.agg(F.count("*").alias("n")).first().n // 1000)
     # a component of one block shares a group with others; of more, each pair of blocks is a group
     own = F.pmod(F.xxhash64("cls"), F.col("blocks"))
@@ -234,7 +237,7 @@ def classes(docs: DataFrame, n: int = WORDS, threshold: Fraction = THRESHOLD, re
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.xxhash64("root", "pair"))
     dealt = spread.select(
         task.alias("task"),
-        F.when(F.col("blocks") == 1, F.col("root")).otherwise(F.concat("root", F.col("pair.i").cast("string").cast("binary"), F.lit(b"-"), F.col("pair.j").cast("string").cast("binary"))).alias("root"),
+        F.struct("root", "pair.i", "pair.j").cast("string").alias("root"),
         F.when(F.col("own") == F.col("pair.i"), 0).otherwise(1).alias("side"),
         (F.col("pair.i") == F.col("pair.j")).alias("alone"),
         "cls",
