@@ -48,8 +48,33 @@ def group_of(word: bytes, groups: int) -> int:
     return zlib.crc32(word[-2:]) % groups
 
 
-KINDS = "chunk long, word binary, n long, ids array<long>, sizes array<int>, blob binary"
-SCHEMA = pa.schema([("chunk", pa.int64()), ("word", pa.binary()), ("n", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("blob", pa.binary())])
+KINDS = "chunk long, word binary, n long, packet binary"
+SCHEMA = pa.schema([("chunk", pa.int64()), ("word", pa.binary()), ("n", pa.int64()), ("packet", pa.binary())])
+
+
+def packed(ids: list[int | None], texts: list[bytes], press: zstandard.ZstdCompressor) -> bytes:
+    """Number of texts, their ids, marks of missing ids, lengths, and the compressed texts."""
+    return b"".join(
+        [
+            np.array([len(ids)], "<i8").tobytes(),
+            np.array([0 if i is None else i for i in ids], "<i8").tobytes(),
+            np.array([len(t) for t in texts], "<i8").tobytes(),
+            np.array([i is None for i in ids], np.uint8).tobytes(),
+            press.compress(b"".join(texts)),
+        ]
+    )
+
+
+def unpacked(packet: bytes) -> Iterator[tuple[int | None, bytes]]:
+    n = int(np.frombuffer(packet, "<i8", 1)[0])
+    ids, sizes = np.frombuffer(packet, "<i8", 2 * n, 8).reshape(2, n)
+    missing = np.frombuffer(packet, np.uint8, n, 8 + 16 * n)
+    total = int(sizes.sum())
+    data = zstandard.ZstdDecompressor().decompress(packet[8 + 17 * n :], max_output_size=total) if total else b""
+    at = 0
+    for doc_id, size, none in zip(ids.tolist(), sizes.tolist(), missing.tolist(), strict=True):
+        yield None if none else doc_id, data[at : at + size]
+        at += size
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], test_fold: int, folds: int) -> Iterator[pa.RecordBatch]:
@@ -58,19 +83,19 @@ def _chunks(batches: Iterator[pa.RecordBatch], test_fold: int, folds: int) -> It
     chunk = TaskContext.get().partitionId() << 24
     out = Out(SCHEMA, most_bytes=8 << 20, most=8192)
     train, seen = Counter(), set()
-    ids, sizes, texts, size = [], [], [], 0
+    ids, texts, size = [], [], 0
 
     def packet() -> bool:
         nonlocal size
-        blob = press.compress(b"".join(texts))
-        full = out.add(chunk, None, None, list(ids), list(sizes), blob, weight=len(blob))
-        ids.clear(), sizes.clear(), texts.clear()
+        made = packed(ids, texts, press)
+        full = out.add(chunk, None, None, made, weight=len(made))
+        ids.clear(), texts.clear()
         size = 0
         return full
 
     def dictionary() -> Iterator[pa.RecordBatch]:
         for word in seen:
-            if out.add(chunk, word, train.get(word, 0), None, None, None):
+            if out.add(chunk, word, train.get(word, 0), None):
                 yield out.take()
         seen.clear()
         train.clear()
@@ -80,7 +105,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], test_fold: int, folds: int) -> It
             data = (text or "").encode("utf-8", "surrogatepass")
             found = tokens(data)
             (seen.update if fold_number(doc_id, folds) == test_fold else train.update)(found)
-            ids.append(doc_id), sizes.append(len(data)), texts.append(data)
+            ids.append(doc_id), texts.append(data)
             size += len(data)
             if size >= PACKET and packet():
                 yield out.take()
@@ -97,13 +122,6 @@ def _chunks(batches: Iterator[pa.RecordBatch], test_fold: int, folds: int) -> It
     yield from out.rest()
 
 
-def unpacked(ids: list, sizes: list[int], blob: bytes) -> Iterator[tuple[int | None, bytes]]:
-    data, at = zstandard.ZstdDecompressor().decompress(blob, max_output_size=max(1, sum(sizes))) if sum(sizes) else b"", 0
-    for doc_id, size in zip(ids, sizes, strict=True):
-        yield doc_id, data[at : at + size]
-        at += size
-
-
 def _pairs(batches: Iterator[pa.RecordBatch], node: dict[bytes, int], groups: int, test_fold: int, folds: int) -> Iterator[pa.RecordBatch]:
     """Neighbouring nodes of training texts and how often they stand together."""
     nodes = len(node) + groups
@@ -111,9 +129,9 @@ def _pairs(batches: Iterator[pa.RecordBatch], node: dict[bytes, int], groups: in
     total = np.zeros((nodes, nodes), np.int64)
     end = node[END]
     for batch in batches:
-        for ids, sizes, blob in rows(batch, "ids", "sizes", "blob"):
+        for (packet,) in rows(batch, "packet"):
             listed: list[int] = [end]
-            for doc_id, data in unpacked(ids, sizes, blob):
+            for doc_id, data in unpacked(packet):
                 if fold_number(doc_id, folds) == test_fold:
                     continue
                 for w in tokens(data):
@@ -218,7 +236,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, total: int, words: i
     counts = logs = emit = cls = None
     end_class = int(model.own[model.node[END]])
     for batch in batches:
-        for chunk_, word, n, ids, sizes, blob in rows(batch, "chunk", "word", "n", "ids", "sizes", "blob"):
+        for chunk_, word, n, packet in rows(batch, "chunk", "word", "n", "packet"):
             if chunk_ != chunk:
                 chunk, at, word_list, count_list, counts = chunk_, {}, [], [], None
             if word is not None:
@@ -235,7 +253,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, total: int, words: i
                 node = np.where(rare, base + group, node)
                 emit = model.inside[node] + np.where(rare, np.log10((counts + 0.5) / (group_tokens[group] + 0.5 * (group_words[group] + 1))), 0.0)
                 cls = model.own[node]
-            for doc_id, data in unpacked(ids, sizes, blob):
+            for doc_id, data in unpacked(packet):
                 own = np.array([at[w] for w in tokens(data)], np.int64)
                 kind = cls[own]
                 before = np.concatenate([[end_class], kind[:-1]])
@@ -264,12 +282,13 @@ def score(docs: DataFrame, words: int = WORDS, groups: int = GROUPS, classes: in
     run = partial(_pairs, node=node, groups=groups, test_fold=test_fold, folds=folds)
     nodes = len(node) + groups
     pairs = np.zeros((nodes, nodes), np.int64)  # (words + groups + 1) squared at most
-    summed = packets.select("ids", "sizes", "blob").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    made = summed.toPandas()
-    pairs[made["a"].to_numpy(np.int64), made["b"].to_numpy(np.int64)] = made["n"].to_numpy(np.int64)
+    summed = packets.select("packet").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    made = summed.toArrow()  # no Python object per row
+    pairs[made["a"].to_numpy(), made["b"].to_numpy()] = made["n"].to_numpy()
+    del made
     model = Model(node, exchange(pairs, classes), pairs, group_tokens, group_words)
     known = listed.drop("n").join(counts, "word")
-    both = known.select("chunk", "word", "n", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<int>").alias("sizes"), F.lit(None).cast("binary").alias("blob")).unionByName(packets)
+    both = known.select("chunk", "word", "n", F.lit(None).cast("binary").alias("packet")).unionByName(packets)
     dealt = both.repartition("chunk").sortWithinPartitions("chunk", F.col("word").isNull())
     run = partial(_score, model=model, total=int(all_.n), words=int(all_.v), test_fold=test_fold, folds=folds)
     return dealt.mapInArrow(run, SCORES)
