@@ -153,3 +153,24 @@ def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class and number of links of every document."""
     return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+oracle(
+    "op10_ngram_jaccard",
+    r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\r\x0b\x0c]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, least(5, len(w)) AS n, w FROM d),
+s AS (SELECT doc_id, CASE WHEN n = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' ')))) END AS grams FROM g),
+c AS (SELECT grams, min(doc_id) AS cls, count(*) AS docs, len(grams) AS size FROM s GROUP BY grams),
+e AS (SELECT cls, size, unnest(grams) AS gram FROM c),
+p AS (SELECT a.cls AS x, b.cls AS y, a.size + b.size - count(*) AS either, count(*) AS both
+      FROM e a JOIN e b ON a.gram = b.gram AND a.cls < b.cls GROUP BY a.cls, b.cls, a.size, b.size HAVING 5 * count(*) >= 4 * (a.size + b.size - count(*))),
+l AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r AS (SELECT cls AS a, cls AS b FROM c UNION SELECT r.a, l.y FROM r JOIN l ON r.b = l.x),
+k AS (SELECT a, min(b) AS class_id FROM r GROUP BY a),
+n AS (SELECT x, sum(docs) AS linked FROM l JOIN c ON c.cls = l.y GROUP BY x)
+SELECT doc_id, class_id, c.cls AS copy_id, CAST(docs - 1 + coalesce(linked, 0) AS BIGINT) AS n_links
+FROM s JOIN c ON s.grams = c.grams JOIN k ON k.a = c.cls LEFT JOIN n ON n.x = c.cls
+""",
+)
