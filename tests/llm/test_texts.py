@@ -192,6 +192,34 @@ def test_disguised_identifiers_map_back(text, kind, part):
     assert [(text[s:e], k) for s, e, k in spans if (s, e, k) not in base] == [(part, kind)]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "part"),
+    [
+        ("to bob@example dot com now", "email", "bob@example dot com"),
+        ("host 10 dot 0 dot 0 dot 1 up", "ip", "10 dot 0 dot 0 dot 1"),
+        ("mail x at y\ndot\ncom, please", "email", "x at y\ndot\ncom"),
+        ("(plus one two three four five six seven eight nine)", "phone", "plus one two three four five six seven eight nine"),
+    ],
+)
+def test_disguises_are_found_without_other_hints(text, kind, part):
+    at = text.index(part)
+    wanted = [(at, at + len(part), kind)]
+    assert pii.find_spans(text)[1] == pii.find_spans(text + " \u2013 \u03a9")[1] == wanted
+
+
+DISGUISE = st.sampled_from(
+    [*"ab1 @.,;()[]<-_\n\t", "at", "AT", "arroba", "dot", "Dot", "punkt", "pun\u212at", "punto", "point", "plus", "one", "Two", "zéro", "fünf", "\u017fix"]
+    + [" ", "  ", " dot ", " at ", " one two ", "\u2003", "\u200b", "\u00b5", "\u03a9", "–", "e"]
+)
+
+
+@settings(max_examples=3000, deadline=None)
+@given(st.lists(DISGUISE, max_size=14))
+def test_gate_opens_wherever_a_rule_applies(parts):
+    text = "".join(parts)
+    assert pii.hinted(text) or not pii.RULES.search(text)
+
+
 def test_find_and_mask(spark):
     rows = [*hard_rows(), (500, "a@b.cd and 4242 4242 4242 4242, +1 (017) 555-7713; 1.2.3.4"), (501, "a@b.cd@e.fg")]
     made = pii.digest(pii.find(frame(spark, rows))).collect()
