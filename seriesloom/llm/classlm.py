@@ -1,10 +1,12 @@
 """Class-based n-gram language model with classes from exchange clustering (Brown et al. 1992).
 
 Tokens are words between ASCII white space, A-Z lower-cased, and an end token per text. The most
-frequent words, and groups of the other words by their last two bytes, are the nodes of a table of
-neighbours, which is at most nodes x nodes however large the corpus is. Exchange moves one node at
-a time to the class that raises the likelihood most. A token's probability is that of its class
-after the class before, times that of its node in the class, times that of the word in its group.
+frequent words are clustered first: exchange moves one word at a time to the class that raises the
+likelihood most, with all other words as one fixed node. Then every other training word gets a class
+in distributed rounds, by the classes of all its neighbours: first those of the frequent words, in
+later rounds those of all words. A token's probability is that of its class after the class before,
+times that of its word in the class. A word that training texts don't have goes by its last two
+bytes to a bucket in the class where most training words with these bytes are.
 
 Counts of all words are exact and stay distributed: a task cuts its texts into chunks with a bounded
 dictionary, the dictionaries are summed by word, and every chunk gets the counts of its own words
@@ -34,6 +36,8 @@ from seriesloom.llm.common import Out, fold_number, rows
 from seriesloom.session import written
 
 WORDS, GROUPS, CLASSES, ROUNDS = 1500, 256, 64, 12
+REST = 1  # node, and class, of words without a class yet
+ASSIGNED = 2  # rounds for the words that exchange has not placed
 TEST_FOLD, FOLDS = 1, 5
 END = b""
 #: A chunk ends with this many different words; texts travel in packets of so many bytes.
@@ -122,25 +126,17 @@ def _chunks(batches: Iterator[pa.RecordBatch], test_fold: int, folds: int) -> It
     yield from out.rest()
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], node: dict[bytes, int], groups: int, test_fold: int, folds: int) -> Iterator[pa.RecordBatch]:
+def _pairs(batches: Iterator[pa.RecordBatch], node: dict[bytes, int], test_fold: int, folds: int) -> Iterator[pa.RecordBatch]:
     """Neighbouring nodes of training texts and how often they stand together."""
-    nodes = len(node) + groups
-    base, memory = len(node), dict(node)
+    nodes = len(node) + 1
     total = np.zeros((nodes, nodes), np.int64)
     end = node[END]
     for batch in batches:
         for (packet,) in rows(batch, "packet"):
             listed: list[int] = [end]
             for doc_id, data in unpacked(packet):
-                if fold_number(doc_id, folds) == test_fold:
-                    continue
-                for w in tokens(data):
-                    at = memory.get(w)
-                    if at is None:
-                        at = base + group_of(w, groups)
-                        if len(memory) < 500_000:
-                            memory[w] = at
-                    listed.append(at)
+                if fold_number(doc_id, folds) != test_fold:
+                    listed += [node.get(w, REST) for w in tokens(data)]
             if len(listed) > 1:
                 made = np.array(listed, np.int64)
                 key, n = np.unique(made[:-1] * nodes + made[1:], return_counts=True)
@@ -224,71 +220,241 @@ class Model:
         self.inside = np.log10((counts + 0.5) / (per_class + 0.5 * hot.sum(0))[own])
 
 
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+NEIGHBOURS = "word binary, near binary, cell long, n long"
+NEAR = np.dtype([("k", "<u2"), ("n", "<u4")])
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[head], np.add.reduceat(n, head)
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch], frequent: dict[bytes, int], classes: int, test_fold: int, folds: int) -> Iterator[pa.RecordBatch]:
+    """Classes before and after the words that are not frequent, once per chunk and word, and how often class follows class.
+
+    Words that come with a class, in front of their chunk's packets, have it; others are ``REST``.
+    """
+    out = Out(pa.schema([("word", pa.binary()), ("near", pa.binary()), ("cell", pa.int64()), ("n", pa.int64())]), most_bytes=8 << 20, most=16_384)
+    table = np.zeros(classes * classes, np.int64)
+    chunk, at, kinds, rare, parts, held = None, {}, [], [], [], 0
+
+    def known(word: bytes, cls: int | None) -> int:
+        at[word] = len(kinds)
+        kinds.append(frequent.get(word, REST if cls is None else cls))
+        rare.append(word not in frequent)
+        return at[word]
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal held
+        if parts:
+            key, n = _summed(parts)
+            made = np.empty(len(key), NEAR)
+            made["k"], made["n"] = key % (2 * classes), n
+            whole, word = made.tobytes(), key // (2 * classes)
+            heads = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            names = list(at)
+            for w, i, j in zip(word[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(word)], strict=True):
+                if out.add(names[w], whole[i * NEAR.itemsize : j * NEAR.itemsize], None, None, weight=(j - i) * NEAR.itemsize):
+                    yield out.take()
+        at.clear(), kinds.clear(), rare.clear(), parts.clear()
+        held = 0
+
+    for batch in batches:
+        for chunk_, word, cls, packet in rows(batch, "chunk", "word", "cls", "packet"):
+            if chunk_ != chunk:
+                yield from flush()
+                chunk = chunk_
+            if word is not None:
+                known(word, cls)
+                continue
+            listed = [END]
+            for doc_id, data in unpacked(packet):
+                if fold_number(doc_id, folds) != test_fold:
+                    listed += tokens(data)
+            if len(listed) == 1:
+                continue
+            own = np.array([at[w] if w in at else known(w, None) for w in listed], np.int64)
+            kind, is_rare = np.array(kinds, np.int64), np.array(rare, bool)
+            left, right = own[:-1], own[1:]
+            table += np.bincount(kind[left] * classes + kind[right], minlength=classes * classes)
+            before, after = is_rare[right], is_rare[left]
+            key = np.concatenate([right[before] * (2 * classes) + kind[left[before]], left[after] * (2 * classes) + classes + kind[right[after]]])
+            if len(key):
+                parts.append(np.unique(key, return_counts=True))
+                held += len(parts[-1][0])
+                if held > 4_000_000:
+                    parts[:] = [_summed(parts)]
+                    held = 0
+    yield from flush()
+    for cell in np.flatnonzero(table).tolist():
+        if out.add(None, None, cell, int(table[cell])):
+            yield out.take()
+    yield from out.rest()
+
+
+def best_classes(near: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class, after the fixed ones, under which each word's neighbours are likeliest; ``near`` has classes before, then after."""
+    classes = len(table)
+    seen = np.log(table + 0.5)
+    size = np.log(table.sum(0) + 0.5 * classes) + np.log(table.sum(1) + 0.5 * classes)
+    before, after = near[:, :classes], near[:, classes:]
+    gain = before @ seen + after @ seen.T - before.sum(1)[:, None] * size[None, :]
+    return REST + 1 + gain[:, REST + 1 :].argmax(1)
+
 
+def _assign(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Class and count of every word, from its rows behind each other."""
+    width = 2 * len(table)
+    words: list[bytes] = []
+    which, parts = [], []
 
-def _score(batches: Iterator[pa.RecordBatch], model: Model, total: int, words: int, test_fold: int, folds: int) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    out = Out(pa.schema([(c.split()[0], k) for c, k in zip(SCORES.split(", "), kinds, strict=True)]))
-    groups, base = len(model.group_tokens), len(model.node)
-    group_tokens, group_words = np.array(model.group_tokens, np.float64), np.array(model.group_words, np.float64)
-    chunk, at, word_list, count_list = None, {}, [], []
-    counts = logs = emit = cls = None
-    end_class = int(model.own[model.node[END]])
+    def solved() -> pa.RecordBatch:
+        cells = np.frombuffer(b"".join(parts), NEAR)
+        row = np.repeat(np.array(which, np.int64), [len(x) // NEAR.itemsize for x in parts])
+        near = np.bincount(row * width + cells["k"], cells["n"].astype(np.float64), len(words) * width).reshape(-1, width)
+        n = near[:, : len(table)].sum(1).astype(np.int64)
+        made = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n), pa.array(best_classes(near, table), pa.int64())], ["word", "n", "cls"])
+        words.clear(), which.clear(), parts.clear()
+        return made
+
+    for batch in batches:
+        for word, near in rows(batch, "word", "near"):
+            if not words or word != words[-1]:
+                if len(words) >= 2048:
+                    yield solved()
+                words.append(word)
+            which.append(len(words) - 1), parts.append(near)
+    if words:
+        yield solved()
+
+
+CLASSED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inside double, kinds binary"
+
+
+def _classed(
+    batches: Iterator[pa.RecordBatch], sizes: np.ndarray, buckets: np.ndarray, total: int, words: int, test_fold: int, folds: int
+) -> Iterator[pa.RecordBatch]:
+    """Counts and unigram score of every text, the score of its words inside their classes, and the classes."""
+    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+    out = Out(pa.schema([(c.split()[0], k) for c, k in zip(CLASSED.split(", "), types, strict=True)]), most_bytes=8 << 20)
+    chunk, at, listed, counts = None, {}, [], None
     for batch in batches:
-        for chunk_, word, n, packet in rows(batch, "chunk", "word", "n", "packet"):
+        for chunk_, word, n, cls, packet in rows(batch, "chunk", "word", "n", "cls", "packet"):
             if chunk_ != chunk:
-                chunk, at, word_list, count_list, counts = chunk_, {}, [], [], None
+                chunk, at, listed, counts = chunk_, {}, [], None
             if word is not None:
-                at[word] = len(word_list)
-                word_list.append(word)
-                count_list.append(n)
+                at[word] = len(listed)
+                listed.append((n, int(buckets[group_of(word, len(buckets))]) if cls is None else cls))
                 continue
             if counts is None:  # all words of the chunk have come
-                counts = np.array(count_list, np.int64)
+                counts, kind = np.array(listed, np.int64).T
                 logs = np.log10((counts + 0.5) / (total + 0.5 * (words + 1)))
-                node = np.array([model.node.get(w, -1) for w in word_list], np.int64)
-                group = np.array([group_of(w, groups) for w in word_list], np.int64)
-                rare = node < 0
-                node = np.where(rare, base + group, node)
-                emit = model.inside[node] + np.where(rare, np.log10((counts + 0.5) / (group_tokens[group] + 0.5 * (group_words[group] + 1))), 0.0)
-                cls = model.own[node]
+                inside = np.log10((counts + 0.5) / sizes[kind])
             for doc_id, data in unpacked(packet):
                 own = np.array([at[w] for w in tokens(data)], np.int64)
-                kind = cls[own]
-                before = np.concatenate([[end_class], kind[:-1]])
-                score = float((emit[own] + model.after[before, kind]).sum())
-                if out.add(doc_id, fold_number(doc_id, folds) == test_fold, len(own), int((counts[own] > 0).sum()), total, float(logs[own].sum()), score):
+                kinds = kind[own].astype(np.min_scalar_type(len(sizes))).tobytes()
+                held_out = fold_number(doc_id, folds) == test_fold
+                if out.add(doc_id, held_out, len(own), int((counts[own] > 0).sum()), float(logs[own].sum()), float(inside[own].sum()), kinds, weight=len(kinds)):
                     yield out.take()
     yield from out.rest()
 
 
+def _followed(kinds: bytes, classes: int) -> np.ndarray:
+    """Class before and class of every token, as one number."""
+    kind = np.frombuffer(kinds, np.min_scalar_type(classes)).astype(np.int64)
+    return np.concatenate([[0], kind[:-1]]) * classes + kind
+
+
+def _table(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[pa.RecordBatch]:
+    table = np.zeros(classes * classes, np.int64)
+    for batch in batches:
+        for (kinds,) in rows(batch, "kinds"):
+            table += np.bincount(_followed(kinds, classes), minlength=classes * classes)
+    cell = np.flatnonzero(table)
+    yield pa.RecordBatch.from_pydict({"cell": cell, "n": table[cell]})
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _score(batches: Iterator[pa.RecordBatch], model: Model, total: int) -> Iterator[pa.RecordBatch]:
+    after, classes = model.after.reshape(-1), len(model.after)
+    for batch in batches:
+        scores = [inside + float(after[_followed(kinds, classes)].sum()) for inside, kinds in rows(batch, "inside", "kinds")]
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known")], pa.array([total] * len(scores), pa.int64()), batch.column("base_score"), pa.array(scores, pa.float64())],
+            [c.split()[0] for c in SCORES.split(", ")],
+        )
+
+
+def _square(cells: DataFrame, classes: int) -> np.ndarray:
+    """The table of summed cells: classes x classes."""
+    made = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(classes * classes, np.int64)
+    table[made["cell"].to_numpy()] = made["n"].to_numpy()
+    return table.reshape(classes, classes)
+
+
 def score(docs: DataFrame, words: int = WORDS, groups: int = GROUPS, classes: int = CLASSES, test_fold: int = TEST_FOLD, folds: int = FOLDS) -> DataFrame:
     """Counts, unigram score and class model score of every text. Runs jobs."""
+    spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long"), "text")
     chunks = written(plain.mapInArrow(partial(_chunks, test_fold=test_fold, folds=folds), KINDS), "chunks")
     listed, packets = chunks.where("word is not null").select("chunk", "word", "n"), chunks.where("word is null")
     counts = written(listed.groupBy("word").agg(F.sum("n").alias("n")), "counts")
     all_ = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-    top = [bytes(r.word) for r in counts.where((F.col("n") > 0) & (F.length("word") > 0)).orderBy(F.desc("n"), "word").limit(words).collect()]
-    node = {END: 0} | {w: i + 1 for i, w in enumerate(top)}
-    # numbers of rare words by their last bytes: `groups` rows
-    tail = F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(groups))
-    frequent = F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in node], "word binary"))
-    rare = counts.join(frequent, "word", "left_anti").groupBy(tail.alias("g")).agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v"))
-    group_tokens, group_words = [0] * groups, [0] * groups
-    for r in rare.collect():
-        group_tokens[r.g], group_words[r.g] = r.n, r.v
-    run = partial(_pairs, node=node, groups=groups, test_fold=test_fold, folds=folds)
-    nodes = len(node) + groups
-    pairs = np.zeros((nodes, nodes), np.int64)  # (words + groups + 1) squared at most
-    summed = packets.select("packet").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    made = summed.toArrow()  # no Python object per row
+    top = counts.where((F.col("n") > 0) & (F.length("word") > 0)).orderBy(F.desc("n"), "word").limit(words).collect()
+    node = {END: 0} | {bytes(r.word): i + 2 for i, r in enumerate(top)}
+    nodes = len(node) + 1
+    classes = max(REST + 2, min(classes, nodes))
+    # classes of the frequent words, all others being one node
+    pairs = np.zeros((nodes, nodes), np.int64)  # (words + 2) squared at most
+    run = partial(_pairs, node=node, test_fold=test_fold, folds=folds)
+    made = packets.select("packet").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
     pairs[made["a"].to_numpy(), made["b"].to_numpy()] = made["n"].to_numpy()
     del made
-    model = Model(node, exchange(pairs, classes), pairs, group_tokens, group_words)
-    known = listed.drop("n").join(counts, "word")
-    both = known.select("chunk", "word", "n", F.lit(None).cast("binary").alias("packet")).unionByName(packets)
-    dealt = both.repartition("chunk").sortWithinPartitions("chunk", F.col("word").isNull())
-    run = partial(_score, model=model, total=int(all_.n), words=int(all_.v), test_fold=test_fold, folds=folds)
-    return dealt.mapInArrow(run, SCORES)
+    own = exchange(pairs, classes, fixed=(0, REST))
+    frequent = {w: int(own[i]) for w, i in node.items()}
+    hot = np.eye(classes, dtype=np.int64)[own]
+    table = hot.T @ pairs @ hot
+
+    # classes of all other training words
+    placed = spark.createDataFrame([(w, c) for w, c in frequent.items()], "word binary, cls long")
+    no_class = F.lit(None).cast("long").alias("cls")
+
+    def dealt(assigned: DataFrame) -> DataFrame:
+        """Every chunk's words with counts and classes, and its packets after them."""
+        known = counts.join(assigned.select("word", "cls").union(placed), "word", "left").join(listed.select("chunk", "word"), "word")
+        both = known.select("chunk", "word", "n", "cls", F.lit(None).cast("binary").alias("packet")).unionByName(packets.withColumn("cls", no_class))
+        return both.repartition("chunk").sortWithinPartitions("chunk", F.col("word").isNull())
+
+    run = partial(_neighbours, frequent=frequent, classes=classes, test_fold=test_fold, folds=folds)
+    assigned = None
+    for round_ in range(ASSIGNED):
+        source = packets.withColumn("cls", no_class) if assigned is None else dealt(assigned)
+        near = source.mapInArrow(run, NEIGHBOURS)
+        if assigned is not None:
+            near = written(near, f"near{round_}")  # read twice
+            table = _square(near.where("word is null").select("cell", "n"), classes)
+        by_word = near.where("word is not null").select("word", "near").repartition("word").sortWithinPartitions("word")
+        assigned = written(by_word.mapInArrow(partial(_assign, table=table), "word binary, n long, cls long"), f"classes{round_}")
+
+    # sizes of the classes, and the buckets of unseen words by their last bytes: groups x classes rows
+    tail = F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(groups))
+    tokens_in, words_in = np.zeros(classes), np.zeros((groups, classes))
+    for r in assigned.groupBy(tail.alias("g"), "cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        tokens_in[r.cls] += r.n
+        words_in[r.g, r.cls] = r.v
+    buckets = np.where(words_in.any(1), words_in.argmax(1), REST)
+    sizes = tokens_in + 0.5 * (words_in.sum(0) + np.bincount(buckets, minlength=classes) + np.bincount([*frequent.values()], minlength=classes))
+    sizes += np.bincount([frequent[END], *[frequent[bytes(r.word)] for r in top]], [0, *[r.n for r in top]], classes)
+    sizes[frequent[END]] += float(pairs[:, node[END]].sum())
+
+    run = partial(_classed, sizes=sizes, buckets=buckets, total=int(all_.n), words=int(all_.v), test_fold=test_fold, folds=folds)
+    texts = written(dealt(assigned).mapInArrow(run, CLASSED), "classed")
+    table = _square(texts.where("not held_out").select("kinds").mapInArrow(partial(_table, classes=classes), "cell long, n long"), classes)
+    model = Model({}, np.arange(classes), table, [], [])
+    return texts.mapInArrow(partial(_score, model=model, total=int(all_.n)), SCORES)

@@ -254,6 +254,29 @@ def test_class_model(spark, monkeypatch):
     assert classlm.score(frame(spark, [])).count() == 0
 
 
+def test_words_outside_the_exchange_have_their_own_classes(spark):
+    """Words with equal last bytes that stand at different places."""
+    train = [i for i in range(2000) if fold(i) != 1]
+    kind = lambda i, most: i % 3 if i % 2 else i % most  # noqa: E731  (three of each kind are frequent)
+    rows = [(i, f"det n{kind(i, 90)}ab is pro v{kind(i, 80)}ab on") for i in train]
+    good, bad = [i for i in range(2000) if fold(i) == 1][:2]
+    rows += [(good, "det n20ab is pro v20ab on"), (bad, "det v20ab is pro n20ab on")]
+    made = {r.doc_id: r for r in classlm.score(spark.createDataFrame(rows, "doc_id long, text string"), words=10, groups=4, classes=8).collect()}
+    assert len(made) == len(rows) and made[good].base_score == pytest.approx(made[bad].base_score)
+    assert made[good].score > made[bad].score + 1
+
+
+def test_neighbours_and_classes_of_rare_words():
+    near = np.zeros((2, 8))
+    near[0, 0] = near[0, 4 + 3] = 5  # after the end, before class 3
+    near[1, 3] = near[1, 4 + 0] = 5
+    table = np.zeros((4, 4))
+    table[0, 2], table[2, 3], table[3, 0] = 50, 50, 50
+    assert classlm.best_classes(near, table)[0] == 2
+    table[3, 3] = 200
+    assert classlm.best_classes(near, table).tolist() == [2, 3]
+
+
 def test_class_model_is_a_distribution_and_exchange_climbs():
     rng = np.random.default_rng(0)
     nodes, groups = 12, 3
