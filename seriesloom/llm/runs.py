@@ -8,8 +8,9 @@ to where their key is dealt to, once per different run. There an index finds eac
 starts earlier. All that is known about copies of a whole text or of a whole run is their number and
 the first place, so a group of copies costs one row per task that sees it, never pairs.
 
-A key with more than ``most`` occurrences is not kept together: its windows travel one by one under
-their own hash, so that no task has to hold them.
+A key with more than ``most`` runs, those of one text counted one by one and long runs as several, is
+not kept together: its windows travel one by one under their own hash, so that no task has to hold
+them.
 
 Order of documents: by id, a missing id first; among different texts with the same id by the hash of
 the text; rows with the same id and text are one document and get the same result.
@@ -92,17 +93,23 @@ def runs_of(units: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _keys(batches: Iterator[pa.RecordBatch], units: Callable, k: int, m: int) -> Iterator[pa.RecordBatch]:
-    """Per text: its hash, the keys that it has once, and those that could repeat a window in it."""
+    """Per text: its hash, the keys that it has once, and those that could repeat a window in it.
+
+    ``loads``: the number of runs of each of the latter, or their units in usual runs if that is more.
+    """
     make = units()
-    out = Out(pa.schema([("tk", pa.binary()), ("once", pa.list_(pa.int64())), ("more", pa.list_(pa.int64()))]), most_bytes=8 << 20)
+    out = Out(pa.schema([("tk", pa.binary()), ("once", pa.list_(pa.int64())), ("more", pa.list_(pa.int64())), ("loads", pa.list_(pa.int64()))]), most_bytes=8 << 20)
     for batch in batches:
         for (text,) in rows(batch, "text"):
             data = (text or "").encode("utf-8", "surrogatepass")
             hashed, _ = make(data)
             if len(hashed) >= k:
-                found, _, _, several = runs_of(hashed, k, m)
-                key, n = np.unique(np.concatenate([found, found[several]]), return_counts=True)
-                if out.add(xxhash.xxh3_128_digest(data), key[n == 1], key[n > 1], weight=8 * len(key)):
+                found, _, count, several = runs_of(hashed, k, m)
+                key, at, n = np.unique(found, return_inverse=True, return_counts=True)
+                units = np.bincount(at, count + (k - 1)).astype(np.int64)
+                load = np.maximum(n, -(-units // (2 * k - m)))  # a run whose gram stays has 2k - m units at most
+                more = (n > 1) | (np.bincount(at, several) > 0)
+                if out.add(xxhash.xxh3_128_digest(data), key[~more], key[more], load[more], weight=8 * (len(key) + int(more.sum()))):
                     yield out.take()
     yield from out.rest()
 
@@ -157,14 +164,15 @@ def hits(docs: DataFrame, units: Callable, find: Callable, k: int, m: int, most:
     """
     smallest = -(1 << 63)
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(smallest)).alias("sid"), "text")
-    listed = plain.mapInArrow(partial(_keys, units=units, k=k, m=m), "tk binary, once array<long>, more array<long>")
-    marked = lambda c, more: F.transform(c, lambda k: F.struct(k.alias("key"), F.lit(more).alias("more")))
-    every = F.explode(F.concat(marked("once", False), marked("more", True))).alias("k")
+    listed = plain.mapInArrow(partial(_keys, units=units, k=k, m=m), "tk binary, once array<long>, more array<long>, loads array<long>")
+    once = F.transform("once", lambda k: F.struct(k.alias("key"), F.lit(False).alias("more"), F.lit(1).cast("long").alias("load")))
+    more = F.zip_with("more", "loads", lambda k, n: F.struct(k.alias("key"), F.lit(True).alias("more"), n.alias("load")))
+    every = F.explode(F.concat(once, more)).alias("k")
     # Half of a text's name is enough here: should two texts share it, both are asked for more.
-    each = listed.select(F.xxhash64("tk").alias("half"), every).select("half", "k.key", "k.more")
+    each = listed.select(F.xxhash64("tk").alias("half"), every).select("half", "k.key", "k.more", "k.load")
     repeated = (
         each.groupBy("key")
-        .agg(F.min("half").alias("a"), F.max("half").alias("b"), F.max("more").alias("more"), F.count("*").alias("n"))
+        .agg(F.min("half").alias("a"), F.max("half").alias("b"), F.max("more").alias("more"), F.sum("load").alias("n"))
         .where("more or a <> b")
         .select("key", (F.col("n") > most).alias("is_hot"))
     )

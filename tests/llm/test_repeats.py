@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seriesloom.llm import runs, substring_dedup, suffix_dedup
@@ -43,6 +44,37 @@ def test_bytes(spark, monkeypatch, most):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in made) == wanted
 
 
+def largest_group(batches):
+    """Instead of the windows found: the size of the largest group of runs, as a range."""
+    size = Counter()
+    for batch in batches:
+        size.update(batch.column("key").to_pylist())
+    yield pa.RecordBatch.from_pylist([{"tk": b"", "start": n, "end": n} for n in sorted(size.values())[-1:]], GROUP)
+
+
+GROUP = pa.schema([("tk", pa.binary()), ("start", pa.int64()), ("end", pa.int64())])
+
+
+def rows_with_a_heavy_key():
+    """One text in which the gram with the smallest hash heads 300 different runs, and a text that repeats a part of it."""
+    make = substring_dedup.word_units()
+    heads = [f"h{i} a b c d e" for i in range(3000)]
+    hashes = [int(runs.gram_hashes(make(h.encode())[0], 6)[0]) for h in heads]
+    head = heads[hashes.index(min(hashes))].split()
+    words = [w for i in range(300) for w in [*head, *[f"w{i}x{j}" for j in range(14)]]]
+    return [(1, " ".join(words)), (2, " ".join(["new", *words[1007:1050], "end"]))]
+
+
+def test_a_key_with_many_runs_in_one_text_is_not_kept_together(spark, monkeypatch):
+    rows, most = rows_with_a_heavy_key(), 50
+    group = lambda n: [r["start"] for x in runs.hits(frame(spark, rows), substring_dedup.word_units, largest_group, 20, 6, n)[1].collect() for r in x.ranges]
+    assert max(group(100_000)) >= 300
+    assert max(group(most)) <= most
+    monkeypatch.setattr(runs.hits, "__defaults__", (most,))
+    made = {r.doc_id: r.n_removed for r in substring_dedup.deduplicate(frame(spark, rows), shard=2000).collect()}
+    assert made == {1: 0, 2: 43}
+
+
 def test_empty_tables(spark):
     assert substring_dedup.deduplicate(frame(spark, [])).count() == 0
     assert suffix_dedup.deduplicate(frame(spark, [])).count() == 0
