@@ -3,7 +3,9 @@
 A feature is a window of 64 bytes. Its entropy, rounded to a thousandth of the largest, has a
 frequency in the corpus; the rarer the value, the better the window's rank. In each run of 64
 windows the best one (the leftmost on a tie) gets a vote, and windows with enough votes are the
-features of the text. They are inserted in order into a chain of Bloom filters, the next one
+features of the text. A text of fewer than 256 bytes, or one where no window has enough votes, is
+covered instead: its features are the best windows of short stretches, chosen so that every byte
+lies in one. Features are inserted in order into a chain of Bloom filters, the next one
 starting when one is full. Two chains are compared filter by filter: the overlap of bits, less what
 chance explains, over the largest overlap possible.
 
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from seriesloom.llm.common import Out, rows, sha256_hex
 
 WIDTH, LEVELS, VOTES = 64, 1000, 16
+SHORT = 4 * WIDTH  # texts below are covered by their features
 WEAK = 100  # windows below a tenth of the largest entropy never rank
 BITS, HASHES, FULL = 2048, 5, 160
 BLOCK = 1 << 20
@@ -83,6 +86,17 @@ def votes(ranks: np.ndarray) -> np.ndarray:
     return np.bincount(best & 0xFFFFFFFF, minlength=n)
 
 
+def covering(ranks: np.ndarray) -> list[int]:
+    """Windows in which every byte lies: each the best (the last on a tie) of those half a window back."""
+    last, chosen, at = len(ranks) - 1, [], 0
+    while at < last + WIDTH:
+        high = min(at, last)
+        low = min(max(0, at - WIDTH // 2 + 1), high)
+        chosen.append(high - int(ranks[low : high + 1][::-1].argmin()))
+        at = chosen[-1] + WIDTH
+    return chosen
+
+
 def features(data: bytes, rank: np.ndarray) -> list[bytes]:
     """Digests of a text's features in order."""
     if not data:
@@ -106,8 +120,9 @@ def features(data: bytes, rank: np.ndarray) -> list[bytes]:
         ok = (own[:cut] >= VOTES) & (rank[level[:cut]] < LEVELS + 1)
         chosen += (at + np.flatnonzero(ok)).tolist()
         carried = own[cut:]
-    if not chosen:
-        chosen = [0]
+    if not chosen or len(data) < SHORT:
+        windows = len(data) - WIDTH + 1
+        chosen = covering(np.concatenate([rank[level[: min(BLOCK, windows - at)]] for at, level in levels(data)]))
     return [xxhash.xxh3_128_digest(data[i : i + WIDTH]) for i in chosen]
 
 

@@ -100,6 +100,27 @@ def test_fingerprints(spark):
     assert alone.near_next == 1.0
 
 
+@pytest.mark.parametrize("size", [64, 65, 100, 127, 128, 141, 142, 200, 255, 5000])
+@pytest.mark.parametrize("letters", [2, 20])
+def test_features_cover_short_and_weak_texts(size, letters, monkeypatch):
+    rng = np.random.default_rng(size)
+    rank = np.arange(1001)[::-1].copy()
+    rank[: fingerprint.WEAK] = 1001
+    if size == 5000:
+        rank[:] = 1001  # no window ranks
+    data = rng.integers(97, 97 + letters, size).astype(np.uint8)
+    own = fingerprint.features(data.tobytes(), rank)
+    for i in range(0, size, max(1, size // 50)):
+        other = data.copy()
+        other[i] ^= 64
+        assert fingerprint.features(other.tobytes(), rank) != own
+    assert len(own) <= size // 32
+    half = np.concatenate([data[: size - size // 2], rng.integers(65, 90, size // 2).astype(np.uint8)])
+    assert fingerprint.likeness(fingerprint.chain(own), fingerprint.chain(fingerprint.features(half.tobytes(), rank))) < 1
+    monkeypatch.setattr(fingerprint, "BLOCK", 100)
+    assert fingerprint.features(data.tobytes(), rank) == own
+
+
 def test_rolling_entropy_and_blocks(monkeypatch):
     rng = np.random.default_rng(0)
     data = rng.integers(97, 110, 3000).astype(np.uint8)
