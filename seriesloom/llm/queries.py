@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import classlm, decontaminate, fingerprint, jaccard, langid, packing, pii, substring_dedup, suffix_dedup, urls
+from seriesloom.llm import (
+    classlm,
+    decontaminate,
+    fingerprint,
+    jaccard,
+    langid,
+    merkle,
+    packing,
+    pii,
+    substring_dedup,
+    suffix_dedup,
+    token_counts,
+    urls,
+    whitening,
+)
 from seriesloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +188,62 @@ SELECT doc_id, class_id, c.cls AS copy_id, CAST(docs - 1 + coalesce(linked, 0) A
 FROM s JOIN c ON s.grams = c.grams JOIN k ON k.a = c.cls LEFT JOIN n ON n.x = c.cls
 """,
 )
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first components of every usable embedding, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and verification of every document."""
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def merkle_sql() -> str:
+    """Leaves, levels, proofs and folded roots, with the crc32 bit by bit."""
+
+    def leaf(**other: str) -> str:
+        fields = [other.get(c, c) for c in merkle.FIELDS]
+        return "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END" for c in fields) + ")"
+
+    bits = "[((ord(substr(doc_id::VARCHAR, (i // 8 + 1)::BIGINT, 1)) >> (i % 8)::INT) & 1)::BIGINT for i in range(8 * strlen(doc_id::VARCHAR))]"
+    state = f"list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384::BIGINT))"
+    level = "tree, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 2) // 3)"
+
+    def sides(table: str) -> str:
+        return f"""SELECT a.tree, a.lvl, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+       coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+FROM {table} a JOIN {table} b ON a.tree = b.tree AND a.lvl = b.lvl AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY ALL"""
+
+    return f"""
+WITH RECURSIVE f AS (SELECT *, {state} & 1 = 1 AS even FROM documents),
+g AS (SELECT doc_id, coalesce('=' || source, '') AS tree, {leaf()} AS h, {leaf(text="(CASE WHEN even THEN replace(text, chr(10), '') ELSE text END)")} AS c FROM f),
+d AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM g),
+up AS (SELECT tree, 0 AS lvl, pos, h, n FROM d UNION ALL SELECT {level} FROM up WHERE n > 1 GROUP BY tree, lvl, pos // 3),
+tops AS (SELECT tree AS source, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+above AS (SELECT '' AS tree, 0 AS lvl, pos, subroot AS h, n FROM tops UNION ALL SELECT {level} FROM above WHERE n > 1 GROUP BY tree, lvl, pos // 3),
+x AS ({sides("up")}),
+y AS ({sides("above")}),
+s AS (SELECT d.tree, d.pos, x.lvl, l, r FROM d JOIN x ON x.tree = d.tree AND x.pos = d.pos // pow(3, x.lvl)::BIGINT
+      UNION ALL SELECT d.tree, d.pos, 100 + y.lvl, l, r FROM d JOIN tops ON tops.source = d.tree JOIN y ON y.pos = tops.pos // pow(3, y.lvl)::BIGINT),
+k AS (SELECT *, row_number() OVER (PARTITION BY tree, pos ORDER BY lvl) AS step FROM s),
+w AS (SELECT tree, pos, 0::BIGINT AS step, c AS h FROM d
+      UNION ALL SELECT w.tree, w.pos, k.step, sha256(l || w.h || r) FROM w JOIN k ON k.tree = w.tree AND k.pos = w.pos AND k.step = w.step + 1),
+folded AS (SELECT tree, pos, arg_max(h, step) AS folded_root FROM w GROUP BY ALL),
+proof AS (SELECT tree, pos, string_agg(l || r, '' ORDER BY step) AS proof FROM k GROUP BY ALL)
+SELECT d.doc_id, d.h AS leaf, subroot, above.h AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = above.h AS verified
+FROM d JOIN tops ON tops.source = d.tree JOIN above ON above.n = 1 JOIN folded ON folded.tree = d.tree AND folded.pos = d.pos
+LEFT JOIN proof ON proof.tree = d.tree AND proof.pos = d.pos
+"""
+
+
+oracle("op13_merkle", merkle_sql())

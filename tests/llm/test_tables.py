@@ -119,7 +119,7 @@ def test_agrees_with_sql(spark, data, name):
 
 
 def test_queries_are_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
 
 
