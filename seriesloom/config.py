@@ -86,7 +86,6 @@ class StormConfig:
     folds: int = 5
     fold_gap: int = 3
     fold_trees: int = 100
-    fold_max_rows: int | None = None
 
 
 @dataclass(frozen=True)

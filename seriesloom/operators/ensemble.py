@@ -12,11 +12,15 @@ from seriesloom.config import SEVERE_KP, STORM_KP
 from seriesloom.functions.domain import weight_of
 
 Weights = Mapping[str, float] | DataFrame
+FAIL, LEAVE_OUT = "fail", "leave out"
 
 
-def with_weights(df: DataFrame, weights: Weights, scenario: str = "scenario") -> DataFrame:
+def with_weights(
+    df: DataFrame, weights: Weights, scenario: str = "scenario", unweighted: str = FAIL
+) -> DataFrame:
     """Attach ``weight``; a scenario without one fails the job, as its rows would be lost.
 
+    With ``unweighted="leave out"`` its rows go, and the other weights count as all there are.
     A mapping becomes a column expression. A table ``(scenario, weight)`` is joined, and Spark
     broadcasts it only if its measured size allows that.
     """
@@ -24,6 +28,10 @@ def with_weights(df: DataFrame, weights: Weights, scenario: str = "scenario") ->
         out = df.join(weights.select(F.col("scenario").alias(scenario), "weight"), scenario, "left")
     else:
         out = df.withColumn("weight", weight_of(scenario, weights))
+    if unweighted == LEAVE_OUT:
+        return out.where("weight is not null")
+    if unweighted != FAIL:
+        raise ValueError(f"unweighted is {unweighted!r}; use {FAIL!r} or {LEAVE_OUT!r}")
     message = F.concat(F.lit("no weight for scenario "), F.coalesce(F.col(scenario).cast("string"), F.lit("NULL")))
     known = F.when(F.col("weight").isNull(), F.raise_error(message).cast("double")).otherwise(F.col("weight"))
     return out.withColumn("weight", known)
@@ -49,9 +57,10 @@ def weighted_by_step(
     weights: Weights,
     step: str | Sequence[str] = "step",
     scenario: str = "scenario",
+    unweighted: str = FAIL,
 ) -> DataFrame:
     """Weighted mean over scenarios per step, with the weights scaled to sum to 1."""
-    weighted = with_weights(df, weights, scenario)
+    weighted = with_weights(df, weights, scenario, unweighted)
     return weighted.groupBy(*names(step)).agg(
         *[
             (F.sum(F.col(v) * F.col("weight")) / F.sum(F.when(F.col(v).isNotNull(), F.col("weight")))).alias(v)
@@ -70,11 +79,12 @@ def exceedance_by_step(
     weights: Weights,
     threshold: float = STORM_KP,
     keys: str | Sequence[str] = (),
+    unweighted: str = FAIL,
 ) -> DataFrame:
     """Probability per step that a draw reaches the threshold, weighted over scenarios."""
     keys = names(keys)
     share = draws.groupBy(*keys, "scenario", "step").agg(_share(value, threshold).alias("probability"))
-    return weighted_by_step(share, "probability", weights, [*keys, "step"])
+    return weighted_by_step(share, "probability", weights, [*keys, "step"], unweighted=unweighted)
 
 
 def exceedance_any_step(
@@ -83,6 +93,7 @@ def exceedance_any_step(
     weights: Weights,
     threshold: float = STORM_KP,
     keys: str | Sequence[str] = (),
+    unweighted: str = FAIL,
 ) -> DataFrame:
     """Probability that a draw reaches the threshold at least once: per draw first, then over
     draws, then over scenarios."""
@@ -91,7 +102,7 @@ def exceedance_any_step(
     share = peaks.groupBy(*keys, "scenario").agg(
         _share("_peak", threshold).alias("probability"), F.count(F.lit(1)).alias("draws")
     )
-    weighted = with_weights(share, weights)
+    weighted = with_weights(share, weights, unweighted=unweighted)
     return weighted.groupBy(*keys).agg(
         (F.sum(F.col("probability") * F.col("weight")) / F.sum("weight")).alias("probability"),
         F.min("draws").alias("draws"),

@@ -5,12 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Sequence
-from functools import reduce
+from functools import partial, reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +20,20 @@ from seriesloom.operators.clean import require_columns
 from seriesloom.operators.splits import fold_parts, numbered
 from seriesloom.operators.verify import contingency, r2, regression_scores
 from seriesloom.operators.windows import last_row, number_rows
-from seriesloom.session import shared_dir, written
+from seriesloom.session import together, use_checkpoints, written
+from seriesloom.sources.publish import current, publish
 
 PREDICTION = "prediction"
+ABOVE = "_above_mean"
+TASK_ROWS = 20_000
 
 
 def regressor(features: Sequence[str], label: str, settings: TreeSettings) -> Pipeline:
-    """Unfitted: assemble the features in their fixed order, standardise, boosted trees."""
+    """Unfitted: assemble the features in their fixed order, standardise, boosted trees.
+
+    Its ``label`` is the target less its mean, which ``fit`` adds back. Trees take part by their
+    leaves (``min_leaf``); MLlib has no least number of rows to split a node.
+    """
     return Pipeline(
         stages=[
             VectorAssembler(inputCols=list(features), outputCol="_raw"),
@@ -35,7 +41,7 @@ def regressor(features: Sequence[str], label: str, settings: TreeSettings) -> Pi
             GBTRegressor(
                 featuresCol="_scaled",
                 labelCol=label,
-                predictionCol=PREDICTION,
+                predictionCol=ABOVE,
                 maxIter=settings.trees,
                 maxDepth=settings.depth,
                 stepSize=settings.rate,
@@ -48,12 +54,29 @@ def regressor(features: Sequence[str], label: str, settings: TreeSettings) -> Pi
 
 
 def fit(df: DataFrame, features: Sequence[str], label: str, settings: TreeSettings) -> PipelineModel:
-    """Fit on all rows, one model for all series. Runs jobs."""
+    """Fit on all rows, one model for all series. Runs jobs.
+
+    Boosting starts from the label's mean: the trees learn what is above it, and the last stage
+    of the model, saved with it, adds it back. Without trees the prediction is the mean. Each
+    tree is some short jobs, so a small frame is put into few tasks of ``TASK_ROWS`` rows.
+    """
     require_columns(df, [*features, label])
-    if df.isEmpty():
+    facts = df.agg(F.count(label).alias("n"), F.avg(label).alias("mean")).first()
+    if not facts.n:
         raise ValueError("no rows to train on")
-    shared_dir(df.sparkSession)
-    return regressor(features, label, settings).fit(df.select(*features, label))
+    use_checkpoints(df.sparkSession)
+    mean = f"CAST('{facts.mean!r}' AS DOUBLE)"
+    if not settings.trees:
+        return PipelineModel([SQLTransformer(statement=f"SELECT *, {mean} AS {PREDICTION} FROM __THIS__")])
+    rows = df.select(*features, (F.col(label) - facts.mean).alias("_label"))
+    fitted = regressor(features, "_label", settings).fit(rows.coalesce(max(1, -(-facts.n // TASK_ROWS))))
+    whole = SQLTransformer(statement=f"SELECT *, {ABOVE} + {mean} AS {PREDICTION} FROM __THIS__")
+    return PipelineModel([*fitted.stages, whole])
+
+
+def trees_of(model: PipelineModel) -> GBTRegressionModel:
+    """The boosted trees of a fitted model."""
+    return next(s for s in model.stages if isinstance(s, GBTRegressionModel))
 
 
 def predict(
@@ -63,7 +86,7 @@ def predict(
     low: float | None = None,
     high: float | None = None,
 ) -> DataFrame:
-    scored = model.transform(df).drop("_raw", "_scaled")
+    scored = model.transform(df).drop("_raw", "_scaled", ABOVE)
     out = scored.withColumn(PREDICTION, clip(PREDICTION, low, high))
     return out if name == PREDICTION else out.withColumnRenamed(PREDICTION, name)
 
@@ -91,20 +114,26 @@ def cross_validate(
     gap: int = 3,
     max_rows: int | None = None,
     threshold: float = STORM_KP,
+    at_once: int | None = None,
 ) -> DataFrame:
     """Scores per fold: ``fold, rows, mae, r2, csi``. Runs one fit per fold.
 
-    The rows are numbered and written once; a fold is a filter on their positions.
+    The rows are numbered and written once; a fold is a filter on their positions. Fits are
+    many short jobs, so ``at_once`` of them, all unless given, run side by side; the scores
+    do not depend on it.
     """
     rows = written(numbered(df.select(*names(keys), time, *features, label), keys, time, max_rows), "folds")
-    scored = []
-    for k in range(folds):
+
+    def score(k: int) -> DataFrame | None:
         in_train, in_test = fold_parts(F.lit(k), folds, gap)
         train = rows.where(in_train)
         if train.isEmpty():
-            continue
+            return None
         model = fit(train, features, label, settings)
-        scored.append(predict(model, rows.where(in_test)).select(F.lit(k).alias("fold"), label, PREDICTION))
+        return predict(model, rows.where(in_test)).select(F.lit(k).alias("fold"), label, PREDICTION)
+
+    made = together(df.sparkSession, [partial(score, k) for k in range(folds)], "fold", at_once)
+    scored = [part for part in made if part is not None]
     if not scored:
         raise ValueError("no series is long enough for cross-validation")
     pairs = reduce(DataFrame.unionByName, scored)
@@ -130,7 +159,7 @@ def impurity_importance(
     spark, model: PipelineModel, features: Sequence[str]
 ) -> DataFrame:
     """Share of the impurity reduction per feature; as many rows as the model has inputs."""
-    values = model.stages[-1].featureImportances.toArray()
+    values = trees_of(model).featureImportances.toArray()
     rows = [(f, float(v)) for f, v in zip(features, values)]
     return spark.createDataFrame(rows, "feature string, importance double")
 
@@ -208,19 +237,14 @@ def fit_or_load(
 ) -> tuple[PipelineModel, bool]:
     """The stored model of a training setup, or a new one that is then stored.
 
-    Returns the model and whether it was reused. A marker is written after the model, so a
-    save that did not finish is never picked up.
+    Returns the model and whether it was reused. Every save is a version of its own that is
+    published when complete, so two trainers of one setup do not touch each other's files and
+    a reader gets a whole model; the later one is the current one from then on.
     """
     base = f"{store.rstrip('/')}/{key}"
-    try:
-        where = spark.read.schema("path string").json(f"{base}/current").first()
-    except AnalysisException:
-        where = None
-    if where is not None:
-        return PipelineModel.load(where[0]), True
+    stored = current(spark, base)
+    if stored is not None:
+        return PipelineModel.load(stored), True
     model = train()
-    path = f"{base}/model"
-    model.write().overwrite().save(path)
-    marker = spark.createDataFrame([(path,)], "path string")
-    marker.coalesce(1).write.mode("overwrite").json(f"{base}/current")
+    publish(spark, base, model.save)
     return model, False

@@ -18,8 +18,10 @@ from seriesloom._common import names, series_keys
 from seriesloom.functions.clean import clip
 from seriesloom.operators.model import PREDICTION
 from seriesloom.operators.windows import tail_rows
+from seriesloom.session import written
 
 Features = Callable[[Column, Column], Mapping[str, Column]]
+CUT_EVERY = 24
 
 
 def seed_array(
@@ -65,12 +67,17 @@ def recursive_score(
     low: float | None = None,
     high: float | None = None,
     carry: Sequence[str] = (),
+    cut_every: int = CUT_EVERY,
 ) -> DataFrame:
     """Long table ``keys, step, carry, name`` of ``steps`` predictions per trajectory.
 
     ``features`` maps the values so far (an array, newest last) and the inputs of a step (a
     struct) to the model's features, which decides how predictions become lags. ``carry``
     names inputs to return with the predictions.
+
+    The plan holds one application of the model per step, so after every ``cut_every`` steps the
+    trajectories are written and read again, which runs a job. Any horizon then plans in the same
+    time per step; up to ``cut_every`` steps nothing is written.
     """
     keys = names(keys)
     carried = trajectories.select(*keys, F.col(inputs).alias("_in"), F.col(seed).alias("_past"))
@@ -79,6 +86,8 @@ def recursive_score(
         scored = model.transform(carried.withColumns(dict(made)))
         value = clip(PREDICTION, low, high)
         carried = scored.select(*keys, "_in", F.concat("_past", F.array(value)).alias("_past"))
+        if (i + 1) % cut_every == 0 and i + 1 < steps:
+            carried = written(carried, "trajectories")
     new = F.slice("_past", F.size("_past") - (steps - 1), steps)
     rows = carried.select(*keys, "_in", F.posexplode(new).alias("step", name))
     given = [F.col("_in")[F.col("step")][c].alias(c) for c in carry]

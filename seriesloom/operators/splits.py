@@ -41,9 +41,14 @@ def numbered(
     max_rows: int | None = None,
     span: str = "365 days",
 ) -> DataFrame:
-    """Add ``_pos`` (from 0) and ``_rows`` of each series, which place every fold."""
+    """Add ``_pos`` (from 0) and ``_rows`` of each series, which place every fold, and ``_all``.
+
+    ``max_rows`` keeps the end of each series and counts from there; ``_all`` is the number of
+    rows before that, which decides whether a series is long enough.
+    """
     require_utc(df)
     out = number_rows(df, names(keys), [time], time_chunk(time, span), "_pos", total="_rows")
+    out = out.withColumn("_all", F.col("_rows"))
     if max_rows is not None:
         skipped = F.greatest(F.col("_rows") - max_rows, F.lit(0))
         out = out.withColumns({"_pos": F.col("_pos") - skipped, "_rows": F.col("_rows") - skipped})
@@ -59,12 +64,12 @@ def fold_parts(
     min_train: int = MIN_TRAIN,
     min_test: int = MIN_TEST,
 ) -> tuple[Column, Column]:
-    """(in training, in test) of a fold for rows with ``_pos`` and ``_rows``; neither where the
-    series is too short for the fold."""
+    """(in training, in test) of a fold for rows of ``numbered``; neither where the series is too
+    short for the fold."""
     least = 32 * folds if min_rows is None else min_rows
     size = F.floor(F.col("_rows") / (folds + 1))
     first = F.col("_rows") - (F.lit(folds) - fold) * size
-    usable = (F.col("_rows") >= least) & (first - gap >= min_train) & (size >= min_test)
+    usable = (F.col("_all") >= least) & (first - gap >= min_train) & (size >= min_test)
     in_train = usable & (F.col("_pos") < first - gap)
     in_test = usable & (F.col("_pos") >= first) & (F.col("_pos") < first + size)
     return in_train, in_test
@@ -94,7 +99,7 @@ def expanding_folds(
     out = out.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
     in_train, in_test = fold_parts(F.col("fold"), folds, gap, min_rows, min_train, min_test)
     out = out.where(in_train | in_test).withColumn("is_train", in_train)
-    return out.drop("_pos", "_rows")
+    return out.drop("_pos", "_rows", "_all")
 
 
 def fold_status(
@@ -105,12 +110,14 @@ def fold_status(
     min_rows: int | None = None,
     min_train: int = MIN_TRAIN,
     min_test: int = MIN_TEST,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """``keys, rows, folds, status``: how many folds each series takes part in."""
     least = 32 * folds if min_rows is None else min_rows
     counts = df.groupBy(*names(keys)).agg(F.count(F.lit(1)).alias("rows"))
-    size = F.floor(F.col("rows") / (folds + 1))
-    fits = lambda k: (F.col("rows") - (F.lit(folds) - k) * size - gap >= min_train) & (size >= min_test)
+    used_rows = F.col("rows") if max_rows is None else F.least("rows", F.lit(max_rows))
+    size = F.floor(used_rows / (folds + 1))
+    fits = lambda k: (used_rows - (F.lit(folds) - k) * size - gap >= min_train) & (size >= min_test)
     used = F.size(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), fits)).cast("long")
     used = F.when(F.col("rows") >= least, used).otherwise(F.lit(0).cast("long"))
     status = F.when(used == folds, "ok").when(used > 0, "some folds").otherwise("left out")

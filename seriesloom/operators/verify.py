@@ -144,10 +144,13 @@ def diebold_mariano(
     time: str,
     horizon: int = 1,
     span: str | None = None,
+    p_value: bool = False,
 ) -> DataFrame:
     """Diebold and Mariano (1995) test that two forecasts have equal absolute error.
 
-    Negative statistics favour ``first``. The variance of the mean loss difference sums the
+    Negative statistics favour ``first``. ``p_value`` adds ``adjusted``, the statistic times the
+    small-sample factor of Harvey, Leybourne and Newbold (1997), and its two-sided ``p_value``
+    under the normal distribution. The variance of the mean loss difference sums the
     autocovariances up to ``horizon - 1``, which need no second pass: with the mean known at
     the end, each follows from the sums of products and of the two shifted series.
     """
@@ -175,7 +178,39 @@ def diebold_mariano(
         cov = (products - m * (F.col(f"_a{k}") + F.col(f"_b{k}")) + shared * m * m) / n
         variance = variance + 2.0 * cov
     statistic = F.when(variance > 0, m / F.sqrt(variance / n))
-    return out.select(*keys, "rows", "mean_loss_difference", statistic.alias("dm_statistic"))
+    out = out.select(*keys, "rows", "mean_loss_difference", statistic.alias("dm_statistic"))
+    if not p_value:
+        return out
+    factor = F.greatest(n + 1 - 2 * horizon + horizon * (horizon - 1) / n, F.lit(0.0)) / n
+    out = out.withColumn("adjusted", F.col("dm_statistic") * F.sqrt(factor))
+    return out.withColumn("p_value", 2 * normal_tail(F.abs("adjusted")))
+
+
+# Hart's rational approximation of the normal tail, highest power first.
+TAIL_ABOVE = (
+    3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376,
+)
+TAIL_BELOW = (
+    8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752,
+)
+
+
+def normal_tail(z: str | Column) -> Column:
+    """Probability that a standard normal value exceeds ``z`` (0 or more), to about 1e-14."""
+    z = col(z)
+
+    def polynomial(factors: Sequence[float]) -> Column:
+        total = F.lit(factors[0])
+        for f in factors[1:]:
+            total = total * z + F.lit(f)
+        return total
+
+    density = F.exp(-z * z / 2)
+    far = z + 0.65
+    for k in (4, 3, 2, 1):
+        far = z + F.lit(float(k)) / far
+    near = density * polynomial(TAIL_ABOVE) / polynomial(TAIL_BELOW)
+    return F.when(z < 7.07106781186547, near).otherwise(density / far / 2.506628274631)
 
 
 def probability_error(probability: str | Column, draws: Column) -> Column:

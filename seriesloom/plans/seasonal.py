@@ -24,6 +24,7 @@ from seriesloom.operators.recursive import recursive_score, seed_array, step_arr
 from seriesloom.operators.splits import time_split
 from seriesloom.operators.verify import mae, r2, with_train_mean
 from seriesloom.operators.windows import last_row, rolling
+from seriesloom.session import written
 
 TARGET = "ssn_next"
 SEED_MONTHS = 36
@@ -63,7 +64,8 @@ def train_seasonal(
     keys = names(keys)
     rows = seasonal_features(monthly, keys, time, period=config.period_months)
     rows = rows.where(F.col(TARGET).isNotNull())
-    split = time_split(rows, config.train_fraction, keys, time, 12, 12, span="3650 days")
+    # Written once: scaler, trees, baseline and predictions all read it.
+    split = written(time_split(rows, config.train_fraction, keys, time, 12, 12, span="3650 days"), "months-split")
     model = m.fit(split.where("is_train"), SEASONAL_FEATURES, TARGET, config.trees)
     test = with_train_mean(split, TARGET, "baseline", keys)
     return model, m.predict(model, test, "ssn_pred", low=0.0)

@@ -18,6 +18,7 @@ from seriesloom.operators.asof import asof_forward
 from seriesloom.operators.recursive import attach_seed, recursive_score, seed_array, step_arrays
 from seriesloom.operators.splits import time_split
 from seriesloom.operators.windows import rolling
+from seriesloom.session import written
 
 LAGS = {"kp_lag_3h": 1, "kp_lag_6h": 2, "kp_lag_9h": 3}
 STEP_INPUTS = [f for f in STORM_FEATURES if f not in LAGS]
@@ -29,7 +30,8 @@ def train_storm(
     """Fit on the early part of every series; test rows with ``Kp_pred`` and ``baseline``.
     Runs jobs."""
     keys = names(keys)
-    split = time_split(frame, config.train_fraction, keys, time)
+    # Written once: scaler, trees, baseline and predictions all read it.
+    split = written(time_split(frame, config.train_fraction, keys, time), "split")
     model = m.fit(split.where("is_train"), STORM_FEATURES, "Kp", config.trees)
     test = verify.with_train_mean(split, "Kp", "baseline", keys)
     return model, m.predict(model, test, "Kp_pred")

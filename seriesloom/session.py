@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from functools import partial
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
+T = TypeVar("T")
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 FOLDER_SETTING = "spark.seriesloom.dir"
 
@@ -55,6 +61,42 @@ def shared_dir(spark: SparkSession) -> str:
     return spark._seriesloom_dir
 
 
+def use_checkpoints(spark: SparkSession) -> None:
+    """Name the shared folder to what cuts its lineage by itself, as boosting does."""
+    folder = shared_dir(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+
+
+def together(
+    spark: SparkSession, tasks: Sequence[Callable[[], T]], label: str, at_once: int | None = None
+) -> list[T]:
+    """Results of tasks that run jobs, each submitted from a thread of its own, in their order.
+
+    Meant for a few tasks whose jobs are too short to fill the cluster. The threads have the
+    caller's job properties and a scheduler pool each: with ``spark.scheduler.mode=FAIR`` they
+    share the executors evenly, else in the order of their jobs. A failed task is raised when
+    those that had begun have ended; no other is begun.
+    """
+    failed = threading.Event()
+
+    def run(number: int) -> T | None:
+        if failed.is_set():
+            return None
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"{label}-{number}")
+        try:
+            return tasks[number]()
+        except BaseException:
+            failed.set()
+            raise
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(at_once or max(1, len(tasks))) as threads:
+        futures = [threads.submit(inheritable_thread_target(spark)(partial(run, i))) for i in range(len(tasks))]
+    return [f.result() for f in futures]
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nothing else uses."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

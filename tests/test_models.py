@@ -258,3 +258,71 @@ def test_recursion_with_fitted_trees_equals_a_loop(spark):
         value = m.predict(model, spark.createDataFrame([(value, x)], "lag double, x double")).first()["prediction"]
         wanted.append(value)
     assert made == pytest.approx(wanted)
+
+
+def test_boosting_starts_from_the_mean(spark, folder):
+    frame = storm_table(spark).withColumn("Kp", F.col("Kp") + 100.0)
+    none = m.fit(frame, STORM_FEATURES, "Kp", TreeSettings(trees=0))
+    mean = frame.agg(F.avg("Kp")).first()[0]
+    assert {r.prediction for r in m.predict(none, frame).select("prediction").distinct().collect()} == {mean}
+    model = m.fit(frame, STORM_FEATURES, "Kp", TreeSettings(trees=1, depth=1))
+    assert m.predict(model, frame).agg(F.avg("prediction")).first()[0] == pytest.approx(mean, abs=0.05)
+    model.save(f"{folder}/m")
+    again = m.PipelineModel.load(f"{folder}/m")
+    a, b = (values(m.predict(x, frame), "k", "time_tag", "prediction") for x in (model, again))
+    assert a == b and m.trees_of(again).getNumTrees == 1
+    assert "_above_mean" not in m.predict(model, frame).columns
+
+
+def test_folds_side_by_side_equal_folds_in_turn(spark):
+    frame = storm_table(spark)
+    run = lambda n: m.cross_validate(frame, STORM_FEATURES, "Kp", SMALL, "k", "time_tag", at_once=n)
+    one, all_ = (values(run(n), "fold", "rows", "mae", "r2", "csi") for n in (1, None))
+    assert one == all_ and len(one) == 5
+
+
+def test_a_cap_below_the_least_length_keeps_the_folds(spark):
+    """Whether a series is long enough goes by all its rows."""
+    from seriesloom.operators import splits
+
+    df = spark.createDataFrame([(k, at(3 * i), float(i)) for k, n in (("a", 200), ("b", 150)) for i in range(n)], "k string, t timestamp_ntz, v double")
+    out = splits.expanding_folds(df, 5, 3, "k", "t", max_rows=150).collect()
+    assert {r.k for r in out} == {"a"} and {r.fold for r in out} == set(range(5))
+    assert min(r.v for r in out) == 50.0
+    status = {r.k: (r.folds, r.status) for r in splits.fold_status(df, 5, 3, "k", max_rows=150).collect()}
+    assert status == {"a": (5, "ok"), "b": (0, "left out")}
+
+
+def test_tasks_side_by_side(spark):
+    from seriesloom.session import together
+
+    spark.sparkContext.setLocalProperty("callSite.short", "mine")
+    seen = lambda i: (i, spark.sparkContext.getLocalProperty("callSite.short"), spark.range(i).count())
+    assert together(spark, [lambda i=i: seen(i) for i in range(4)], "t") == [(i, "mine", i) for i in range(4)]
+    assert together(spark, [], "t") == []
+    begun = []
+
+    def fails():
+        begun.append(1)
+        raise KeyError("no")
+
+    with pytest.raises(KeyError):
+        together(spark, [fails] * 3, "t", at_once=1)
+    assert len(begun) == 1 and spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+    spark.sparkContext.setLocalProperty("callSite.short", None)
+
+
+def test_long_horizons_are_cut(spark):
+    """Cut trajectories give the same values, and no plan grows with the horizon."""
+    arrays = spark.createDataFrame([("a", [1.0], [(float(i % 3),) for i in range(120)])], "k string, seed array<double>, inputs array<struct<x: double>>")
+    features = lambda past, step: {"lag": F.element_at(past, -1), "x": step["x"]}
+    model = Linear({"lag": 0.5, "x": 1.0}, 0.25)
+    cut = recursive.recursive_score(model, arrays, "k", 120, features, "v", cut_every=20)
+    wanted, value = [], 1.0
+    for i in range(120):
+        value = 0.25 + 0.5 * value + i % 3
+        wanted.append(value)
+    assert [r.v for r in cut.orderBy("step").collect()] == pytest.approx(wanted)
+    whole = recursive.recursive_score(model, arrays, "k", 20, features, "v", cut_every=20)
+    size = lambda df: len(df._jdf.queryExecution().analyzed().toString())
+    assert size(cut) < 1.2 * size(whole)

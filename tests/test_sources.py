@@ -116,3 +116,60 @@ def test_shared_folder_follows_the_cluster(spark):
     used = session.shared_dir(spark)
     assert used == named if named else os.path.isdir(used)
     assert session.fresh_path(spark, "a") != session.fresh_path(spark, "a")
+
+
+def test_readers_see_whole_versions(spark, folder):
+    """Two writers of one name and a reader at the same time."""
+    import threading
+
+    from seriesloom.sources import publish as p
+
+    base, stop, seen = f"{folder}/table", threading.Event(), set()
+    assert p.current(spark, base) is None
+
+    def write(value):
+        for _ in range(3):
+            p.publish(spark, base, spark.range(100).select(F.lit(value).alias("v")).repartition(2).write.parquet)
+
+    def read():
+        while not stop.is_set():
+            if at_ := p.current(spark, base):
+                seen.add(tuple(sorted((r.v, r["count"]) for r in spark.read.parquet(at_).groupBy("v").count().collect())))
+
+    threads = [threading.Thread(target=write, args=(v,)) for v in (1, 2)]
+    reader = threading.Thread(target=read)
+    for t in (*threads, reader):
+        t.start()
+    for t in threads:
+        t.join()
+    stop.set()
+    reader.join()
+    assert seen <= {((1, 100),), ((2, 100),)} and seen
+    with pytest.raises(RuntimeError):
+        p.publish(spark, base, lambda path: (_ for _ in ()).throw(RuntimeError()))
+    kept = p.current(spark, base)
+    assert spark.read.parquet(kept).count() == 100
+    assert len(p.expire(spark, base, 0.0)) == 5 and p.current(spark, base) == kept
+
+
+def test_years_come_from_a_listing(spark, folder):
+    """Neither a table nor its schema is read."""
+    df = spark.createDataFrame([(at(0), 1.0), (at(0, days=800), 2.0), (None, 3.0)], "t timestamp_ntz, v double")
+    stores.write_years(df, f"{folder}/y", "t")
+    for name in os.listdir(f"{folder}/y/data"):
+        os.chmod(f"{folder}/y/data/{name}", 0)
+    try:
+        assert stores.missing_years(spark, f"{folder}/y", 2023, 5, 2027) == [2023, 2025, 2027]
+    finally:
+        for name in os.listdir(f"{folder}/y/data"):
+            os.chmod(f"{folder}/y/data/{name}", 0o755)
+    assert stores.read_years(spark, f"{folder}/y", 1990, 2).count() == 0
+    with pytest.raises(ValueError, match="no years"):
+        stores.read_years(spark, f"{folder}/none", 1990, 2)
+
+
+def test_metrics_by_part_of_a_setup(spark, folder):
+    m = spark.createDataFrame([(0.45,)], "mae double")
+    for years in (5, 8):
+        stores.write_metrics(m.withColumn("mae", F.lit(float(years))), f"{folder}/m", {"start_year": 2020, "years": years})
+    assert values(stores.read_metrics(spark, f"{folder}/m", {"start_year": 2020}), "mae") == [(5.0,), (8.0,)]

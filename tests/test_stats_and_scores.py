@@ -148,8 +148,9 @@ def test_exceedance(spark):
     arrays = {s: np.array([r[3] for r in rows if r[0] == s]).reshape(20, 6) for s in WEIGHTS}
     by_step = sum(w / total * (arrays[s] >= 5).mean(axis=0) for s, w in WEIGHTS.items())
     any_step = sum(w / total * (arrays[s].max(axis=1) >= 5).mean() for s, w in WEIGHTS.items())
-    got = {r.step: r.probability for r in ensemble.exceedance_by_step(df, "kp", WEIGHTS).collect()}
-    whole = ensemble.exceedance_any_step(df, "kp", WEIGHTS).first()
+    out = ensemble.LEAVE_OUT
+    got = {r.step: r.probability for r in ensemble.exceedance_by_step(df, "kp", WEIGHTS, unweighted=out).collect()}
+    whole = ensemble.exceedance_any_step(df, "kp", WEIGHTS, unweighted=out).first()
     assert [got[i] for i in range(6)] == pytest.approx(list(by_step))
     assert whole.probability == pytest.approx(any_step) and whole.draws == 20
     assert all(0 <= p <= whole.probability <= 1 for p in got.values())
@@ -158,12 +159,23 @@ def test_exceedance(spark):
 def test_weight_table_equals_mapping(spark):
     _, df = draws(spark)
     table = spark.createDataFrame(list(WEIGHTS.items()), "scenario string, weight double")
-    a = ensemble.weighted_by_step(df, "kp", WEIGHTS, ["draw", "step"])
-    b = ensemble.weighted_by_step(df, "kp", table, ["draw", "step"])
+    a = ensemble.weighted_by_step(df, "kp", WEIGHTS, ["draw", "step"], unweighted=ensemble.LEAVE_OUT)
+    b = ensemble.weighted_by_step(df, "kp", table, ["draw", "step"], unweighted=ensemble.LEAVE_OUT)
     x, y = (values(d.select("draw", "step", F.round("kp", 9).alias("kp")), "draw", "step", "kp") for d in (a, b))
     assert x == y
 
 
+@pytest.mark.parametrize("run", [ensemble.exceedance_by_step, ensemble.exceedance_any_step])
+def test_exceedance_without_a_weight_fails_unless_told(spark, run):
+    _, df = draws(spark)
+    with pytest.raises(Exception, match="no weight for scenario Other"):
+        run(df, "kp", WEIGHTS).collect()
+    with pytest.raises(ValueError, match="leave out"):
+        run(df, "kp", WEIGHTS, unweighted="drop")
+    kept = df.where("scenario <> 'Other'")
+    assert values(run(df, "kp", WEIGHTS, unweighted=ensemble.LEAVE_OUT), "probability") == values(run(kept, "kp", WEIGHTS), "probability")
+
+
 def test_scenario_summary(spark):
     df = spark.createDataFrame([("q", at(0), 4.9), ("q", at(3), 5.0), ("q", at(6), 7.0), ("n", at(0), 1.0)], "scenario string, t timestamp_ntz, kp double")
     out = {r.scenario: r for r in ensemble.scenario_summary(df, "kp", "t").collect()}
@@ -203,3 +215,19 @@ def test_audit(spark):
     assert empty["not_empty"] == "error" and empty["speed_min"] == "ok"
     cols = {r.check: r.status for r in quality.column_audit(df, ["speed", "kp"]).collect()}
     assert cols == {"speed": "ok", "kp": "error"}
+
+
+def test_normal_tail_and_p_value(spark):
+    import math
+
+    zs = [0.0, 1e-9, 0.3, 1.0, 1.959963984540054, 3.0, 5.0, 7.0, 7.2, 9.0, 20.0]
+    made = spark.createDataFrame([(z,) for z in zs], "z double").select("z", verify.normal_tail("z").alias("p")).collect()
+    for r in made:
+        assert r.p == pytest.approx(math.erfc(r.z / math.sqrt(2)) / 2, rel=1e-7, abs=1e-15)
+    rng = np.random.default_rng(4)
+    y, a, b = rng.normal(size=(3, 90))
+    df = spark.createDataFrame([("s", at(3 * i), *map(float, x)) for i, x in enumerate(zip(y, a, b))], "k string, t timestamp_ntz, y double, a double, b double")
+    got = verify.diebold_mariano(df, "y", "a", "b", "k", "t", 3, p_value=True).first()
+    factor = math.sqrt((90 + 1 - 6 + 3 * 2 / 90) / 90)
+    assert got.adjusted == pytest.approx(got.dm_statistic * factor)
+    assert got.p_value == pytest.approx(math.erfc(abs(got.adjusted) / math.sqrt(2)), abs=1e-7)
