@@ -29,6 +29,14 @@ def fold_number(doc_id: int | None, folds: int = 5) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds
 
 
+def unused_prefix(df: DataFrame) -> str:
+    """A prefix that no column has, for names that stand beside the input's own."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

@@ -22,6 +22,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.llm.common import unused_prefix
+
 WINDOW = 13
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -53,45 +55,47 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return each.groupBy("length", "gram").agg(F.collect_set("item").alias("items")).select("length", F.xxhash64("gram").alias("hash"), "gram", "items")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, prefix: str) -> DataFrame:
     """Two keys that only equal rows share; ids may be null or repeat."""
     return docs.withColumns(
         {
-            "__k1": F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(1)),
-            "__k2": F.xxhash64(F.lit(2), F.col("text"), F.col("doc_id")),
+            f"{prefix}k1": F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(1)),
+            f"{prefix}k2": F.xxhash64(F.lit(2), F.col("text"), F.col("doc_id")),
         }
     )
 
 
-def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """All columns of ``docs`` and ``__found``: n_words, n_hit, items (sorted texts)."""
+def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, found: str = "__found") -> DataFrame:
+    """All columns of ``docs`` and the column ``found``: n_words, n_hit, items (sorted texts)."""
+    own = unused_prefix(docs)
+    k1, k2, n_, hits_, w_ = (own + x for x in ("k1", "k2", "n", "hits", "w"))
     grams = benchmark_windows(items, window)
     # one small job: numbers of windows by length, 13 rows at most
     counts = {r.length: r.n for r in grams.groupBy("length").agg(F.count("*").alias("n")).collect()}
     fits = sum(counts.values()) <= MOST_BROADCAST
     side = (lambda df: F.broadcast(df)) if fits else (lambda df: df)
-    keyed_docs = keyed(docs)
-    split = keyed_docs.select("__k1", "__k2", words("text").alias("__w"))
+    keyed_docs = keyed(docs, own)
+    split = keyed_docs.select(k1, k2, words("text").alias(w_))
     if counts:
         each = reduce(
             DataFrame.unionByName,
-            [split.select("__k1", "__k2", F.lit(n).alias("length"), F.posexplode(window_hashes("__w", n)).alias("at", "hash")) for n in sorted(counts)],
+            [split.select(k1, k2, F.lit(n).alias("length"), F.posexplode(window_hashes(w_, n)).alias("at", "hash")) for n in sorted(counts)],
         )
         hits = (
             each.join(side(grams), ["length", "hash"])
-            .groupBy("__k1", "__k2")
-            .agg(F.collect_set(F.struct((F.col("at") + 1).alias("at"), "length", "gram", "items")).alias("__hits"))
+            .groupBy(k1, k2)
+            .agg(F.collect_set(F.struct((F.col("at") + 1).alias("at"), "length", "gram", "items")).alias(hits_))
         )
     else:
-        hits = split.select("__k1", "__k2", F.lit(None).cast("array<struct<at:int,length:int,gram:array<string>,items:array<string>>>").alias("__hits")).limit(0)
-    counted = keyed_docs.withColumn("__n", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_ANY_CASE)).cast("long"))
-    both = counted.join(hits, ["__k1", "__k2"], "left")
-    both = both.withColumn("__w", F.when(F.col("__hits").isNotNull(), words("text")))
-    sure = F.sort_array(F.filter("__hits", lambda x: F.slice(F.col("__w"), x["at"], x["length"]) == x["gram"]))
-    both = both.withColumn("__hits", sure).drop("__w")
+        hits = split.select(k1, k2, F.lit(None).cast("array<struct<at:int,length:int,gram:array<string>,items:array<string>>>").alias(hits_)).limit(0)
+    counted = keyed_docs.withColumn(n_, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_ANY_CASE)).cast("long"))
+    both = counted.join(hits, [k1, k2], "left")
+    both = both.withColumn(w_, F.when(F.col(hits_).isNotNull(), words("text")))
+    sure = F.sort_array(F.filter(hits_, lambda x: F.slice(F.col(w_), x["at"], x["length"]) == x["gram"]))
+    both = both.withColumn(hits_, sure).drop(w_)
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(
-        "__hits",
+        hits_,
         start,
         lambda acc, x: F.struct(
             F.greatest(acc["end"], x["at"] + x["length"]).alias("end"),
@@ -99,13 +103,13 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
         ),
         lambda acc: acc["n"],
     )
-    names = F.array_sort(F.array_distinct(F.flatten(F.transform("__hits", lambda x: x["items"]))))
-    found = F.struct(
-        F.col("__n").alias("n_words"),
+    names = F.array_sort(F.array_distinct(F.flatten(F.transform(hits_, lambda x: x["items"]))))
+    facts = F.struct(
+        F.col(n_).alias("n_words"),
         F.coalesce(covered, F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce(names, F.array().cast("array<string>")).alias("items"),
     )
-    return both.select(*[F.col(f"`{c}`") for c in docs.columns], found.alias("__found"))
+    return both.select(*[F.col(f"`{c}`") for c in docs.columns], facts.alias(found))
 
 
 def contaminated(n_words: Column, n_hit: Column) -> Column:
@@ -127,5 +131,6 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, unchanged."""
-    scanned = scan(docs, items, window)
-    return scanned.where(~contaminated(F.col("__found.n_words"), F.col("__found.n_hit"))).drop("__found")
+    found = f"{unused_prefix(docs)}found"
+    scanned = scan(docs, items, window, found)
+    return scanned.where(~contaminated(F.col(f"{found}.n_words"), F.col(f"{found}.n_hit"))).drop(found)

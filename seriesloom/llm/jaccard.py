@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesloom.llm.common import Out, rows
+from seriesloom.llm.common import Out, rows, unused_prefix
 from seriesloom.llm.components import components
 from seriesloom.session import written
 
@@ -101,11 +101,12 @@ class Signer:
 
 def _sign(batches: Iterator[pa.RecordBatch], n: int, bands: int, width: int) -> Iterator[pa.RecordBatch]:
     grams, sign = Grams(n), Signer(bands, width)
-    out = Out(pa.schema([("doc_id", pa.int64()), ("cls", pa.binary()), ("grams", pa.int64()), ("bands", pa.list_(pa.int64()))]))
+    kinds = [("doc_id", pa.int64()), ("own", pa.int64()), ("cls", pa.binary()), ("grams", pa.int64()), ("bands", pa.list_(pa.int64()))]
+    out = Out(pa.schema(kinds))
     for batch in batches:
-        for doc_id, text in rows(batch, "doc_id", "text"):
+        for doc_id, own, text in rows(batch, "doc_id", "own", "text"):
             found = grams(text)
-            if out.add(doc_id, class_of(found), len(found), sign(found).tolist() if len(found) else []):
+            if out.add(doc_id, own, class_of(found), len(found), sign(found).tolist() if len(found) else []):
                 yield out.take()
     yield from out.rest()
 
@@ -206,15 +207,19 @@ def classes(docs: DataFrame, n: int = WORDS, threshold: Fraction = THRESHOLD, re
     """
     bands, width = bands_for(float(threshold), recall, most_hashes)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # A row's own name, from id and text: ids may be null or repeat, and names are never null.
+    plain = plain.withColumn("own", F.xxhash64("doc_id", "text"))
     signed = written(
-        plain.mapInArrow(partial(_sign, n=n, bands=bands, width=width), "doc_id long, cls binary, grams long, bands array<long>"), "signed"
+        plain.mapInArrow(partial(_sign, n=n, bands=bands, width=width), "doc_id long, own long, cls binary, grams long, bands array<long>"), "signed"
     )
-    classes_ = written(signed.groupBy("cls").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"), F.max("grams").alias("grams")), "classes")
-    # one row of each class shows its bands: the one with the smallest id, as ids of a class may tie
-    shown = signed.join(classes_.select("cls", "first"), "cls").where(F.col("doc_id").eqNullSafe(F.col("first")))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")).alias("least")
+    classes_ = signed.groupBy("cls").agg(F.count("*").alias("docs"), least, F.max("grams").alias("grams"))
+    classes_ = written(classes_.select("cls", "docs", F.col("least.doc_id").alias("first"), F.col("least.own").alias("want"), "grams"), "classes")
+    # one row of each class shows its bands, and only whole copies of it have its name
+    shown = signed.join(classes_.select("cls", F.col("want").alias("own")), ["cls", "own"])
     # Candidates go by half of a class's name. Should two classes share it, both are candidates.
     half = F.xxhash64("cls")
-    banded = shown.select(half.alias("half"), F.explode("bands").alias("band"))
+    banded = shown.groupBy("cls").agg(F.first("bands").alias("bands")).select(half.alias("half"), F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("half").alias("hub"), F.max("half").alias("last")).where("hub <> last")
     stars = banded.join(hubs.select("band", "hub"), "band").where("half <> hub").select(F.col("half").alias("a"), F.col("hub").alias("b"))
     found = components(stars)
@@ -224,7 +229,9 @@ def classes(docs: DataFrame, n: int = WORDS, threshold: Fraction = THRESHOLD, re
     blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("long")
     asked = written(member.drop("grams").join(size.select("root", blocks.alias("blocks")), "root"), "asked")
     # the same join at any size: few of the texts are asked for, but too many to broadcast
-    texts = plain.join(asked.hint("merge"), plain["doc_id"].eqNullSafe(asked["first"])).select("text", "cls", "root", "blocks", "docs")
+    texts = plain.join(asked.hint("merge"), plain["own"] == asked["want"])
+    # whole copies go here: they lie together after the join
+    texts = texts.groupBy("own", "cls").agg(*[F.first(c).alias(c) for c in ("text", "root", "blocks", "docs")]).select("text", "cls", "root", "blocks", "docs")
     sets = texts.mapInArrow(partial(_sets, n=n), "cls binary, root long, blocks long, docs long, grams binary")
     tasks = max(8, asked.agg(F.count("*").alias("n")).first().n // 1000)
     # a component of one block shares a group with others; of more, each pair of blocks is a group
@@ -267,11 +274,11 @@ def join(docs: DataFrame, **settings) -> DataFrame:
     return signed.join(facts, "cls").select("doc_id", "class_id", "copy_id", "n_links")
 
 
-def _with_class(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+def _with_class(batches: Iterator[pa.RecordBatch], n: int, name: str) -> Iterator[pa.RecordBatch]:
     grams = Grams(n)
     for batch in batches:
         made = [class_of(grams(text)) for (text,) in rows(batch, "text")]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, "__cls"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, name])
 
 
 def keep_one(docs: DataFrame, n: int = WORDS, **settings) -> DataFrame:
@@ -281,8 +288,10 @@ def keep_one(docs: DataFrame, n: int = WORDS, **settings) -> DataFrame:
     """
     _, labelled = classes(docs, n, **settings)
     best = labelled.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "cls")).alias("b"))
-    best = best.select(F.col("b.cls").alias("__best"), F.col("b.first").alias("__first"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("__cls", T.BinaryType())])
-    keyed = docs.mapInArrow(partial(_with_class, n=n), schema)
-    kept = keyed.join(best, (keyed["__cls"] == best["__best"]) & keyed["doc_id"].cast("long").eqNullSafe(best["__first"]), "left_semi")
-    return kept.dropDuplicates(["__cls"]).drop("__cls")
+    own = unused_prefix(docs)
+    name, wanted, first = (own + x for x in ("cls", "best", "first"))
+    best = best.select(F.col("b.cls").alias(wanted), F.col("b.first").alias(first))
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())])
+    keyed = docs.mapInArrow(partial(_with_class, n=n, name=name), schema)
+    kept = keyed.join(best, (keyed[name] == best[wanted]) & keyed["doc_id"].cast("long").eqNullSafe(best[first]), "left_semi")
+    return kept.dropDuplicates([name]).drop(name)

@@ -28,29 +28,52 @@ from seriesloom.llm.common import Out, fold_of, rows
 DIMS, SEED, GRAIN = 1024, 20240229, 1 << 24
 MOST_LANGUAGES = 5000
 SLICE = 1 << 20
+#: Texts and trigrams that are bundled together; trigrams whose vectors are in use at a time.
+TEXTS, TRIGRAMS, BLOCK = 64, 1 << 16, 4096
+MOST_LETTERS = 32_768
 
 
 class Space:
     """Vectors of letters and trigrams, drawn on demand and kept up to a bound."""
 
-    def __init__(self, dims: int, seed: int, most: int = 20_000):
+    def __init__(self, dims: int, seed: int, most: int = 16_384):
         self.dims, self.seed, self.most = dims, seed, most
-        self.letters: dict[int, tuple] = {}
+        self.letters: dict[int, int] = {}
+        self.drawn = np.empty((0, dims), np.int8)
         self.known: dict[int, int] = {}
         self.vectors = np.empty((0, dims), np.int8)
 
-    def letter(self, code: int) -> tuple:
-        if code not in self.letters:
-            drawn = np.random.Generator(np.random.PCG64([self.seed, code])).integers(0, 2, self.dims, np.int8) * 2 - 1
-            self.letters[code] = (drawn, np.roll(drawn, 1), np.roll(drawn, 2))
-        return self.letters[code]
-
-    def trigram(self, key: int) -> np.ndarray:
-        a, b, c = key >> 42, (key >> 21) & 0x1FFFFF, key & 0x1FFFFF
-        return self.letter(a)[2] * self.letter(b)[1] * self.letter(c)[0]
+    def of_letters(self, codes: np.ndarray) -> np.ndarray:
+        """The letters' vectors, drawn from their code points."""
+        listed, back = np.unique(codes, return_inverse=True)
+        wanted = listed.tolist()
+        fresh = [c for c in wanted if c not in self.letters]
+        if len(self.letters) + len(fresh) > MOST_LETTERS:
+            self.letters, self.drawn, fresh = {}, np.empty((0, self.dims), np.int8), wanted
+        if fresh:
+            base = len(self.letters)
+            self.letters.update((c, base + i) for i, c in enumerate(fresh))
+            new = [np.random.Generator(np.random.PCG64([self.seed, c])).integers(0, 2, self.dims, np.int8) * 2 - 1 for c in fresh]
+            self.drawn = np.vstack([self.drawn[:base], np.array(new, np.int8)])
+        return self.drawn[[self.letters[c] for c in wanted]][back]
+
+    def of_trigrams(self, keys: np.ndarray) -> np.ndarray:
+        """Each letter's vector permuted by its place, multiplied."""
+        a, b, c = (self.of_letters(x) for x in (keys >> 42, (keys >> 21) & 0x1FFFFF, keys & 0x1FFFFF))
+        return np.roll(a, 2, axis=1) * np.roll(b, 1, axis=1) * c
+
+    def bundles(self, keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Sums of the trigrams' vectors by each row of weights, a block of trigrams at a time."""
+        total = np.zeros((len(weights), self.dims))
+        for at in range(0, len(keys), BLOCK):
+            part = weights[:, at : at + BLOCK]
+            if part.dtype == np.float32 and part.sum(1).max(initial=0) >= 1 << 24:
+                part = part.astype(np.float64)  # whole numbers stay exact
+            total += part @ self.rows(keys[at : at + BLOCK])
+        return total
 
     def rows(self, keys: np.ndarray) -> np.ndarray:
-        """Vectors of distinct trigrams, as floats."""
+        """Vectors of at most a block of distinct trigrams, as floats."""
         wanted = keys.tolist()
         fresh = [k for k in wanted if k not in self.known]
         if len(self.known) + len(fresh) > self.most:
@@ -60,11 +83,10 @@ class Space:
             self.known.update((k, base + i) for i, k in enumerate(fresh))
             need = base + len(fresh)
             if need > len(self.vectors):
-                grown = np.empty((max(need, 2 * len(self.vectors)), self.dims), np.int8)
+                grown = np.empty((max(need, min(self.most, 2 * len(self.vectors))), self.dims), np.int8)
                 grown[:base] = self.vectors[:base]
                 self.vectors = grown
-            for i, k in enumerate(fresh):
-                self.vectors[base + i] = self.trigram(k)
+            self.vectors[base:need] = self.of_trigrams(np.array(fresh, np.int64))
         return self.vectors[[self.known[k] for k in wanted]].astype(np.float32)
 
 
@@ -112,16 +134,16 @@ def grouped(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _learn(batches: Iterator[pa.RecordBatch], dims: int, seed: int) -> Iterator[pa.RecordBatch]:
-    space, sums, waiting = Space(dims, seed), {}, []
+    space, sums, waiting, size = Space(dims, seed), {}, [], 0
 
     def flush() -> None:
         keys, matrix = grouped([w[1:] for w in waiting])
         matrix /= np.sqrt((matrix.astype(np.float64) ** 2).sum(1, keepdims=True))
         langs = [w[0] for w in waiting]
-        vectors = space.rows(keys)
-        for lang in dict.fromkeys(langs):
-            weight = matrix[[x == lang for x in langs]].astype(np.float64).sum(0)
-            sums[lang] = sums.get(lang, 0) + np.rint((weight @ vectors) * GRAIN).astype(np.int64)
+        each = list(dict.fromkeys(langs))
+        weights = np.array([matrix[[x == lang for x in langs]].astype(np.float64).sum(0) for lang in each])
+        for lang, total in zip(each, space.bundles(keys, weights), strict=True):
+            sums[lang] = sums.get(lang, 0) + np.rint(total * GRAIN).astype(np.int64)
         waiting.clear()
 
     for batch in batches:
@@ -129,8 +151,10 @@ def _learn(batches: Iterator[pa.RecordBatch], dims: int, seed: int) -> Iterator[
             keys, counts = trigrams(text)
             if len(keys):
                 waiting.append((lang, keys, counts))
-                if len(waiting) >= 64:
+                size += len(keys)
+                if len(waiting) >= TEXTS or size >= TRIGRAMS:
                     flush()
+                    size = 0
     if waiting:
         flush()
     for lang, total in sums.items():
@@ -164,16 +188,16 @@ def _predict(batches: Iterator[pa.RecordBatch], prototypes: dict, dims: int, see
     table = np.array([prototypes[x] for x in names], np.float32).reshape(len(names), dims)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
     for batch in batches:
-        ids, found, where = [], [], []
+        ids, found, where, size = [], [], [], 0
         out = Out(schema, most=1 << 40)
         results: dict[int, tuple[str, float]] = {}
 
         def flush() -> None:
             keys, matrix = grouped(found)
             # rounded, so that the cosine of a text doesn't hang on the texts beside it
-            bundle = matrix.astype(np.float64) @ space.rows(keys).astype(np.float64) if matrix.max() >= 1 << 22 else matrix @ space.rows(keys)
-            length = np.sqrt((bundle.astype(np.float64) ** 2).sum(1))
-            cosine = np.round((bundle.astype(np.float64) @ table.T.astype(np.float64)) / np.maximum(length, 1e-9)[:, None], 9)
+            bundle = space.bundles(keys, matrix)
+            length = np.sqrt((bundle**2).sum(1))
+            cosine = np.round((bundle @ table.T.astype(np.float64)) / np.maximum(length, 1e-9)[:, None], 9)
             best = cosine.argmax(1)
             for i, at in enumerate(where):
                 results[at] = (names[best[i]], float(min(1.0, max(0.0, cosine[i, best[i]]))))
@@ -186,8 +210,10 @@ def _predict(batches: Iterator[pa.RecordBatch], prototypes: dict, dims: int, see
             if len(keys):
                 found.append((keys, counts))
                 where.append(at)
-                if len(found) >= 64:
+                size += len(keys)
+                if len(found) >= TEXTS or size >= TRIGRAMS:
                     flush()
+                    size = 0
         if found:
             flush()
         for at, doc_id in enumerate(ids):

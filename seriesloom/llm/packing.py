@@ -41,8 +41,9 @@ BLANK = " \n\t\r"
 CHUNK = re.compile(
     rf"[{BLANK}]*[{LETTERS}]+(?![^\s.,;:!?])|(?<=[{LETTERS}])[.,;:!?]+(?![^{BLANK}])|[{BLANK}]*[^{BLANK}]+|[{BLANK}]+"
 )
-OTHER_BLANK = re.compile(rf"[^\S{BLANK}]|[\x1c-\x1f\x85]")
-MOST_CACHED, SLICE = 450_000, 1 << 20
+OTHER_BLANK = re.compile("[" + "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in BLANK) + "]")
+#: Bytes of words that a worker keeps, half of them only as long as its task runs; one slice of text.
+MOST_KEPT, PER_WORD, SLICE = 64 << 20, 220, 1 << 20
 
 
 def vocabulary_path() -> str:
@@ -68,6 +69,7 @@ class Encoder:
         # words of now and of before: only those that come again outlive a change
         self.cache: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.kept = 0
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -76,7 +78,7 @@ class Encoder:
         """The ids of some texts, of about a slice together or one longer text."""
         listed = [None if not t or len(t) > SLICE or OTHER_BLANK.search(t) else CHUNK.findall(t) for t in texts]
         self.prepare(set().union(*filter(None, listed)))
-        made = [None if chunks is None else b"".join([self.cache[c] for c in chunks]) for chunks in listed]
+        made = [None if chunks is None else b"".join(map(self.cache.__getitem__, chunks)) for chunks in listed]
         for text, ids in zip(texts, made, strict=True):
             if ids is not None:
                 yield ids
@@ -100,12 +102,14 @@ class Encoder:
 
     def prepare(self, chunks: set[str]) -> None:
         """Have all of these in the cache."""
-        if len(self.cache) > MOST_CACHED:
-            self.before, self.cache = self.cache, {}
+        if self.kept > MOST_KEPT // 2:
+            self.before, self.cache, self.kept = self.cache, {}, 0
         fresh = chunks.difference(self.cache)
-        known = fresh.intersection(self.before)
-        self.cache.update((c, self.before[c]) for c in known)
-        self.learn(list(fresh - known))
+        self.kept += PER_WORD * len(fresh) + 3 * sum(map(len, fresh))
+        before = self.before
+        known = {c: before[c] for c in fresh if c in before}
+        self.cache.update(known)
+        self.learn([c for c in fresh if c not in known])
 
     def learn(self, fresh: list[str]) -> None:
         # Words behind one blank keep their boundaries when joined, and are cheaper to encode so.
@@ -164,6 +168,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int) -
                 if out.add(doc_id, start, n, zlib.crc32(piece), total, slice_, int(seen[n])):
                     yield out.take()
                 seen[n] += 1
+    encode.before = {}
     yield from out.rest()
 
 

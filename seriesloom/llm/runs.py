@@ -182,11 +182,13 @@ def hits(docs: DataFrame, units: Callable, find: Callable, k: int, m: int, most:
         .groupBy("half")
         .agg(F.collect_set("key").alias("asked"), F.collect_set(F.when(F.col("is_hot"), F.col("key"))).alias("hot"))
     )
-    hashed = plain.mapInArrow(_text_hash, "sid long, tk binary")
-    first = written(hashed.groupBy("tk").agg(F.min("sid").alias("first")), "first")
-    wanted = asked.join(first.withColumn("half", F.xxhash64("tk")), "half").drop("half")
+    # ids may repeat or be missing, so a text is found again by its id and its own hash
+    plain = plain.withColumn("own", F.xxhash64("text"))
+    hashed = plain.mapInArrow(_text_hash, "sid long, own long, tk binary")
+    first = written(hashed.groupBy("tk").agg(F.min(F.struct("sid", "own")).alias("least")).select("tk", F.col("least.sid").alias("first"), F.col("least.own").alias("own")), "first")
+    wanted = asked.join(first.withColumn("half", F.xxhash64("tk")), "half").drop("half").withColumnRenamed("own", "like")
     wanted = written(wanted.withColumnRenamed("first", "want"), "asked")
-    texts = plain.join(wanted, plain["sid"] == wanted["want"]).select("sid", "tk", "text", "asked", "hot")
+    texts = plain.join(wanted, (plain["sid"] == wanted["want"]) & (plain["own"] == wanted["like"])).select("sid", "tk", "text", "asked", "hot")
     # a row per run, in the shared folder: what follows reads it twice
     seen = written(texts.mapInArrow(partial(_occurrences, units=units, k=k, m=m), OCCURRENCES), "runs")
     place = F.struct("sid", "tk", "start")
@@ -205,14 +207,14 @@ def hits(docs: DataFrame, units: Callable, find: Callable, k: int, m: int, most:
         .groupBy("tk")
         .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("ranges"))
     )
-    return first, merged
+    return first.select("tk", "first"), merged
 
 
 def _text_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out = Out(pa.schema([("sid", pa.int64()), ("tk", pa.binary())]))
+    out = Out(pa.schema([("sid", pa.int64()), ("own", pa.int64()), ("tk", pa.binary())]))
     for batch in batches:
-        for sid, text in rows(batch, "sid", "text"):
-            if out.add(sid, xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))):
+        for sid, own, text in rows(batch, "sid", "own", "text"):
+            if out.add(sid, own, xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))):
                 yield out.take()
     yield from out.rest()
 

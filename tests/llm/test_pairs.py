@@ -73,3 +73,50 @@ def test_components_of_paths_and_stars(spark):
     made = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert made == {**{i: 0 for i in range(1, 41)}, **{j: 100 for j in range(101, 160)}, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+CLASHES = ["__cls", "__best", "__first", "__k1", "__n", "__hits", "__found", "__w"]
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame([(i, t, *[f"{c}{n}" for c in CLASHES]) for n, (i, t) in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASHES))
+
+
+def test_columns_named_like_internal_ones_stay(spark):
+    from seriesloom.llm import decontaminate
+
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "z"), (None, None), (4, "one two three")]
+    docs = clashing(spark, rows)
+    before = {tuple(r) for r in docs.collect()}
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert {tuple(r) for r in kept.collect()} == {r for r in before if r[0] != 2}
+    items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    clean = decontaminate.remove(docs, items)
+    assert clean.columns == docs.columns
+    assert {tuple(r) for r in clean.collect()} == {r for r in before if r[0] != 4}
+
+
+def test_rows_without_ids_do_not_multiply(spark):
+    """Texts are found again by id and hash: as many rows as there are texts."""
+    rows = [(None, f"t{i // 2} " + " ".join(f"w{i // 2}x{j}" for j in range(30))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = jaccard.join(docs).collect()
+    assert len(made) == 300 and {r.n_links for r in made} == {1}
+    from seriesloom.llm import runs, substring_dedup
+
+    seen = []
+    keep = runs.written
+
+    def note(df, label):
+        table = keep(df, label)
+        seen.append((label, table.count()))
+        return table
+
+    runs.written = note
+    try:
+        out = substring_dedup.deduplicate(docs).collect()
+    finally:
+        runs.written = keep
+    assert len(out) == 300 and {r.n_removed for r in out} == {0}  # of rows without ids none comes earlier
+    assert dict(seen)["runs"] <= 600

@@ -40,7 +40,7 @@ def test_encoder_on_long_texts(tokenizer, monkeypatch):
     wanted = [whole(tokenizer, t) for t in texts]
     assert list(tokenizer(texts)) == wanted
     monkeypatch.setattr(packing, "SLICE", 40)
-    monkeypatch.setattr(packing, "MOST_CACHED", 10)
+    monkeypatch.setattr(packing, "MOST_KEPT", 4000)
     assert list(tokenizer(texts)) == wanted
 
 
@@ -318,3 +318,37 @@ def test_class_model_is_a_distribution_and_exchange_climbs():
     assert np.allclose((10**model.after).sum(1), 1)
     total = np.bincount(own, 10**model.inside)
     assert np.allclose(total[np.unique(own)], 1)
+
+
+def test_vectors_in_blocks(monkeypatch):
+    """Sums do not depend on blocks, and many letters need no more than a block of vectors."""
+    text = "".join(chr(0x4E00 + i * 7 % 3000) for i in range(6000)) + " plain words here"
+    keys, counts = langid.trigrams(text)
+    weights = np.vstack([counts, counts[::-1]]).astype(np.float32)
+    space = langid.Space(64, 1)
+    whole = weights.astype(np.float64) @ space.of_trigrams(keys).astype(np.float64)
+    for block in (langid.BLOCK, 100):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        monkeypatch.setattr(langid, "MOST_LETTERS", 32_768 if block > 100 else 300)
+        small = langid.Space(64, 1, 300 if block == 100 else 16_384)
+        assert np.array_equal(small.bundles(keys, weights), whole)
+        assert len(small.vectors) <= small.most and len(small.letters) <= langid.MOST_LETTERS
+
+
+def test_texts_of_many_letters_are_bundled_alone(spark):
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 900).tolist())) for _ in range(70)] + ["the plain words"] * 3
+    docs = spark.createDataFrame([(i, t, "zh" if i < 70 else "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1)
+    prototypes = langid.learn(docs)
+    assert set(prototypes) == {"zh", "en"}
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, prototypes).collect()}
+    assert got == {i: "zh" if i < 70 else "en" for i in range(73)}
+
+
+def test_kept_words_are_bounded(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_KEPT", 100_000)
+    encoder = packing.Encoder(packing.vocabulary_path())
+    for i in range(40):
+        text = " ".join(f"w{i}x{j}" for j in range(100))
+        assert list(encoder([text])) == [whole(tokenizer, text)]
+    assert packing.PER_WORD * (len(encoder.cache) + len(encoder.before)) < 150_000
