@@ -5,7 +5,11 @@ slices of time; inside a slice a running ``last`` finds the history row before o
 probe. No pairs are formed, no task sees more than one slice of one series, and the result
 does not depend on the slice length.
 
-With a tolerance, history rows that lie within it of a slice boundary are copied into the
+With ``span=None`` the slices follow the data (``slices.with_slices``): none holds more than
+``rows`` rows of a series, however dense a burst is, and a table with the first and last history
+row of every slice supplies what lies in another one. That is the plan for raw rows.
+
+With a fixed span, which suits bucketed history, and a tolerance, history rows that lie within it of a slice boundary are copied into the
 next slice as well, so one exchange of probes and history is all there is. Without one, the
 nearest row may be any number of slices away; a table with the first and last history row of
 every slice then supplies it.
@@ -30,6 +34,7 @@ from seriesloom._common import (
     span_us,
     time_chunk,
 )
+from seriesloom.operators.slices import ROWS, with_slices
 
 SPAN = "30 days"
 
@@ -43,7 +48,7 @@ def _axis(
     marks: DataFrame,
     probe_time: str,
     keys: list[str],
-    span: str,
+    span: str | None,
 ) -> DataFrame:
     """Probes and marks as rows ``keys, _probe, <marks>, _us, _chunk, _side``.
 
@@ -51,11 +56,12 @@ def _axis(
     probes of the same time, as ``_side`` is true for probes.
     """
     carried = [c for c in probes.columns if c not in keys]
+    chunk = [] if span is None else [keyed(time_chunk(probe_time, span), keys).alias("_chunk")]
     left = probes.select(
         *keys,
         F.struct(*carried).alias("_probe"),
         micros(probe_time).alias("_us"),
-        keyed(time_chunk(probe_time, span), keys).alias("_chunk"),
+        *chunk,
         F.lit(True).alias("_side"),
     )
     return left.unionByName(marks.withColumn("_side", F.lit(False)), allowMissingColumns=True)
@@ -112,7 +118,8 @@ def asof_nearest(
     name: str,
     keys: str | Sequence[str] = (),
     tolerance: str | None = None,
-    span: str = SPAN,
+    span: str | None = SPAN,
+    rows: int = ROWS,
 ) -> DataFrame:
     """Nearest history row in either direction; the later one when both are equally far.
 
@@ -121,10 +128,11 @@ def asof_nearest(
     require_utc(probes)
     keys = names(keys)
     points = _history(history, history_time, value, keys, "_hist")
-    if tolerance is None:
-        found = _neighbours_at_any_distance(probes, points, probe_time, keys, span)
-        return _answer(found, probes, keys, _nearer(), F.lit(True), name)
-    reach = span_us(tolerance)
+    reach = None if tolerance is None else span_us(tolerance)
+    if reach is None or span is None:
+        found = _neighbours_at_any_distance(probes, points, probe_time, keys, span, rows)
+        near = F.lit(True) if reach is None else F.abs(F.col("_us") - _nearer()["at"]) <= reach
+        return _answer(found, probes, keys, _nearer(), near, name)
     axis = _axis(probes, _within_reach(points, keys, span, reach, reach), probe_time, keys, span)
     found = axis.select(
         "*", _run(keys, "_hist").alias("_prev"), _run(keys, "_hist", True).alias("_next")
@@ -142,7 +150,8 @@ def asof_forward(
     name: str,
     keys: str | Sequence[str] = (),
     tolerance: str = "3 hours",
-    span: str = SPAN,
+    span: str | None = SPAN,
+    rows: int = ROWS,
 ) -> DataFrame:
     """First history row at or after the probe, or the last row for a probe past the end.
 
@@ -152,6 +161,11 @@ def asof_forward(
     keys = names(keys)
     reach = span_us(tolerance)
     points = _history(history, history_time, value, keys, "_hist")
+    if span is None:
+        # Without a history row ahead, the last one of the series is the nearest one behind.
+        found = _neighbours_at_any_distance(probes, points, probe_time, keys, None, rows)
+        chosen = F.coalesce(F.col("_next"), F.col("_prev"))
+        return _answer(found, probes, keys, chosen, F.abs(F.col("_us") - chosen["at"]) < reach, name)
     # Hash aggregation to one row per series: where its history ends.
     ends = points.groupBy(*keys).agg(
         F.max("_us").alias("_us"), F.max_by(F.col("_hist.value"), F.col("_us")).alias("_v")
@@ -171,9 +185,12 @@ def asof_forward(
 
 
 def _neighbours_at_any_distance(
-    probes: DataFrame, points: DataFrame, probe_time: str, keys: list[str], span: str
+    probes: DataFrame, points: DataFrame, probe_time: str, keys: list[str], span: str | None, rows: int
 ) -> DataFrame:
-    axis = _axis(probes, _within_reach(points, keys, span, 0, 0), probe_time, keys, span)
+    if span is None:
+        axis = with_slices(_axis(probes, points, probe_time, keys, None), keys, "_us", rows)
+    else:
+        axis = _axis(probes, _within_reach(points, keys, span, 0, 0), probe_time, keys, span)
     # Primitive aggregates only, so that this stays a hash aggregation.
     at, value = F.when(~F.col("_side"), F.col("_us")), F.col("_hist.value")
     slices = axis.groupBy(*keys, "_chunk").agg(

@@ -12,6 +12,8 @@ from seriesloom.session import written
 
 QUARTILES = (0.25, 0.5, 0.75)
 SKETCH_ACCURACY = 10_000
+#: Rows between the ends of a bracket that are put in order in one task; cells of a narrowing round.
+MOST_INSIDE, CELLS = 1_000_000, 128
 
 
 def _doubles(df: DataFrame, columns: Sequence[str], keys: list[str]) -> DataFrame:
@@ -38,28 +40,74 @@ def _unfold(df: DataFrame, keys: list[str], rows: Sequence[Column]) -> DataFrame
     return df.select(*keys, F.explode(F.array(*rows)).alias("_r")).select(*keys, "_r.*")
 
 
-def _refine(
-    rows: DataFrame, sketch: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: list[str]
-) -> DataFrame:
-    """Exact quantiles from the sketch table ``keys, _n_<column>, _s_<column>``."""
+def _placed(rows: DataFrame, brackets: DataFrame, columns: Sequence[str], keys: list[str]) -> DataFrame:
+    """Rows with the brackets of their group."""
     if keys:
-        placed = join_same(rows, sketch, keys)
-    else:
-        placed = rows.withColumn("_k", sketch.select(F.struct("*")).scalar()).select(*columns, "_k.*")
-    targets = [(c, i, float(q)) for c in columns for i, q in enumerate(probs)]
+        return join_same(rows, brackets, keys)
+    return rows.withColumn("_k", brackets.select(F.struct("*")).scalar()).select(*columns, "_k.*")
 
-    def ends(c: str, i: int) -> tuple[Column, Column]:
-        return F.col(f"_s_{c}")[2 * i], F.col(f"_s_{c}")[2 * i + 1]
 
-    aggs = [F.first(f"_n_{c}").alias(f"_n_{c}") for c in columns]
-    hits = []
-    for j, (c, i, q) in enumerate(targets):
-        v, (lo, hi) = F.col(c), ends(c, i)
-        aggs.append(F.count_if(v < lo).alias(f"_below{j}"))
-        hit = F.struct(F.lit(c).alias("column"), F.lit(q).alias("prob"), v.alias("value"))
-        hits.append(F.when((v >= lo) & (v <= hi), hit))
+def _ends(c: str, i: int) -> tuple[Column, Column]:
+    return F.col(f"_s_{c}")[2 * i], F.col(f"_s_{c}")[2 * i + 1]
+
+
+def _narrowed(
+    rows: DataFrame, brackets: DataFrame, targets: Sequence[tuple[str, int, float]], columns: Sequence[str],
+    keys: list[str], most: int, accuracy: int,
+) -> DataFrame:
+    """Brackets with at most ``most`` rows strictly inside, and ``_below<j>``, the rows under them.
+
+    A round counts, and sketches what is inside at ``CELLS`` evenly spaced places. A cell of the
+    sketch holds a far larger share than the sketch can be off by, so the cells beside the one that
+    holds the wanted rank enclose it, and a few hundredths of the rows are left after each round.
+    Equal values are never split; they count as an end. Each round is written; the driver sees
+    one number of it.
+    """
+    grid = [i / CELLS for i in range(CELLS + 1)]
+    while True:
+        placed = _placed(rows, brackets, columns, keys)
+        aggs = [F.first(f"_n_{c}").alias(f"_n_{c}") for c in columns]
+        aggs += [F.first(f"_s_{c}").alias(f"_s_{c}") for c in columns]
+        for j, (c, i, _) in enumerate(targets):
+            v, (lo, hi) = F.col(c), _ends(c, i)
+            inside = (v > lo) & (v < hi)
+            aggs += [
+                F.count_if(v < lo).alias(f"_below{j}"),
+                F.count_if(v == lo).alias(f"_at{j}"),
+                F.count_if(inside).alias(f"_in{j}"),
+                F.percentile_approx(F.when(inside, v), grid, accuracy).alias(f"_grid{j}"),
+            ]
+        counted = written(placed.groupBy(*keys).agg(*aggs), "brackets")
+        left = F.greatest(*[F.col(f"_in{j}") for j in range(len(targets))], F.lit(0))
+        if (counted.agg(F.max(left)).first()[0] or 0) <= most:
+            return counted
+
+        def ends_of(c: str, counted_targets: Sequence[tuple[int, int, float]]) -> Column:
+            out = []
+            for j, i, q in counted_targets:
+                lo, hi = _ends(c, i)
+                rank = F.floor((F.col(f"_n_{c}") - 1) * q) - F.col(f"_below{j}") - F.col(f"_at{j}")
+                share = F.lit(CELLS) / F.greatest(F.col(f"_in{j}"), F.lit(1))
+                first, last = (F.floor(rank * share) - 1).cast("int"), (F.ceil((rank + 2) * share) + 1).cast("int")
+                some = F.col(f"_in{j}") > most
+                out.append(F.when(some & (first >= 0), F.get(f"_grid{j}", F.least(first, F.lit(CELLS)))).otherwise(lo))
+                out.append(F.when(some & (last <= CELLS), F.get(f"_grid{j}", F.greatest(last, F.lit(0)))).otherwise(hi))
+            return F.array(*out)
+
+        own = {c: [(j, i, q) for j, (d, i, q) in enumerate(targets) if d == c] for c in columns}
+        narrower = [ends_of(c, own[c]).alias(f"_s_{c}") for c in columns]
+        brackets = counted.select(*keys, *[f"_n_{c}" for c in columns], *narrower)
+
+
+def _refine(
+    rows: DataFrame, sketch: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: list[str],
+    most: int = MOST_INSIDE, accuracy: int = SKETCH_ACCURACY,
+) -> DataFrame:
+    """Exact quantiles from the sketch table ``keys, _n_<column>, _s_<column>``. Runs jobs."""
+    targets = [(c, i, float(q)) for c in columns for i, q in enumerate(probs)]
+    counted = _narrowed(rows, sketch, targets, columns, keys, most, accuracy)
     sides = _unfold(
-        placed.groupBy(*keys).agg(*aggs),
+        counted,
         keys,
         [
             F.struct(
@@ -71,10 +119,17 @@ def _refine(
             for j, (c, _, q) in enumerate(targets)
         ],
     ).where("_n > 0")
+    placed = _placed(rows, counted.select(*keys, *[f"_s_{c}" for c in columns]), columns, keys)
+    hits = []
+    for c, i, q in targets:
+        v, (lo, hi) = F.col(c), _ends(c, i)
+        hit = F.struct(F.lit(c).alias("column"), F.lit(q).alias("prob"), v.alias("value"))
+        hits.append(F.when((v >= lo) & (v <= hi), hit))
     group = [*keys, "column", "prob"]
     # Filtered before it is unfolded: nearly all rows lie in no bracket.
     near = F.filter(F.array(*hits), lambda h: h.isNotNull())
     inside = placed.select(*keys, F.explode(near).alias("_r")).select(*keys, "_r.*")
+    # Grouped by value first: a window then has at most ``most`` values and the two ends.
     inside = inside.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("_c"))
     run = Window.partitionBy(*group).orderBy("value")
     inside = inside.withColumn("_end", F.sum("_c").over(run))
@@ -102,18 +157,20 @@ def exact_quantiles(
     probs: Sequence[float] = QUARTILES,
     keys: str | Sequence[str] = (),
     accuracy: int = SKETCH_ACCURACY,
+    most: int = MOST_INSIDE,
 ) -> DataFrame:
     """Linearly interpolated quantiles: one row per key, column and ``prob``.
 
     Spark's exact ``percentile`` gathers all distinct values of a group in one task. Here a
-    mergeable sketch first gives, for each quantile, two values that enclose it. One pass
-    counts the rows below them; only the rows between them, a share of about
-    ``4 / accuracy``, are grouped by value and put in order. The answer is exact.
+    mergeable sketch first gives, for each quantile, two values that enclose it, with a share
+    of about ``4 / accuracy`` of the rows between them. While more than ``most`` rows of any group
+    lie between, another round narrows the brackets; what is left is grouped by value and put in
+    order. The answer is exact, and no task orders more than ``most`` values. Runs a job per round.
     """
     keys = names(keys)
     rows = _doubles(df, columns, keys)
     sketch = rows.groupBy(*keys).agg(*[a for c in columns for a in _sketch(c, probs, accuracy)])
-    return _refine(rows, sketch, columns, probs, keys)
+    return _refine(rows, sketch, columns, probs, keys, most, accuracy)
 
 
 def describe(df: DataFrame, columns: Sequence[str], keys: str | Sequence[str] = ()) -> DataFrame:

@@ -231,3 +231,36 @@ def test_normal_tail_and_p_value(spark):
     factor = math.sqrt((90 + 1 - 6 + 3 * 2 / 90) / 90)
     assert got.adjusted == pytest.approx(got.dm_statistic * factor)
     assert got.p_value == pytest.approx(math.erfc(abs(got.adjusted) / math.sqrt(2)), abs=1e-7)
+
+
+@pytest.mark.parametrize("most", [30, 400, 1_000_000])
+def test_quantiles_in_rounds(spark, monkeypatch, most):
+    """Narrowed brackets give numpy's quantiles, and no window gets more rows than the bound."""
+    from seriesloom.operators import stats
+
+    rng = np.random.default_rng(8)
+    tables = {
+        "even": np.arange(20_000) / 7, "equal": np.full(5000, 3.0), "steps": rng.integers(0, 4, 9000).astype(float),
+        "spike": np.concatenate([np.zeros(7000), rng.normal(size=7000)]), "few": np.array([1.0, 2.0, 4.0]),
+    }
+    df = spark.createDataFrame([(k, float(v)) for k, a in tables.items() for v in a], "k string, v double")
+    rounds, keep = [], stats.written
+    monkeypatch.setattr(stats, "written", lambda d, label: rounds.append(keep(d, label)) or rounds[-1])
+    probs = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+    got = {(r.k, r.prob): r.quantile for r in stats.exact_quantiles(df, ["v"], probs, "k", accuracy=1000, most=most).collect()}
+    for k, a in tables.items():
+        for q in probs:
+            assert got[k, q] == pytest.approx(np.quantile(a, q), abs=1e-12)
+    last = rounds[-1].collect()
+    assert max(r[f"_in{j}"] for r in last for j in range(6)) <= most
+    assert (len(rounds) > 1) == (most == 30)  # the first brackets hold up to 80 rows
+    whole = stats.exact_quantiles(df, ["v"], (0.5,), (), accuracy=1000, most=most).first()
+    assert whole.quantile == pytest.approx(np.median(np.concatenate(list(tables.values()))))
+
+
+def test_quantiles_of_many_rows(spark):
+    from seriesloom.operators import stats
+
+    df = spark.range(10_000_000).select((F.col("id") * 7919 % 10_000_000).cast("double").alias("v"))
+    got = {r.prob: r.quantile for r in stats.exact_quantiles(df, ["v"], most=1000).collect()}
+    assert got == {0.25: 2499999.75, 0.5: 4999999.5, 0.75: 7499999.25}

@@ -188,3 +188,60 @@ def test_no_task_gets_a_whole_series(spark):
     alone = [line for line in text.splitlines() if "Exchange hashpartitioning(k#" in line and "_chunk" not in line and "_block" not in line]
     assert len(alone) <= 1
     assert "SinglePartition" not in text
+
+
+def burst(spark):
+    """One series with a burst of rows in a tenth of a second, and small ones."""
+    quiet = spark.range(400).select(F.lit("hot").alias("k"), (F.col("id") * 3_600_000_000).alias("us"))
+    dense = spark.range(4000).select(F.lit("hot").alias("k"), (F.lit(720_000_000_007) + F.col("id") * 25).alias("us"))
+    rest = spark.range(300).select((F.col("id") % 7).cast("string").alias("k"), (F.col("id") * 7_919_000_000 + 13).alias("us"))
+    df = quiet.union(dense).union(rest)
+    return df.select("k", "us", F.timestamp_micros("us").cast("timestamp_ntz").alias("t"), F.col("us").cast("double").alias("v"))
+
+
+@pytest.mark.parametrize("rows", [50, 300, 10_000])
+def test_no_slice_holds_more_rows(spark, rows):
+    from seriesloom.operators import slices
+
+    df = burst(spark)
+    cut = slices.with_slices(df, "k", "us", rows)
+    assert cut.columns == [*df.columns, "_chunk"] and cut.count() == df.count()
+    sizes = cut.groupBy("k", "_chunk").agg(F.count("v").alias("n"), F.min("us").alias("a"), F.max("us").alias("z")).collect()
+    assert max(r.n for r in sizes) <= rows
+    hot = sorted((r._chunk, r.a, r.z) for r in sizes if r.k == "hot")
+    assert all(a[2] < b[1] for a, b in zip(hot, hot[1:]))
+    assert len(hot) <= 4 * 4400 // rows + 1
+
+
+def test_equal_times_stay_together(spark):
+    from seriesloom.operators import slices
+
+    df = spark.range(500).select(F.lit("a").alias("k"), F.greatest(F.col("id") - 400, F.lit(0)).alias("us"))
+    sizes = {r._chunk: r["count"] for r in slices.with_slices(df, "k", "us", 20).groupBy("_chunk").count().collect()}
+    assert max(sizes.values()) >= 401 and sorted(sizes.values())[-2] <= 20
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 64, 1000])
+def test_binary_search(spark, n):
+    from bisect import bisect_right
+
+    from seriesloom.operators import slices
+
+    values_ = sorted((i * 37) % 500 for i in range(n))
+    df = spark.createDataFrame([(x, values_) for x in range(-1, 502, 7)], "x int, a array<int>")
+    assert all(r.at == bisect_right(values_, r.x) for r in df.select("x", slices.bisect("a", F.col("x")).alias("at")).collect())
+
+
+@pytest.mark.parametrize("tolerance", [None, "1 second", "40 minutes"])
+def test_measured_slices_give_the_same_answers(spark, tolerance):
+    past = burst(spark).withColumnRenamed("t", "at").drop("us")
+    probes = burst(spark).select("k", (F.col("t") + F.expr("INTERVAL 11 MICROSECONDS")).alias("t"), F.col("us").alias("i"))
+    probes = probes.unionByName(probes.select(F.lit("none").alias("k"), "t", "i").limit(3))
+    fixed = asof.asof_nearest(probes, past, "t", "at", "v", "f", "k", tolerance, span="5 hours")
+    for rows in (60, 1000):
+        assert same(asof.asof_nearest(probes, past, "t", "at", "v", "f", "k", tolerance, span=None, rows=rows), fixed)
+    if tolerance:
+        ahead = asof.asof_forward(probes, past, "t", "at", "v", "f", "k", tolerance, span="5 hours")
+        assert same(asof.asof_forward(probes, past, "t", "at", "v", "f", "k", tolerance, span=None, rows=60), ahead)
+    with pytest.raises(Exception, match="without NULL"):
+        asof.asof_nearest(probes.withColumn("k", F.nullif("k", F.lit("1"))), past, "t", "at", "v", "f", "k", span=None, rows=60).collect()

@@ -254,7 +254,7 @@ def asof_nearest_raw_events(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     probes = ev.where("event_type = 'click'").select("event_id", "ts")
     past = ev.where("event_type = 'error'").select(F.col("ts").alias("at"), F.col("value").alias("v"))
-    out = asof.asof_nearest(probes, past, "ts", "at", "v", "value", (), "10 minutes", span="1 hour")
+    out = asof.asof_nearest(probes, past, "ts", "at", "v", "value", (), "10 minutes", span=None)
     return out.select("event_id", "value")
 
 
@@ -328,7 +328,7 @@ def nearest_on_regular_grid(spark, sf_dir):
     )
     axis = grid(ev.withColumnRenamed("at", "time_tag"), "time_tag", "3 hours", "series_id")
     return asof.asof_nearest(
-        axis, ev.withColumnRenamed("value", "v"), "time_tag", "at", "v", "value", "series_id", span="1 day"
+        axis, ev.withColumnRenamed("value", "v"), "time_tag", "at", "v", "value", "series_id", span=None
     )
 
 
