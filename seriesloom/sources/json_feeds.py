@@ -20,11 +20,51 @@ UNREADABLE = "file is not the expected JSON: "
 
 
 def _documents(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    text = spark.read.text(path, wholetext=True)
+    return _tables(spark.read.text(path, wholetext=True))
+
+
+def _tables(text: DataFrame) -> DataFrame:
     table = F.from_json("value", "array<array<string>>")
     return text.select(F.col("_metadata.file_path").alias("source_file"), table.alias("_t"))
 
 
+def stream_files(
+    spark: SparkSession, path: str, pattern: str = "*.json", files_per_batch: int | None = None
+) -> DataFrame:
+    """A stream of whole text files, one row ``value`` each, in the order they land."""
+    reader = spark.readStream.option("pathGlobFilter", pattern)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.text(path, wholetext=True)
+
+
+def stream_header_json(
+    files: DataFrame, columns: Sequence[str], time_col: str = "time_tag", strict_time: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of a stream of header-array files; rejects are ``source_file``s.
+
+    The two are streams of their own and need a query each.
+    """
+    docs = _tables(files)
+    rows = _header_rows(docs.where("_t is not null"), columns, time_col, strict_time, False)
+    return rows, docs.where("_t is null").select("source_file")
+
+
+def stream_object_json(
+    files: DataFrame, fields: Sequence[str] = KP, wrapper: str = "data"
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of a stream of files with an array of objects, wrapped or bare.
+
+    All fields are text, as in ``read_object_json``.
+    """
+    item = "array<struct<" + ", ".join(f"`{f}`: string" for f in fields) + ">>"
+    inside = F.from_json("value", f"struct<`{wrapper}`: {item}>")[wrapper]
+    bare = F.when(F.ltrim("value").startswith("["), F.from_json("value", item))
+    docs = files.select(F.col("_metadata.file_path").alias("source_file"), F.coalesce(inside, bare).alias("_i"))
+    rows = docs.where("_i is not null").select(F.explode("_i").alias("_i")).select("_i.*")
+    return rows, docs.where("_i is null").select("source_file")
+
+
 def unreadable_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """``source_file`` of the files whose text is not an array of arrays, such as a cut download."""
     return _documents(spark, path).where("_t is null").select("source_file")
@@ -66,8 +106,15 @@ def read_header_json(
     ``unreadable_files`` to list what was left out. ``positions`` keeps ``source_file`` and
     ``source_pos``.
     """
-    docs = _readable(_documents(spark, path), skip_unreadable).where(F.size("_t") >= 2)
-    rows = docs.select(
+    docs = _readable(_documents(spark, path), skip_unreadable)
+    out = _header_rows(docs, columns, time_col, strict_time, positions)
+    return out.na.drop("all", subset=list(columns)) if drop_all_null else out
+
+
+def _header_rows(
+    docs: DataFrame, columns: Sequence[str], time_col: str, strict_time: bool, positions: bool
+) -> DataFrame:
+    rows = docs.where(F.size("_t") >= 2).select(
         "source_file",
         F.col("_t")[0].alias("_header"),
         F.posexplode(F.slice("_t", 2, F.size("_t") - 1)).alias("source_pos", "_row"),
@@ -78,12 +125,11 @@ def read_header_json(
         return F.try_element_at("_row", at.cast("int"))
 
     kept = ["source_file", "source_pos"] if positions else []
-    out = rows.select(
+    return rows.select(
         to_time(field(time_col), strict_time).alias(time_col),
         *[to_number(field(c)).alias(c) for c in columns],
         *kept,
     )
-    return out.na.drop("all", subset=list(columns)) if drop_all_null else out
 
 
 def read_object_json(

@@ -1,7 +1,7 @@
 """Streaming forms of the bucket aggregation and of the removal of re-delivered rows.
 
 Watermarks need ``timestamp`` columns; UTC ``timestamp_ntz`` input is cast on the way in.
-Lags over a stream belong in a batch over the aggregated table.
+Lags over closed buckets are in ``lagged``.
 """
 
 from __future__ import annotations
