@@ -24,7 +24,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.llm.common import Out, rows
@@ -70,123 +70,203 @@ def gram_hashes(units: np.ndarray, m: int) -> np.ndarray:
         size, level = size * 2, level + 1
 
 
-def runs_of(units: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first window, number of windows, several) of the runs of a text of ``k`` units or more.
+def runs_of(units: np.ndarray, k: int, m: int, low: np.ndarray | None = None, high: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first window, number of windows, several) of the runs of texts behind each other.
 
+    Text ``d`` has the units from ``low[d]`` to ``high[d]``; without them all units are one text.
     ``several``: the place of the key's gram moves inside the run; else no two of its windows are equal.
+    The key is the gram at the leftmost least place, so equal windows have it at equal distance.
     """
+    windows, tail = len(units) - k + 1, np.uint64((1 << 21) - 1)
+    low, high = (np.zeros(1, np.int64), np.array([len(units)])) if low is None else (low, high)
+    long = high - low >= k
+    low, high = low[long], high[long]
+    if not len(low):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+    step = np.zeros(windows + 1, np.int8)
+    step[low] += 1
+    step[high - k + 1] -= 1
+    inside = np.cumsum(step[:-1], dtype=np.int8) > 0
+    opens = np.zeros(windows, bool)
+    opens[low] = True
     keys, firsts, counts, moves = [], [], [], []
-    windows, low = len(units) - k + 1, np.uint64((1 << 21) - 1)
     for at in range(0, windows, BLOCK):
-        part = units[at : min(at + BLOCK, windows) + k - 1]
-        grams = gram_hashes(part, m)
-        key = sliding_min(grams, k - m + 1)
-        place = sliding_min(grams & ~low | np.arange(len(grams), dtype=np.uint64), k - m + 1) & low
-        head = np.concatenate([[True], key[1:] != key[:-1]])
+        end = min(at + BLOCK, windows)
+        grams = gram_hashes(units[at : end + k - 1], m)
+        place = (sliding_min(grams & ~tail | np.arange(len(grams), dtype=np.uint64), k - m + 1) & tail).astype(np.int64)
+        key = grams[place]
+        head = opens[at:end].copy()
+        head[0] = True
+        head[1:] |= key[1:] != key[:-1]
         moved = np.concatenate([[False], place[1:] != place[:-1]]) & ~head
+        take = np.flatnonzero(inside[at:end])
+        if not len(take):
+            continue
+        head = head[take]
+        head[0] = True
         first = np.flatnonzero(head)
-        keys.append(key[first])
-        firsts.append(first + at)
-        counts.append(np.diff(np.append(first, len(key))))
-        moves.append(np.add.reduceat(moved, first) > 0)
+        keys.append(key[take[first]])
+        firsts.append(take[first] + at)
+        counts.append(np.diff(np.append(first, len(take))))
+        moves.append(np.add.reduceat(moved[take], first) > 0)
     return np.concatenate(keys).view(np.int64), np.concatenate(firsts), np.concatenate(counts), np.concatenate(moves)
 
 
+CHUNK = 1 << 17  # bytes of texts that are cut into runs together; a longer text is a chunk of its own
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def chunks(texts: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows that begin with a text's bytes, in lists of about ``CHUNK`` bytes."""
+    held, size = [], 0
+    for row in texts:
+        if held and size + len(row[0]) > CHUNK:
+            yield held
+            held, size = [], 0
+        held.append(row)
+        size += len(row[0])
+    if held:
+        yield held
+
+
+def runs_in(texts: list[bytes], make: Callable, k: int, m: int) -> tuple:
+    """Runs of texts: their text's number, key, first unit, windows, several; first units, and the slicer."""
+    size = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(size + 1) - size - 1
+    hashed, pieces, number = make(b" ".join(texts))
+    low, high = number(begin), number(begin + size)
+    key, first, count, several = runs_of(hashed, k, m, low, high)
+    return np.searchsorted(low, first, "right") - 1, key, first, count, several, low, pieces
+
+
+def _data(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def half_of(tk: bytes) -> int:
+    return int.from_bytes(tk[:8], "little", signed=True)
+
+
 def _keys(batches: Iterator[pa.RecordBatch], units: Callable, k: int, m: int) -> Iterator[pa.RecordBatch]:
-    """Per text: its hash, the keys that it has once, and those that could repeat a window in it.
+    """A row per key of a text: half of the text's name, the key, whether it could repeat a window in the text.
 
-    ``loads``: the number of runs of each of the latter, or their units in usual runs if that is more.
+    ``load``: the number of its runs there, or their units in usual runs if that is more. A task
+    shows a text once.
     """
     make = units()
-    out = Out(pa.schema([("tk", pa.binary()), ("once", pa.list_(pa.int64())), ("more", pa.list_(pa.int64())), ("loads", pa.list_(pa.int64()))]), most_bytes=8 << 20)
-    for batch in batches:
-        for (text,) in rows(batch, "text"):
-            data = (text or "").encode("utf-8", "surrogatepass")
-            hashed, _ = make(data)
-            if len(hashed) >= k:
-                found, _, count, several = runs_of(hashed, k, m)
-                key, at, n = np.unique(found, return_inverse=True, return_counts=True)
-                units = np.bincount(at, count + (k - 1)).astype(np.int64)
-                load = np.maximum(n, -(-units // (2 * k - m)))  # a run whose gram stays has 2k - m units at most
-                more = (n > 1) | (np.bincount(at, several) > 0)
-                if out.add(xxhash.xxh3_128_digest(data), key[~more], key[more], load[more], weight=8 * (len(key) + int(more.sum()))):
-                    yield out.take()
-    yield from out.rest()
+    shown: set[int] = set()
+
+    def new() -> Iterator[tuple]:
+        for batch in batches:
+            for (text,) in rows(batch, "text"):
+                data = _data(text)
+                half = half_of(xxhash.xxh3_128_digest(data))
+                if half not in shown:
+                    if len(shown) > 500_000:
+                        shown.clear()
+                    shown.add(half)
+                    yield data, half
+
+    for held in chunks(new()):
+        doc, key, _, count, several, _, _ = runs_in([d for d, _ in held], make, k, m)
+        if not len(key):
+            continue
+        order = np.lexsort((key, doc))
+        doc, key, count, several = doc[order], key[order], count[order], several[order]
+        head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]))
+        n = np.diff(np.append(head, len(key)))
+        size = np.add.reduceat(count + (k - 1), head)
+        load = np.maximum(n, -(-size // (2 * k - m)))  # a run whose gram stays has 2k - m units at most
+        half = np.array([h for _, h in held], np.int64)[doc[head]]
+        more = (n > 1) | (np.add.reduceat(several, head) > 0)
+        for i in range(0, len(head), 65_536):
+            part = slice(i, i + 65_536)
+            yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (half, key[head], more, load)], ["half", "key", "more", "load"])
 
 
 OCCURRENCES = "key long, ch binary, sid long, tk binary, start long, windows long, several boolean, units binary"
+_KINDS = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+_OCCURRENCES = pa.schema([(c.split()[0], t) for c, t in zip(OCCURRENCES.split(", "), _KINDS, strict=True)])
+
+
+def _pairs(lists: list[np.ndarray]) -> np.ndarray:
+    """(number of the list, key) as one number; should two pairs share it, more runs are looked at."""
+    doc = np.repeat(np.arange(len(lists), dtype=np.uint64), [len(x) for x in lists])
+    return np.concatenate(lists).view(np.uint64) + doc * _ODD
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch], units: Callable, k: int, m: int) -> Iterator[pa.RecordBatch]:
     """Runs whose key is asked for; a task shows the units of a run once."""
     make = units()
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-    out = Out(pa.schema([(c.split()[0], t) for c, t in zip(OCCURRENCES.split(", "), kinds, strict=True)]), most_bytes=8 << 20)
     shown: set[bytes] = set()
 
-    def add(key: int, start: int, n: int, several: bool, sid: int, tk: bytes, piece: Callable) -> bool:
-        content = piece(start, start + n + k - 1)
-        ch = xxhash.xxh3_128_digest(content)
-        new = ch not in shown
-        if new:
+    def wanted() -> Iterator[tuple]:
+        for batch in batches:
+            lists = [(batch.column(c).values.to_numpy(), batch.column(c).offsets.to_numpy()) for c in ("asked", "hot")]
+            for i, (sid, tk, text) in enumerate(rows(batch, "sid", "tk", "text")):
+                data = _data(text)
+                if xxhash.xxh3_128_digest(data) == tk:
+                    yield data, sid, tk, *[values[at[i] : at[i + 1]] for values, at in lists]
+
+    def made(held: list[tuple], pieces: Callable, low: np.ndarray, doc, key, first, count, several) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(doc), 4096):
+            d, at, n = doc[i : i + 4096], first[i : i + 4096], count[i : i + 4096]
+            contents = pieces(at, at + n + (k - 1))
+            names = [xxhash.xxh3_128_digest(c) for c in contents]
             if len(shown) > 500_000:
                 shown.clear()
-            shown.add(ch)
-        return out.add(key, ch, sid, tk, start, n, several, content if new else None, weight=len(content) if new else 0)
-
-    for batch in batches:
-        for sid, tk, text, asked, hot in rows(batch, "sid", "tk", "text", "asked", "hot"):
-            data = (text or "").encode("utf-8", "surrogatepass")
-            hashed, piece = make(data)
-            if xxhash.xxh3_128_digest(data) != tk or len(hashed) < k:
-                continue
-            key, first, count, several = runs_of(hashed, k, m)
-            take = np.isin(key, np.array(asked, np.int64))
-            single = np.array(hot, np.int64)
-            for one, start, n, again in zip(*[x[take].tolist() for x in (key, first, count, several)], strict=True):
-                if len(single) and (single == one).any():
-                    for i in range(start, start + n):
-                        own = xxhash.xxh3_64_intdigest(piece(i, i + k)) - (1 << 63)
-                        if add(own, i, 1, False, sid, tk, piece):
-                            yield out.take()
-                elif add(one, start, n, again, sid, tk, piece):
-                    yield out.take()
-    yield from out.rest()
+            for j, name in enumerate(names):
+                if name in shown:
+                    contents[j] = None
+                else:
+                    shown.add(name)
+            own = key[i : i + 4096] if key is not None else np.array([half_of(name) for name in names], np.int64)
+            of = d.tolist()
+            columns = [own, names, [held[x][1] for x in of], [held[x][2] for x in of], at - low[d], n, several[i : i + 4096], contents]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS, strict=True)], schema=_OCCURRENCES)
+
+    for held in chunks(wanted()):
+        doc, key, first, count, several, low, pieces = runs_in([h[0] for h in held], make, k, m)
+        pair = key.view(np.uint64) + doc.astype(np.uint64) * _ODD
+        take = np.isin(pair, _pairs([h[3] for h in held]))
+        alone = take & np.isin(pair, _pairs([h[4] for h in held]))
+        take &= ~alone
+        yield from made(held, pieces, low, doc[take], key[take], first[take], count[take], several[take])
+        if alone.any():
+            n = count[alone]
+            at = np.repeat(first[alone] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            one = np.ones(len(at), np.int64)
+            yield from made(held, pieces, low, np.repeat(doc[alone], n), None, at, one, one < 1)
 
 
 def hits(docs: DataFrame, units: Callable, find: Callable, k: int, m: int, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """(first, covered): the first document of every text (tk, first), and for those documents the
     sorted, disjoint ranges of units that earlier windows cover (tk, ranges).
 
-    ``units`` makes a function from a text's bytes to its units' hashes and a slicing function;
+    ``units`` makes a function from bytes to the units' hashes, a function that gives the bytes
+    between units, and one that gives the first unit at or behind a byte;
     ``find`` reads rows (key, ch, sid, tk, start, windows, units) sorted by key and yields
     (tk, start, end) for windows that start earlier. Runs jobs.
     """
     smallest = -(1 << 63)
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(smallest)).alias("sid"), "text")
-    listed = plain.mapInArrow(partial(_keys, units=units, k=k, m=m), "tk binary, once array<long>, more array<long>, loads array<long>")
-    once = F.transform("once", lambda k: F.struct(k.alias("key"), F.lit(False).alias("more"), F.lit(1).cast("long").alias("load")))
-    more = F.zip_with("more", "loads", lambda k, n: F.struct(k.alias("key"), F.lit(True).alias("more"), n.alias("load")))
-    every = F.explode(F.concat(once, more)).alias("k")
     # Half of a text's name is enough here: should two texts share it, both are asked for more.
-    each = listed.select(F.xxhash64("tk").alias("half"), every).select("half", "k.key", "k.more", "k.load")
-    repeated = (
-        each.groupBy("key")
-        .agg(F.min("half").alias("a"), F.max("half").alias("b"), F.max("more").alias("more"), F.sum("load").alias("n"))
-        .where("more or a <> b")
-        .select("key", (F.col("n") > most).alias("is_hot"))
-    )
+    each = plain.mapInArrow(partial(_keys, units=units, k=k, m=m), "half long, key long, more boolean, load long")
+    # one shuffle of the keys; a group of one key is streamed from disk beyond a bound
+    same = Window.partitionBy("key")
+    again = F.max("more").over(same) | (F.min("half").over(same) != F.max("half").over(same))
+    repeated = each.select("half", "key", again.alias("again"), (F.sum("load").over(same) > most).alias("is_hot"))
     asked = (
-        each.select("half", "key")
-        .join(repeated, "key")
+        repeated.where("again")
         .groupBy("half")
         .agg(F.collect_set("key").alias("asked"), F.collect_set(F.when(F.col("is_hot"), F.col("key"))).alias("hot"))
     )
     # ids may repeat or be missing, so a text is found again by its id and its own hash
     plain = plain.withColumn("own", F.xxhash64("text"))
-    hashed = plain.mapInArrow(_text_hash, "sid long, own long, tk binary")
-    first = written(hashed.groupBy("tk").agg(F.min(F.struct("sid", "own")).alias("least")).select("tk", F.col("least.sid").alias("first"), F.col("least.own").alias("own")), "first")
-    wanted = asked.join(first.withColumn("half", F.xxhash64("tk")), "half").drop("half").withColumnRenamed("own", "like")
+    hashed = plain.mapInArrow(_text_hash, "sid long, own long, tk binary, half long")
+    least = hashed.groupBy("tk").agg(F.min(F.struct("sid", "own", "half")).alias("least"))
+    first = written(least.select("tk", F.col("least.sid").alias("first"), "least.own", "least.half"), "first")
+    wanted = asked.join(first, "half").drop("half").withColumnRenamed("own", "like")
     wanted = written(wanted.withColumnRenamed("first", "want"), "asked")
     texts = plain.join(wanted, (plain["sid"] == wanted["want"]) & (plain["own"] == wanted["like"])).select("sid", "tk", "text", "asked", "hot")
     # a row per run, in the shared folder: what follows reads it twice
@@ -211,10 +291,11 @@ def hits(docs: DataFrame, units: Callable, find: Callable, k: int, m: int, most:
 
 
 def _text_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out = Out(pa.schema([("sid", pa.int64()), ("own", pa.int64()), ("tk", pa.binary())]))
+    out = Out(pa.schema([("sid", pa.int64()), ("own", pa.int64()), ("tk", pa.binary()), ("half", pa.int64())]))
     for batch in batches:
         for sid, own, text in rows(batch, "sid", "own", "text"):
-            if out.add(sid, own, xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))):
+            tk = xxhash.xxh3_128_digest(_data(text))
+            if out.add(sid, own, tk, half_of(tk)):
                 yield out.take()
     yield from out.rest()
 
@@ -234,7 +315,7 @@ def digest(docs: DataFrame, first: DataFrame, merged: DataFrame, cut: Callable,
 
 def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = [xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass")) for (text,) in rows(batch, "text")]
+        keys = [xxhash.xxh3_128_digest(_data(text)) for (text,) in rows(batch, "text")]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, "tk"])
 
 
@@ -243,7 +324,7 @@ def _cut(batches: Iterator[pa.RecordBatch], cut: Callable) -> Iterator[pa.Record
         made = []
         for doc_id, text, copy, ranges in rows(batch, "doc_id", "text", "copy", "ranges"):
             spans = None if copy else union([(r["start"], r["end"]) for r in ranges or []])
-            made.append(cut(doc_id, (text or "").encode("utf-8", "surrogatepass"), spans))
+            made.append(cut(doc_id, _data(text), spans))
         if made:
             yield pa.RecordBatch.from_pylist(made)
 

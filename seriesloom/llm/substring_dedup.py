@@ -18,7 +18,6 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
 from seriesloom.llm import runs
@@ -27,17 +26,40 @@ from seriesloom.llm.fmindex import FMIndex
 WINDOW, GRAM, SHARD = 20, 6, 4 << 20
 
 
+SPACES = bytes.maketrans(b"\t\n\v\f\r", b"     ")
+BYTES = runs.mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+PLACES = runs.mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of words, each the sum of its bytes' numbers times those of their places."""
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(start, start[i] + runs.BLOCK)))
+        at, here = start[i], start[i:j] - start[i]
+        part = data[at : end[j - 1]]
+        place = np.arange(len(part)) - np.repeat(here, np.diff(np.append(here, len(part))))
+        value = BYTES[part] * PLACES[place & 255]
+        value[part == 32] = 0
+        out[i:j] = np.add.reduceat(value, here)
+        i = j
+    return runs.mixed(out)
+
+
 def word_units():
-    known: dict[bytes, int] = {}
-
-    def make(data: bytes):
-        words = data.split()
-        if len(known) > 500_000:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), lambda i, j: b" ".join(words[i:j])
+    def make(blob: bytes):
+        blob = blob.translate(SPACES)
+        data = np.frombuffer(blob, np.uint8)
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], data != 32, [False]]).astype(np.int8)))
+        start, end = edge[::2], edge[1::2]
+        before = np.concatenate([[0], np.cumsum(end - start)])
+
+        def pieces(i: np.ndarray, j: np.ndarray) -> list[bytes]:
+            a, b = start[i], end[j - 1]
+            plain = b - a == before[j] - before[i] + (j - i - 1)  # a space between any two words
+            return [blob[x:y] if p else b" ".join(blob[x:y].split()) for x, y, p in zip(a.tolist(), b.tolist(), plain.tolist(), strict=True)]
+
+        return word_hashes(data, start, end), pieces, lambda at: np.searchsorted(start, at)
 
     return make
 

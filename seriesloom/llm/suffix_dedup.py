@@ -27,7 +27,11 @@ TABLE = runs.mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A
 
 
 def byte_units():
-    return lambda data: (TABLE[np.frombuffer(data, np.uint8)], lambda i, j: data[i:j])
+    def make(blob: bytes):
+        pieces = lambda i, j: [blob[x:y] for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+        return TABLE[np.frombuffer(blob, np.uint8)], pieces, lambda at: at
+
+    return make
 
 
 def solve(shard: runs.Shard, k: int) -> Iterator[tuple[bytes, int, int]]:
