@@ -15,6 +15,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 T = TypeVar("T")
+CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 FOLDER_SETTING = "spark.seriesloom.dir"
 
@@ -102,13 +103,39 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+_writes: dict[SparkSession, tuple[int, str]] = {}
+_writes_lock = threading.Lock()
+
+
+@contextmanager
+def _freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Writes begun in this block drop their shuffle files at their end, when nothing needs them.
+
+    Blocks of several threads may overlap; the last one restores the session's own setting.
+    """
+    with _writes_lock:
+        count, own = _writes.get(spark, (0, spark.conf.get(CLEANUP_SETTING, "false")))
+        _writes[spark] = count + 1, own
+        spark.conf.set(CLEANUP_SETTING, "true")
+    try:
+        yield
+    finally:
+        with _writes_lock:
+            count, own = _writes.pop(spark)
+            if count > 1:
+                _writes[spark] = count - 1, own
+            else:
+                spark.conf.set(CLEANUP_SETTING, own)
+
+
 def written(df, label: str):
     """Write ``df`` once below the shared folder and read it back.
 
     Runs a job. Cuts the lineage with files that outlive any executor.
     """
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with _freeing_shuffles(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -127,7 +154,8 @@ def intermediate(spark: SparkSession) -> Iterator[Callable]:
     def write(df, label: str):
         path = fresh_path(spark, label)
         made.append(path)
-        df.write.parquet(path)
+        with _freeing_shuffles(spark):
+            df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
     try:

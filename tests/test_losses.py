@@ -6,6 +6,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from seriesloom import session
 from seriesloom.operators import ensemble, splits, windows
 from seriesloom.plans import seasonal
 from seriesloom.config import SeasonalConfig
@@ -121,3 +122,14 @@ def test_slices_follow_the_densest_hour(spark):
     assert 100 < most <= 1000
     numbered = windows.number_rows(df, "k", ["t", "us"], windows.time_chunk("t", span), "at")
     assert numbered.agg(F.count_distinct("at"), F.max("at")).first() == (22_000, 21_999)
+
+
+def test_written_tables_leave_the_session_as_it_was(spark):
+    frames = [spark.range(1000).groupBy((F.col("id") % n).alias("k")).count() for n in (3, 5, 7, 9)]
+    before = spark.conf.get(session.CLEANUP_SETTING)
+    made = session.together(spark, [lambda f=f: session.written(f, "freed") for f in frames], "freed")
+    assert [m.count() for m in made] == [3, 5, 7, 9]
+    assert spark.conf.get(session.CLEANUP_SETTING) == before
+    with session.intermediate(spark) as write:
+        assert write(frames[0], "freed").count() == 3
+    assert [f.count() for f in frames] == [3, 5, 7, 9]
