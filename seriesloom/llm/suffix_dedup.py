@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from seriesloom.llm import runs
 from seriesloom.llm.suffix_sort import suffixes
 
-WINDOW, GRAM, SHARD = 100, 32, 4 << 20
+WINDOW, GRAM, SHARD = 100, 32, 2 << 20
 TABLE = runs.mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
