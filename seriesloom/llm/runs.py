@@ -287,7 +287,8 @@ def hits(docs: DataFrame, units: Callable, find: Callable, k: int, m: int, most:
         .groupBy("tk")
         .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("ranges"))
     )
-    return first.select("tk", "first"), merged
+    # small, and its shuffles are gone before those of the texts come
+    return first.select("tk", "first"), written(merged, "ranges")
 
 
 def _text_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
