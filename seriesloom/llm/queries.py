@@ -80,21 +80,21 @@ l{i} AS (SELECT h.gram, {mixed} FROM h{i} h JOIN c{i} ON c{i}.context = substr(h
         )
     half, q = urls.MOST_BINS // 2, ",\n"
     return f"""
-WITH s AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {LOWER}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM s),
+WITH s AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), {LOWER}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM s),
 r AS (SELECT *, CASE {when(lambda x: x[0] + x[1])} END AS rule, CASE {when(lambda x: x[2])} END AS said FROM p),
-t AS (SELECT host, path, count(*) FILTER (said = 'allow') AS good, count(*) FILTER (said = 'block') AS bad,
-      repeat(chr(2), {k}) || host || translate(path, {LOWER}) || chr(3) AS m FROM r GROUP BY host, path),
-e AS (SELECT host, path, good, bad, substr(m, i, {k + 1}) AS gram FROM (SELECT *, unnest(range(1, length(m) - {k} + 1)) AS i FROM t)),
+t AS (SELECT url, count(*) FILTER (said = 'allow') AS good, count(*) FILTER (said = 'block') AS bad,
+      repeat(chr(2), {k}) || translate(url, {LOWER}) || chr(3) AS m FROM r GROUP BY url),
+e AS (SELECT url, good, bad, substr(m, i, {k + 1}) AS gram FROM (SELECT *, unnest(range(1, length(m) - {k} + 1)) AS i FROM t)),
 g AS (SELECT gram, sum(good) AS good, sum(bad) AS bad FROM e GROUP BY gram),
 {q.join(levels)},
-x AS (SELECT host, path, good, bad, round(sum(ln(good_p) - ln(bad_p)) / count(*), 9) AS score FROM e JOIN l{k} USING (gram) GROUP BY ALL),
+x AS (SELECT url, good, bad, round(sum(ln(good_p) - ln(bad_p)) / count(*), 9) AS score FROM e JOIN l{k} USING (gram) GROUP BY ALL),
 b AS (SELECT greatest(-{half}, least({half}, floor(score / {urls.BIN}))) AS bin, sum(good) AS good, sum(bad) AS bad FROM x GROUP BY 1),
 y AS (SELECT bin, round(coalesce(sum(bad) OVER w, 0) / sum(bad) OVER () - coalesce(sum(good) OVER w, 0) / sum(good) OVER (), 9) AS gain
       FROM b WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 z AS (SELECT bin * {urls.BIN} AS least FROM y WHERE gain IS NOT NULL ORDER BY gain DESC, bin DESC LIMIT 1)
 SELECT page_id, r.host, r.path, rule, coalesce(said, CASE WHEN score >= coalesce((SELECT least FROM z), score) THEN 'allow' ELSE 'block' END) AS verdict
-FROM r JOIN x ON r.host = x.host AND r.path = x.path
+FROM r JOIN x ON r.url = x.url
 """
 
 

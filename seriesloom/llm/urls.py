@@ -3,7 +3,8 @@
 Rules on hosts and paths label the URLs they fit. From those, each model counts which character
 follows which context of up to four characters; a probability mixes the orders by Witten-Bell
 weights, so that rare contexts lean on shorter ones. A URL's score is the log-likelihood difference
-of the two models, divided by its number of characters; the threshold is the one that separates the
+of the two models, divided by its number of characters; scheme, query and fragment are learnt from and
+scored like host and path, A-Z lower-cased. The threshold is the one that separates the
 labelled URLs best (largest sum of the two hit rates over a histogram of scores). Only DataFrame
 functions are used.
 
@@ -105,25 +106,25 @@ def threshold(labelled: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score of every row. Runs jobs."""
     host, path = parts("url")
-    split = pages.select("page_id", host.alias("host"), path.alias("path"))
+    split = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = split.select("*", rule.alias("rule"), verdict.alias("said"))
-    texts = ruled.groupBy("host", "path").agg(
+    texts = ruled.groupBy("url").agg(
         F.count_if(F.col("said") == "allow").alias("good"), F.count_if(F.col("said") == "block").alias("bad")
     )
-    text = F.concat("host", F.translate("path", string.ascii_uppercase, string.ascii_lowercase))
+    text = F.translate("url", string.ascii_uppercase, string.ascii_lowercase)
     counts = texts.select("good", "bad", F.explode(grams(text)).alias("gram")).groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     ratios = written(model(written(counts, "grams")), "ratios")
     if ratios.count() <= MOST_BROADCAST:
         ratios = F.broadcast(ratios)
     scored = (
-        texts.select("host", "path", "good", "bad", F.explode(grams(text)).alias("gram"))
+        texts.select("url", "good", "bad", F.explode(grams(text)).alias("gram"))
         .join(ratios, "gram")
-        .groupBy("host", "path", "good", "bad")
+        .groupBy("url", "good", "bad")
         .agg(F.round(F.sum("ratio") / F.count("*"), 9).alias("score"))
     )
     scored = written(scored, "scores")
     least = threshold(scored).first().least
     judged = F.when(F.col("score") >= F.lit(least), "allow").otherwise("block") if least is not None else F.lit("allow")
-    both = ruled.join(scored.select("host", "path", "score"), ["host", "path"])
+    both = ruled.join(scored.select("url", "score"), "url")
     return both.select("page_id", "host", "path", "rule", F.coalesce("said", judged).alias("verdict"), "score")

@@ -82,6 +82,20 @@ def test_url_parts_and_rules(spark):
     assert {r.verdict for r in urls.judge(pages.where("page_id in (2, 6, 7)")).collect()} == {"allow"}
 
 
+def test_whole_urls_are_scored(spark):
+    """What speaks for or against a URL may stand in its scheme, query or fragment alone; letters' case does not matter."""
+    good = [f"https://{h}.com/p{i}?ref=alpha#top" for i, h in enumerate("abcdefgh")]
+    bad = [f"http://{h}.net/es/p{i}?ref=omega#end" for i, h in enumerate("abcdefgh")]
+    asked = ["https://x.org/p?ref=alpha#top", "https://x.org/p?REF=Alpha#TOP", "http://x.org/p?ref=omega#end", "http://x.org/p?ref=omega#end"]
+    pages = spark.createDataFrame(list(enumerate(good + bad + asked)), "page_id long, url string")
+    made = urls.judge(pages).collect()
+    assert len(made) == len(good) + len(bad) + len(asked)
+    last = sorted((r for r in made if r.page_id >= 16), key=lambda r: r.page_id)
+    assert {(r.host, r.path, r.rule) for r in last} == {("x.org", "/p", None)}
+    assert last[0].score == last[1].score > 0 > last[2].score == last[3].score
+    assert [r.verdict for r in last[2:]] == ["block", "block"]
+
+
 def test_models_of_urls(spark):
     """Ratios equal a plain Witten-Bell mixture."""
     good, bad = ["aab", "aac", "ab"], ["zzb", "za", "aa"]
