@@ -60,26 +60,26 @@ def expected_events(years: int, test_share: float = 0.25, event_share: float = 0
     return Check("expected_events", expected, F.lit(years >= 8), "years >= 8")
 
 
+def results(checks: Sequence[Check]) -> Column:
+    """All checks as one aggregate: an array of ``(check, status, observed, limit)``."""
+    return F.array(
+        *[
+            F.struct(
+                F.lit(c.name).alias("check"),
+                F.when(F.coalesce(c.passed, F.lit(True)), OK).otherwise(c.severity).alias("status"),
+                c.observed.cast("double").alias("observed"),
+                F.lit(c.limit).alias("limit"),
+            )
+            for c in checks
+        ]
+    )
+
+
 def audit(df: DataFrame, checks: Sequence[Check], keys: str | Sequence[str] = ()) -> DataFrame:
     """Table ``(check, status, observed, limit)``, per key if given. Nothing is raised."""
     keys = names(keys)
-    aggs = []
-    for i, c in enumerate(checks):
-        aggs += [
-            c.observed.cast("double").alias(f"_o{i}"),
-            F.coalesce(c.passed, F.lit(True)).alias(f"_p{i}"),
-        ]
-    one = df.groupBy(*keys).agg(*aggs)
-    rows = [
-        F.struct(
-            F.lit(c.name).alias("check"),
-            F.when(F.col(f"_p{i}"), OK).otherwise(c.severity).alias("status"),
-            F.col(f"_o{i}").alias("observed"),
-            F.lit(c.limit).alias("limit"),
-        )
-        for i, c in enumerate(checks)
-    ]
-    return one.select(*keys, F.explode(F.array(*rows)).alias("r")).select(*keys, "r.*")
+    one = df.groupBy(*keys).agg(results(checks).alias("_results"))
+    return one.select(*keys, F.explode("_results").alias("r")).select(*keys, "r.*")
 
 
 def column_audit(df: DataFrame, wanted: Sequence[str]) -> DataFrame:

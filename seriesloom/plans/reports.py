@@ -12,7 +12,7 @@ from seriesloom._common import series_keys
 from seriesloom.config import SeasonalConfig, StormConfig
 from seriesloom.functions.domain import kp_label
 from seriesloom.functions.timeaxis import iso_time
-from seriesloom.operators import ensemble
+from seriesloom.operators import ensemble, quality
 from seriesloom.operators import model as m
 from seriesloom.operators.windows import last_row
 from seriesloom.plans import seasonal, storm_forecast, storm_frames
@@ -20,6 +20,10 @@ from seriesloom.session import written
 from seriesloom.sources.documents import forecast_arrays, ordered_array
 
 
+#: Fewer rows are too few to learn from.
+MIN_TRAINING_ROWS = 32
+
+
 def _fields(df: DataFrame, keys: Sequence[str], name: str, columns: Sequence[str] | None = None) -> DataFrame:
     columns = columns or [c for c in df.columns if c not in keys]
     return df.select(*keys, F.struct(*columns).alias(name))
@@ -76,6 +80,18 @@ def seasonal_report(
     return _combine(parts, keys)
 
 
+def storm_checks(now: Column, time: str = "time_tag") -> dict[str, list[quality.Check]]:
+    """Checks of the live feeds and of the rows that the model learns from, by table."""
+    always = [quality.not_empty(), quality.fresh(time, now)]
+    training = [quality.min_rows(MIN_TRAINING_ROWS), *quality.in_range("Kp", 0, 9.5)]
+    return {
+        "plasma": [*always, *quality.in_range("speed", 100, 2000)],
+        "mag": always,
+        "kp": always,
+        "archive": training,
+    }
+
+
 def storm_report(
     plasma: DataFrame,
     mag: DataFrame,
@@ -88,14 +104,19 @@ def storm_report(
     sources: Mapping[str, str],
     weights: ensemble.Weights | None = None,
     time: str = "time_tag",
+    now: Column | None = None,
 ) -> DataFrame:
-    """Metrics, newest prediction and scenario forecast of every series.
+    """Audit, metrics, newest prediction and scenario forecast of every series.
 
     ``scenarios`` and ``draws`` are long tables of step inputs, the latter with a ``draw``.
     Series without live rows fall back to the archive. The model is pooled, its scores are
-    per series.
+    per series. ``audit`` holds what the ``storm_checks`` of each table say about the series, as
+    of ``now`` (else the current time); ``archive`` there means the rows to learn from. A series
+    that a table doesn't have fails ``not_empty`` there. Checks are made by the aggregations that
+    count the rows.
     """
     keys = series_keys(keys)
+    checks = storm_checks(F.localtimestamp() if now is None else now, time)
     weights = weights if weights is not None else config.weights
     # The archive is read once; everything after it works on its 3-hour means.
     means = written(storm_frames.bucket_means(hourly, keys, time, "kp"), "archive-means")
@@ -139,7 +160,7 @@ def storm_report(
     )
     parts = [
         frame.select(*keys).distinct(),
-        _counts({"plasma_rows": plasma, "mag_rows": mag, "kp_rows": kp, "archive_rows": frame}, keys),
+        _audited({"plasma": plasma, "mag": mag, "kp": kp, "archive": frame}, checks, keys),
         _fields(storm_forecast.storm_scores(test, keys), keys, "metrics"),
         _fields(latest, keys, "latest"),
         forecast_arrays(paths, by_step, keys, "kp"),
@@ -147,17 +168,40 @@ def storm_report(
     ]
     named = F.struct(*[F.lit(v).alias(k) for k, v in sources.items()]).alias("sources")
     out = _combine(parts, keys)
-    return out.select(*keys, named, "counts", "metrics", "latest", "forecast", "outlook")
+    return out.select(*keys, named, "counts", "audit", "metrics", "latest", "forecast", "outlook")
 
 
-def _counts(tables: Mapping[str, DataFrame], keys: list[str]) -> DataFrame:
+def _audited(
+    tables: Mapping[str, DataFrame], checks: Mapping[str, Sequence[quality.Check]], keys: list[str]
+) -> DataFrame:
+    """Row counts and check results of every series, one aggregation per table."""
     counted = [
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_of", F.lit(name))
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"), quality.results(checks[name]).alias("_results"))
+        .withColumn("_of", F.lit(name))
         for name, df in tables.items()
     ]
+    none = quality.not_empty()
+    missing = F.array(
+        F.struct(
+            F.lit(none.name).alias("check"),
+            F.lit(none.severity).alias("status"),
+            F.lit(0.0).alias("observed"),
+            F.lit(none.limit).alias("limit"),
+        )
+    )
 
-    def of(name: str) -> Column:
-        return F.coalesce(F.max(F.when(F.col("_of") == name, F.col("_n"))), F.lit(0)).alias(name)
+    def of(name: str, column: str) -> Column:
+        return F.any_value(F.when(F.col("_of") == name, F.col(column)), True)
 
-    both = reduce(DataFrame.unionByName, counted)
-    return _fields(both.groupBy(*keys).agg(*[of(n) for n in tables]), keys, "counts")
+    def rows(name: str) -> Column:
+        return F.transform(
+            F.coalesce(f"_{name}", missing),
+            lambda r: F.struct(F.lit(name).alias("feed"), *[r[c].alias(c) for c in ("check", "status", "observed", "limit")]),
+        )
+
+    one = reduce(DataFrame.unionByName, counted).groupBy(*keys).agg(
+        F.struct(*[F.coalesce(of(n, "_n"), F.lit(0)).alias(f"{n}_rows") for n in tables]).alias("counts"),
+        *[of(n, "_results").alias(f"_{n}") for n in tables],
+    )
+    return one.select(*keys, "counts", F.concat(*[rows(n) for n in tables]).alias("audit"))

@@ -228,8 +228,18 @@ def test_reports(spark, monkeypatch):
     as_text = lambda df: [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"))).collect()]
     storms = as_text(modelling.storm_documents(spark, data))
     assert {d["series_id"][0] for d in storms} == {"N", "S"}
+    checks = {"plasma": ["not_empty", "fresh", "speed_min", "speed_max"], "mag": ["not_empty", "fresh"], "kp": ["not_empty", "fresh"]}
     for doc in storms:
         assert doc["metrics"]["test_count"] > 0 and doc["latest"]["category"]
+        audit = {(r["feed"], r["check"]): r for r in doc["audit"]}
+        assert len(audit) == len(doc["audit"])
+        for feed, names in checks.items():
+            rows = doc["counts"][f"{feed}_rows"]
+            assert [c for f, c in audit if f == feed] == (names if rows else ["not_empty"])
+            assert audit[feed, "not_empty"]["observed"] == rows
+            assert audit[feed, "not_empty"]["status"] == ("ok" if rows else "error")
+        assert audit["archive", "min_rows"]["observed"] == doc["counts"]["archive_rows"]
+        assert audit["archive", "Kp_max"]["status"] == ("ok" if audit["archive", "Kp_max"]["observed"] <= 9.5 else "warning")
         assert ("forecast" in doc) == (doc["series_id"][0] == "S")
         if "forecast" in doc:
             f = doc["forecast"]

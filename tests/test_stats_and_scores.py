@@ -217,6 +217,39 @@ def test_audit(spark):
     assert cols == {"speed": "ok", "kp": "error"}
 
 
+def test_audit_beside_counts(spark):
+    """The report's audit equals separate audits of each table; a table without the series has one failing row."""
+    from seriesloom.plans import reports
+
+    now = F.lit(at(10)).cast("timestamp_ntz")
+    checks = reports.storm_checks(now, "t")
+    row = "s string, t timestamp_ntz, speed double, Kp double"
+    tables = {
+        "plasma": spark.createDataFrame([("a", at(0), 50.0, None), ("a", at(9), 2500.0, None), ("b", at(1), None, None)], row),
+        "mag": spark.createDataFrame([("a", at(9), None, None)], row),
+        "kp": spark.createDataFrame([], row),
+        "archive": spark.createDataFrame([(s, at(i), None, i / 4) for s in "ab" for i in range(40 if s == "a" else 3)], row),
+    }
+    made = reports._audited(tables, checks, ["s"]).collect()
+    assert sorted(r.s for r in made) == ["a", "b"]
+    apart = {
+        name: {(r.s, r.check): (r.status, r.observed, r.limit) for r in quality.audit(df, checks[name], "s").collect()} for name, df in tables.items()
+    }
+    for r in made:
+        got = {(x.feed, x.check): (x.status, x.observed, x.limit) for x in r.audit}
+        want = {(name, check): found for name, rows in apart.items() for (s, check), found in rows.items() if s == r.s}
+        for name in tables:
+            if not any(f == name for f, _ in want):
+                want[name, "not_empty"] = ("error", 0.0, "> 0")
+        assert got == want and len(r.audit) == len(got)
+    by_series = {r.s: r for r in made}
+    assert by_series["a"].counts.asDict() == {"plasma_rows": 2, "mag_rows": 1, "kp_rows": 0, "archive_rows": 40}
+    assert {x.check: x.status for x in by_series["a"].audit if x.feed == "plasma"} == {
+        "not_empty": "ok", "fresh": "ok", "speed_min": "warning", "speed_max": "warning",
+    }
+    assert {x.check: x.status for x in by_series["b"].audit if x.feed == "archive"} == {"min_rows": "error", "Kp_min": "ok", "Kp_max": "ok"}
+
+
 def test_normal_tail_and_p_value(spark):
     import math
 

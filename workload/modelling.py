@@ -348,7 +348,7 @@ def storm_documents(spark, sf_dir) -> DataFrame:
     paths = draws.groupBy("series_id", "scenario", "step", "time_tag").agg(*[F.avg(c).alias(c) for c in inputs])
     return reports.storm_report(
         feeds["plasma"], feeds["mag"], feeds["kp"], archive, paths, draws,
-        "series_id", STORM, {"live": "events", "archive": "lineitem and events"},
+        "series_id", STORM, {"live": "events", "archive": "lineitem and events"}, now=F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"),
     )
 
 
@@ -357,24 +357,40 @@ def seasonal_documents(spark, sf_dir) -> DataFrame:
     return reports.seasonal_report(monthly_by_nation(spark, sf_dir), "series_id", SEASONAL, "orders", STORM)
 
 
+def _live_sql(feed: str, more: str = "''") -> str:
+    """Rows and check results of a live feed's series; observed values times 3600, so that hours become whole seconds."""
+    age = "(epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(max(time_tag))) / 1000000"
+    return f"""(SELECT series_id, count(*) AS c, '{feed}:not_empty:ok:' || count(*) * 3600 || ',{feed}:fresh:' ||
+      CASE WHEN {age} <= 21600 THEN 'ok' ELSE 'warning' END || ':' || CAST(round({age}) AS BIGINT) || {more} AS a FROM {feed} GROUP BY 1)"""
+
+
+SPEEDS = """',plasma:speed_min:' || CASE WHEN min(speed) < 100 THEN 'warning' ELSE 'ok' END || ':' || coalesce(CAST(CAST(round(min(speed) * 3600) AS BIGINT) AS VARCHAR), '')
+      || ',plasma:speed_max:' || CASE WHEN max(speed) > 2000 THEN 'warning' ELSE 'ok' END || ':' || coalesce(CAST(CAST(round(max(speed) * 3600) AS BIGINT) AS VARCHAR), '')"""
+
+
 @query(
     "storm_report",
     f"""SELECT series_id, coalesce(p.c, 0) AS plasma_rows, coalesce(g.c, 0) AS mag_rows, coalesce(k.c, 0) AS kp_rows, f.c AS archive_rows,
     CAST(f.c - greatest(1, least(floor(0.75 * f.c), f.c - 1)) AS BIGINT) AS test_rows, CAST(CASE WHEN series_id[1] = 'S' THEN 24 ELSE 0 END AS BIGINT) AS forecast_rows,
-    CAST(1 AS BIGINT) AS in_range
+    CAST(1 AS BIGINT) AS in_range,
+    concat_ws(',', coalesce(p.a, 'plasma:not_empty:error:0'), coalesce(g.a, 'mag:not_empty:error:0'), coalesce(k.a, 'kp:not_empty:error:0'),
+      'archive:min_rows:' || CASE WHEN f.c >= 32 THEN 'ok' ELSE 'error' END || ':' || f.c * 3600) AS audit
     FROM (SELECT series_id, count(*) AS c FROM (SELECT series_id, time_tag FROM ship_frame UNION ALL {HOURLY_FRAME}) GROUP BY 1) f
-    LEFT JOIN (SELECT series_id, count(*) AS c FROM plasma GROUP BY 1) p USING (series_id)
-    LEFT JOIN (SELECT series_id, count(*) AS c FROM mag GROUP BY 1) g USING (series_id)
-    LEFT JOIN (SELECT series_id, count(*) AS c FROM kp GROUP BY 1) k USING (series_id)""",
+    LEFT JOIN {_live_sql('plasma', SPEEDS)} p USING (series_id)
+    LEFT JOIN {_live_sql('mag')} g USING (series_id)
+    LEFT JOIN {_live_sql('kp')} k USING (series_id)""",
 )
 def storm_report(spark, sf_dir):
-    """Counts and ranges of the documents."""
+    """Counts, audit and ranges of the documents; the archive's level is left to the tests."""
     out = storm_documents(spark, sf_dir)
+    said = F.filter("audit", lambda x: ~x["check"].startswith("Kp_"))
+    value = lambda x: F.coalesce(F.round(x["observed"] * 3600).cast("long").cast("string"), F.lit(""))
+    audit = F.array_join(F.transform(said, lambda x: F.concat_ws(":", x["feed"], x["check"], x["status"], value(x))), ",")
     steps = F.when(F.col("forecast").isNull(), 0).otherwise(F.size("forecast.times"))
     counts = ("plasma_rows", "mag_rows", "kp_rows", "archive_rows")
     return out.select(
         "series_id", *[n(f"counts.{c}").alias(c) for c in counts], n("metrics.test_count").alias("test_rows"),
-        n(steps).alias("forecast_rows"), _flag(F.col("latest.predicted_kp").between(0.0, 9.0), "in_range"),
+        n(steps).alias("forecast_rows"), _flag(F.col("latest.predicted_kp").between(0.0, 9.0), "in_range"), audit.alias("audit"),
     )
 
 
