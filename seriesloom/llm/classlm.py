@@ -8,10 +8,12 @@ later rounds those of all words. A token's probability is that of its class afte
 times that of its word in the class. A word that training texts don't have goes by its last two
 bytes to a bucket in the class where most training words with these bytes are.
 
-Counts of all words are exact and stay distributed: a task cuts its texts into chunks with a bounded
-dictionary, the dictionaries are summed by word, and every chunk gets the counts of its own words
-back, next to its texts. Nothing that grows with the vocabulary is broadcast or collected, and a
-chunk's size doesn't depend on any key, so that no id or text can make one large.
+Texts are cut into words once. A task puts its texts into chunks with a bounded dictionary; a chunk
+is a row of that dictionary and the places of all words in it, learnt texts first, and every later
+pass reads these numbers. What belongs to a word goes by rows: the neighbours of a chunk's words are
+summed by word, and every chunk gets counts and classes of its own words back. Nothing that grows
+with the vocabulary is broadcast or collected, and a chunk's size doesn't depend on any key, so that
+no id can make one large. Tables that are no longer needed are deleted on the way.
 
 Defined cases: a null text counts as empty, an empty text is one end token; without any training
 text all counts are 0 and every token has the probability 2 / (V + 1) of the empty vocabulary, that
@@ -21,27 +23,28 @@ is 1; equal rows are scored one by one; ids may repeat or be null; other columns
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.common import Out, fold_number, rows
-from seriesloom.session import written
+from seriesloom.session import intermediate, written
 
 WORDS, GROUPS, CLASSES, ROUNDS = 1500, 256, 64, 12
 REST = 1  # node, and class, of words without a class yet
 ASSIGNED = 2  # rounds for the words that exchange has not placed
 TEST_FOLD, FOLDS = 1, 5
 END = b""
-#: A chunk ends with this many different words; texts travel in packets of so many bytes.
-MOST_WORDS, PACKET = 300_000, 1 << 18
+#: A chunk ends with this many different words, or tokens.
+MOST_WORDS, MOST_TOKENS = 300_000, 1 << 21
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -52,99 +55,94 @@ def group_of(word: bytes, groups: int) -> int:
     return zlib.crc32(word[-2:]) % groups
 
 
-KINDS = "chunk long, word binary, n long, packet binary"
-SCHEMA = pa.schema([("chunk", pa.int64()), ("word", pa.binary()), ("n", pa.int64()), ("packet", pa.binary())])
+CHUNK = "chunk long, n long, words binary, docs binary, own binary"
+DOC = np.dtype([("id", "<i8"), ("size", "<i8"), ("none", "?"), ("held_out", "?")])
 
 
-def packed(ids: list[int | None], texts: list[bytes], press: zstandard.ZstdCompressor) -> bytes:
-    """Number of texts, their ids, marks of missing ids, lengths, and the compressed texts."""
-    return b"".join(
-        [
-            np.array([len(ids)], "<i8").tobytes(),
-            np.array([0 if i is None else i for i in ids], "<i8").tobytes(),
-            np.array([len(t) for t in texts], "<i8").tobytes(),
-            np.array([i is None for i in ids], np.uint8).tobytes(),
-            press.compress(b"".join(texts)),
-        ]
-    )
+class Places(dict):
+    """Place of every word in the order of its first use."""
 
-
-def unpacked(packet: bytes) -> Iterator[tuple[int | None, bytes]]:
-    n = int(np.frombuffer(packet, "<i8", 1)[0])
-    ids, sizes = np.frombuffer(packet, "<i8", 2 * n, 8).reshape(2, n)
-    missing = np.frombuffer(packet, np.uint8, n, 8 + 16 * n)
-    total = int(sizes.sum())
-    data = zstandard.ZstdDecompressor().decompress(packet[8 + 17 * n :], max_output_size=total) if total else b""
-    at = 0
-    for doc_id, size, none in zip(ids.tolist(), sizes.tolist(), missing.tolist(), strict=True):
-        yield None if none else doc_id, data[at : at + size]
-        at += size
+    def __missing__(self, word: bytes) -> int:
+        self[word] = made = len(self)
+        return made
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], test_fold: int, folds: int) -> Iterator[pa.RecordBatch]:
-    """Packets of texts, and after them the words of their chunk with their training counts."""
+    """Chunks: number of training tokens, words, texts (training ones first), and the place of every token's word."""
     press = zstandard.ZstdCompressor(level=3)
     chunk = TaskContext.get().partitionId() << 24
-    out = Out(SCHEMA, most_bytes=8 << 20, most=8192)
-    train, seen = Counter(), set()
-    ids, texts, size = [], [], 0
-
-    def packet() -> bool:
-        nonlocal size
-        made = packed(ids, texts, press)
-        full = out.add(chunk, None, None, made, weight=len(made))
-        ids.clear(), texts.clear()
-        size = 0
-        return full
-
-    def dictionary() -> Iterator[pa.RecordBatch]:
-        for word in seen:
-            if out.add(chunk, word, train.get(word, 0), None):
-                yield out.take()
-        seen.clear()
-        train.clear()
+    at, texts, size = Places({END: 0}), ([], []), 0
+
+    def made() -> pa.RecordBatch:
+        listed = texts[0] + texts[1]
+        docs = np.array([(doc_id or 0, len(own), doc_id is None, i >= len(texts[0])) for i, (doc_id, own) in enumerate(listed)], DOC)
+        own = np.concatenate([x for _, x in listed])
+        planes = own.view(np.uint8).reshape(-1, 4).T.tobytes()  # high bytes are mostly 0
+        n = sum(len(x) for _, x in texts[0])
+        return pa.RecordBatch.from_pydict(
+            {"chunk": [chunk], "n": [n], "words": [press.compress(b" ".join(at))], "docs": [press.compress(docs.tobytes())], "own": [press.compress(planes)]}
+        )
 
     for batch in batches:
         for doc_id, text in rows(batch, "doc_id", "text"):
-            data = (text or "").encode("utf-8", "surrogatepass")
-            found = tokens(data)
-            (seen.update if fold_number(doc_id, folds) == test_fold else train.update)(found)
-            ids.append(doc_id), texts.append(data)
-            size += len(data)
-            if size >= PACKET and packet():
-                yield out.take()
-            if len(train) + len(seen) >= MOST_WORDS:
-                seen.update(train)
-                if ids and packet():
-                    yield out.take()
-                yield from dictionary()
+            found = tokens((text or "").encode("utf-8", "surrogatepass"))
+            own = np.fromiter(map(at.__getitem__, found), np.uint32, len(found))
+            texts[fold_number(doc_id, folds) == test_fold].append((doc_id, own))
+            size += len(own)
+            if len(at) >= MOST_WORDS or size >= MOST_TOKENS:
+                yield made()
                 chunk += 1
-    seen.update(train)
-    if ids:
-        packet()
-    yield from dictionary()
-    yield from out.rest()
+                at, texts, size = Places({END: 0}), ([], []), 0
+    if size:
+        yield made()
+
+
+def _words(data: bytes) -> list[bytes]:
+    """A chunk's words by their places; the end token is the first, and no word has a blank."""
+    return zstandard.ZstdDecompressor().decompress(data).split(b" ")
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], node: dict[bytes, int], test_fold: int, folds: int) -> Iterator[pa.RecordBatch]:
+def _places(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+def _learnt(own: bytes, n: int) -> np.ndarray:
+    """Places of the training tokens, behind an end token."""
+    return np.concatenate([[0], _places(own)[:n].astype(np.int64)])
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The training words of every chunk and their counts in it."""
+    for batch in batches:
+        for n, words, own in rows(batch, "n", "words", "own"):
+            names = pa.array(_words(words), pa.binary())
+            counts = np.bincount(_places(own)[:n], minlength=len(names))
+            made = pa.RecordBatch.from_arrays([names, pa.array(counts, pa.int64())], ["word", "n"])
+            yield from _sliced(made.filter(pa.array(counts > 0)))
+
+
+def _sliced(batch: pa.RecordBatch, most: int = 16_384) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(batch), most):
+        yield batch.slice(at, most)
+
+
+def _of_words(names: list[bytes], value: dict[bytes, int], other: int) -> np.ndarray:
+    return np.fromiter(map(value.get, names, repeat(other)), np.int64, len(names))
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], node: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
     """Neighbouring nodes of training texts and how often they stand together."""
     nodes = len(node) + 1
-    total = np.zeros((nodes, nodes), np.int64)
-    end = node[END]
+    total = np.zeros(nodes * nodes, np.int64)
     for batch in batches:
-        for (packet,) in rows(batch, "packet"):
-            listed: list[int] = [end]
-            for doc_id, data in unpacked(packet):
-                if fold_number(doc_id, folds) != test_fold:
-                    listed += [node.get(w, REST) for w in tokens(data)]
-            if len(listed) > 1:
-                made = np.array(listed, np.int64)
-                key, n = np.unique(made[:-1] * nodes + made[1:], return_counts=True)
-                total.reshape(-1)[key] += n
-    left, right = np.nonzero(total)
-    for at in range(0, len(left), 65_536):
-        l, r = left[at : at + 65_536], right[at : at + 65_536]
-        yield pa.RecordBatch.from_pydict({"a": l, "b": r, "n": total[l, r]})
+        for n, words, own in rows(batch, "n", "words", "own"):
+            made = _of_words(_words(words), node, REST)[_learnt(own, n)]
+            total += np.bincount(made[:-1] * nodes + made[1:], minlength=nodes * nodes)
+    cells = np.flatnonzero(total)
+    for at in range(0, len(cells), 65_536):
+        cell = cells[at : at + 65_536]
+        yield pa.RecordBatch.from_pydict({"a": cell // nodes, "b": cell % nodes, "n": total[cell]})
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -220,79 +218,50 @@ class Model:
         self.inside = np.log10((counts + 0.5) / (per_class + 0.5 * hot.sum(0))[own])
 
 
-NEIGHBOURS = "word binary, near binary, cell long, n long"
+NEIGHBOURS = "word binary, chunk long, at int, near binary"
 NEAR = np.dtype([("k", "<u2"), ("n", "<u4")])
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
-    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[head], np.add.reduceat(n, head)
-
+def _kinds(names: list[bytes], frequent: dict[bytes, int], cls: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of a chunk's words, and which words are not frequent."""
+    known = _of_words(names, frequent, -1)
+    rare = known < 0
+    placed = np.full(len(names), REST)
+    if cls is not None:
+        found = np.frombuffer(zstandard.ZstdDecompressor().decompress(cls), "<u2")
+        placed[: len(found)] = found
+    return np.where(rare, placed, known), rare
 
-def _neighbours(batches: Iterator[pa.RecordBatch], frequent: dict[bytes, int], classes: int, test_fold: int, folds: int) -> Iterator[pa.RecordBatch]:
-    """Classes before and after the words that are not frequent, once per chunk and word, and how often class follows class.
 
-    Words that come with a class, in front of their chunk's packets, have it; others are ``REST``.
-    """
-    out = Out(pa.schema([("word", pa.binary()), ("near", pa.binary()), ("cell", pa.int64()), ("n", pa.int64())]), most_bytes=8 << 20, most=16_384)
+def _followers(batches: Iterator[pa.RecordBatch], frequent: dict[bytes, int], classes: int) -> Iterator[pa.RecordBatch]:
+    """How often class follows class in training texts."""
     table = np.zeros(classes * classes, np.int64)
-    chunk, at, kinds, rare, parts, held = None, {}, [], [], [], 0
-
-    def known(word: bytes, cls: int | None) -> int:
-        at[word] = len(kinds)
-        kinds.append(frequent.get(word, REST if cls is None else cls))
-        rare.append(word not in frequent)
-        return at[word]
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal held
-        if parts:
-            key, n = _summed(parts)
-            made = np.empty(len(key), NEAR)
-            made["k"], made["n"] = key % (2 * classes), n
-            whole, word = made.tobytes(), key // (2 * classes)
-            heads = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            names = list(at)
-            for w, i, j in zip(word[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(word)], strict=True):
-                if out.add(names[w], whole[i * NEAR.itemsize : j * NEAR.itemsize], None, None, weight=(j - i) * NEAR.itemsize):
-                    yield out.take()
-        at.clear(), kinds.clear(), rare.clear(), parts.clear()
-        held = 0
+    for batch in batches:
+        for n, words, own, cls in rows(batch, "n", "words", "own", "cls"):
+            kind = _kinds(_words(words), frequent, cls)[0][_learnt(own, n)]
+            table += np.bincount(kind[:-1] * classes + kind[1:], minlength=classes * classes)
+    cell = np.flatnonzero(table)
+    yield pa.RecordBatch.from_pydict({"cell": cell, "n": table[cell]})
+
 
+def _neighbours(batches: Iterator[pa.RecordBatch], frequent: dict[bytes, int], classes: int) -> Iterator[pa.RecordBatch]:
+    """Classes before and after every chunk's words that are not frequent; none for words without training texts."""
     for batch in batches:
-        for chunk_, word, cls, packet in rows(batch, "chunk", "word", "cls", "packet"):
-            if chunk_ != chunk:
-                yield from flush()
-                chunk = chunk_
-            if word is not None:
-                known(word, cls)
-                continue
-            listed = [END]
-            for doc_id, data in unpacked(packet):
-                if fold_number(doc_id, folds) != test_fold:
-                    listed += tokens(data)
-            if len(listed) == 1:
-                continue
-            own = np.array([at[w] if w in at else known(w, None) for w in listed], np.int64)
-            kind, is_rare = np.array(kinds, np.int64), np.array(rare, bool)
-            left, right = own[:-1], own[1:]
-            table += np.bincount(kind[left] * classes + kind[right], minlength=classes * classes)
-            before, after = is_rare[right], is_rare[left]
+        for chunk, n, words, own, cls in rows(batch, "chunk", "n", "words", "own", "cls"):
+            names = _words(words)
+            kind, rare = _kinds(names, frequent, cls)
+            listed = _learnt(own, n)
+            left, right = listed[:-1], listed[1:]
+            before, after = rare[right], rare[left]
             key = np.concatenate([right[before] * (2 * classes) + kind[left[before]], left[after] * (2 * classes) + classes + kind[right[after]]])
-            if len(key):
-                parts.append(np.unique(key, return_counts=True))
-                held += len(parts[-1][0])
-                if held > 4_000_000:
-                    parts[:] = [_summed(parts)]
-                    held = 0
-    yield from flush()
-    for cell in np.flatnonzero(table).tolist():
-        if out.add(None, None, cell, int(table[cell])):
-            yield out.take()
-    yield from out.rest()
+            key, count = np.unique(key, return_counts=True)
+            cells = np.empty(len(key), NEAR)
+            cells["k"], cells["n"] = key % (2 * classes), count
+            ends = np.cumsum(np.bincount(key // (2 * classes), minlength=len(names)))
+            offsets = np.concatenate([[0], ends * NEAR.itemsize]).astype("<i4")
+            near = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(offsets), pa.py_buffer(cells.tobytes())])
+            made = [pa.array(names, pa.binary()), pa.array(np.full(len(names), chunk)), pa.array(np.arange(len(names), dtype=np.int32)), near]
+            yield from _sliced(pa.RecordBatch.from_arrays(made, ["word", "chunk", "at", "near"]).filter(pa.array(rare)))
 
 
 def best_classes(near: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -305,59 +274,117 @@ def best_classes(near: np.ndarray, table: np.ndarray) -> np.ndarray:
     return REST + 1 + gain[:, REST + 1 :].argmax(1)
 
 
+ASSIGNMENTS = "chunk long, at int, n long, cls int, tail binary"
+
+
+def _heads(column: pa.Array) -> np.ndarray:
+    """Where another value starts."""
+    changed = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(np.concatenate([[True], changed]))
+
+
+def _cells(near: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All cells of a column behind each other, and how many each row has."""
+    offsets = np.frombuffer(near.buffers()[1], "<i4")[near.offset : near.offset + len(near) + 1]
+    data = near.buffers()[2]
+    whole = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return whole.view(NEAR), np.diff(offsets) // NEAR.itemsize
+
+
 def _assign(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Class and count of every word, from its rows behind each other."""
+    """Count and class of every word, for each chunk that has it; rows of one word stand behind each other.
+
+    The first row of a word also has its last bytes.
+    """
     width = 2 * len(table)
-    words: list[bytes] = []
-    which, parts = [], []
 
-    def solved() -> pa.RecordBatch:
-        cells = np.frombuffer(b"".join(parts), NEAR)
-        row = np.repeat(np.array(which, np.int64), [len(x) // NEAR.itemsize for x in parts])
-        near = np.bincount(row * width + cells["k"], cells["n"].astype(np.float64), len(words) * width).reshape(-1, width)
+    def solved(whole: pa.RecordBatch, heads: np.ndarray) -> pa.RecordBatch:
+        sizes = np.diff([*heads.tolist(), len(whole)])
+        word = np.repeat(np.arange(len(heads)), sizes)
+        cells, count = _cells(whole["near"])
+        near = np.bincount(np.repeat(word, count) * width + cells["k"], cells["n"].astype(np.float64), len(heads) * width).reshape(-1, width)
         n = near[:, : len(table)].sum(1).astype(np.int64)
-        made = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n), pa.array(best_classes(near, table), pa.int64())], ["word", "n", "cls"])
-        words.clear(), which.clear(), parts.clear()
-        return made
+        cls = best_classes(near, table).astype(np.int32)
+        first = np.zeros(len(whole), bool)
+        first[heads] = True
+        tail = pc.if_else(pa.array(first), pc.binary_slice(whole["word"], -2), None)
+        return pa.RecordBatch.from_arrays([whole["chunk"], whole["at"], pa.array(n[word]), pa.array(cls[word]), tail], ["chunk", "at", "n", "cls", "tail"])
+
+    def blocks(whole: pa.RecordBatch, heads: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(heads), 2048):
+            end = int(heads[i + 2048]) if i + 2048 < len(heads) else len(whole)
+            yield solved(whole.slice(int(heads[i]), end - int(heads[i])), heads[i : i + 2048] - heads[i])
+
+    rest = None
+    for batch in batches:
+        whole = batch if rest is None else pa.concat_batches([rest, batch])
+        if not len(whole):
+            continue
+        heads = _heads(whole["word"])
+        yield from blocks(whole.slice(0, int(heads[-1])), heads[:-1])
+        rest = whole.slice(int(heads[-1]))  # the last word may go on
+    if rest is not None:
+        yield from blocks(rest, np.array([0]))
+
+
+PLACED = "chunk long, cls binary, counts binary"
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes and counts of every chunk's words by their places, from its rows behind each other."""
+    press = zstandard.ZstdCompressor(level=3)
+    chunk, parts = None, []
+
+    def made() -> pa.RecordBatch:
+        at, n, cls = (np.concatenate(x) for x in zip(*parts, strict=True))
+        counts, kinds = np.zeros(int(at.max()) + 1, "<i8"), np.full(int(at.max()) + 1, REST, "<u2")
+        counts[at], kinds[at] = n, cls
+        parts.clear()
+        return pa.RecordBatch.from_pydict({"chunk": [chunk], "cls": [press.compress(kinds.tobytes())], "counts": [press.compress(counts.tobytes())]})
 
     for batch in batches:
-        for word, near in rows(batch, "word", "near"):
-            if not words or word != words[-1]:
-                if len(words) >= 2048:
-                    yield solved()
-                words.append(word)
-            which.append(len(words) - 1), parts.append(near)
-    if words:
-        yield solved()
+        if not len(batch):
+            continue
+        of, columns = batch["chunk"].to_numpy(), [batch[c].to_numpy() for c in ("at", "n", "cls")]
+        heads = [*_heads(batch["chunk"]).tolist(), len(batch)]
+        for i, j in zip(heads[:-1], heads[1:], strict=True):
+            if parts and of[i] != chunk:
+                yield made()
+            chunk = int(of[i])
+            parts.append([c[i:j] for c in columns])
+    if parts:
+        yield made()
 
 
 CLASSED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inside double, kinds binary"
 
 
 def _classed(
-    batches: Iterator[pa.RecordBatch], sizes: np.ndarray, buckets: np.ndarray, total: int, words: int, test_fold: int, folds: int
+    batches: Iterator[pa.RecordBatch], frequent: dict[bytes, int], tops: dict[bytes, int], sizes: np.ndarray, buckets: np.ndarray, total: int, words: int
 ) -> Iterator[pa.RecordBatch]:
     """Counts and unigram score of every text, the score of its words inside their classes, and the classes."""
     types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
     out = Out(pa.schema([(c.split()[0], k) for c, k in zip(CLASSED.split(", "), types, strict=True)]), most_bytes=8 << 20)
-    chunk, at, listed, counts = None, {}, [], None
     for batch in batches:
-        for chunk_, word, n, cls, packet in rows(batch, "chunk", "word", "n", "cls", "packet"):
-            if chunk_ != chunk:
-                chunk, at, listed, counts = chunk_, {}, [], None
-            if word is not None:
-                at[word] = len(listed)
-                listed.append((n, int(buckets[group_of(word, len(buckets))]) if cls is None else cls))
-                continue
-            if counts is None:  # all words of the chunk have come
-                counts, kind = np.array(listed, np.int64).T
-                logs = np.log10((counts + 0.5) / (total + 0.5 * (words + 1)))
-                inside = np.log10((counts + 0.5) / sizes[kind])
-            for doc_id, data in unpacked(packet):
-                own = np.array([at[w] for w in tokens(data)], np.int64)
-                kinds = kind[own].astype(np.min_scalar_type(len(sizes))).tobytes()
-                held_out = fold_number(doc_id, folds) == test_fold
-                if out.add(doc_id, held_out, len(own), int((counts[own] > 0).sum()), float(logs[own].sum()), float(inside[own].sum()), kinds, weight=len(kinds)):
+        for listed, docs, own_, cls, placed in rows(batch, "words", "docs", "own", "cls", "counts"):
+            names = _words(listed)
+            kind, rare = _kinds(names, frequent, cls)
+            counts = _of_words(names, tops, 0)
+            if placed is not None:
+                found = np.frombuffer(zstandard.ZstdDecompressor().decompress(placed), "<i8")
+                counts[: len(found)] += found
+            for i in np.flatnonzero(rare & (counts == 0)).tolist():
+                kind[i] = buckets[group_of(names[i], len(buckets))]
+            logs = np.log10((counts + 0.5) / (total + 0.5 * (words + 1)))
+            inside = np.log10((counts + 0.5) / sizes[kind])
+            small, known = kind.astype(np.min_scalar_type(len(sizes))), counts > 0
+            places, at = _places(own_), 0
+            for doc_id, size, none, held_out in np.frombuffer(zstandard.ZstdDecompressor().decompress(docs), DOC).tolist():
+                own = places[at : at + size]
+                at += size
+                kinds = small[own].tobytes()
+                values = (None if none else doc_id, held_out, size, int(known[own].sum()), float(logs[own].sum()), float(inside[own].sum()), kinds)
+                if out.add(*values, weight=len(kinds)):
                     yield out.take()
     yield from out.rest()
 
@@ -400,20 +427,24 @@ def _square(cells: DataFrame, classes: int) -> np.ndarray:
 
 def score(docs: DataFrame, words: int = WORDS, groups: int = GROUPS, classes: int = CLASSES, test_fold: int = TEST_FOLD, folds: int = FOLDS) -> DataFrame:
     """Counts, unigram score and class model score of every text. Runs jobs."""
+    with intermediate(docs.sparkSession) as kept:
+        return _scored(docs, kept, words, groups, classes, test_fold, folds)
+
+
+def _scored(docs: DataFrame, kept: Callable, words: int, groups: int, classes: int, test_fold: int, folds: int) -> DataFrame:
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long"), "text")
-    chunks = written(plain.mapInArrow(partial(_chunks, test_fold=test_fold, folds=folds), KINDS), "chunks")
-    listed, packets = chunks.where("word is not null").select("chunk", "word", "n"), chunks.where("word is null")
-    counts = written(listed.groupBy("word").agg(F.sum("n").alias("n")), "counts")
-    all_ = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-    top = counts.where((F.col("n") > 0) & (F.length("word") > 0)).orderBy(F.desc("n"), "word").limit(words).collect()
-    node = {END: 0} | {bytes(r.word): i + 2 for i, r in enumerate(top)}
+    chunks = kept(plain.mapInArrow(partial(_chunks, test_fold=test_fold, folds=folds), CHUNK), "chunks")
+    total = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    counts = chunks.select("n", "words", "own").mapInArrow(_listed, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = kept(counts.where(F.length("word") > 0).orderBy(F.desc("n"), "word").limit(words), "top").collect()
+    tops = {bytes(r.word): r.n for r in sorted(top, key=lambda r: (-r.n, bytes(r.word)))}
+    node = {END: 0} | {w: i + 2 for i, w in enumerate(tops)}
     nodes = len(node) + 1
     classes = max(REST + 2, min(classes, nodes))
     # classes of the frequent words, all others being one node
     pairs = np.zeros((nodes, nodes), np.int64)  # (words + 2) squared at most
-    run = partial(_pairs, node=node, test_fold=test_fold, folds=folds)
-    made = packets.select("packet").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
+    made = chunks.select("n", "words", "own").mapInArrow(partial(_pairs, node=node), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
     pairs[made["a"].to_numpy(), made["b"].to_numpy()] = made["n"].to_numpy()
     del made
     own = exchange(pairs, classes, fixed=(0, REST))
@@ -422,39 +453,34 @@ def score(docs: DataFrame, words: int = WORDS, groups: int = GROUPS, classes: in
     table = hot.T @ pairs @ hot
 
     # classes of all other training words
-    placed = spark.createDataFrame([(w, c) for w, c in frequent.items()], "word binary, cls long")
-    no_class = F.lit(None).cast("long").alias("cls")
-
-    def dealt(assigned: DataFrame) -> DataFrame:
-        """Every chunk's words with counts and classes, and its packets after them."""
-        known = counts.join(assigned.select("word", "cls").union(placed), "word", "left").join(listed.select("chunk", "word"), "word")
-        both = known.select("chunk", "word", "n", "cls", F.lit(None).cast("binary").alias("packet")).unionByName(packets.withColumn("cls", no_class))
-        return both.repartition("chunk").sortWithinPartitions("chunk", F.col("word").isNull())
-
-    run = partial(_neighbours, frequent=frequent, classes=classes, test_fold=test_fold, folds=folds)
-    assigned = None
+    known = chunks.withColumns({"cls": F.lit(None).cast("binary"), "counts": F.lit(None).cast("binary")})
+    sizes, words_in = np.zeros(classes), np.zeros((groups, classes))
     for round_ in range(ASSIGNED):
-        source = packets.withColumn("cls", no_class) if assigned is None else dealt(assigned)
-        near = source.mapInArrow(run, NEIGHBOURS)
-        if assigned is not None:
-            near = written(near, f"near{round_}")  # read twice
-            table = _square(near.where("word is null").select("cell", "n"), classes)
-        by_word = near.where("word is not null").select("word", "near").repartition("word").sortWithinPartitions("word")
-        assigned = written(by_word.mapInArrow(partial(_assign, table=table), "word binary, n long, cls long"), f"classes{round_}")
-
-    # sizes of the classes, and the buckets of unseen words by their last bytes: groups x classes rows
-    tail = F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(groups))
-    tokens_in, words_in = np.zeros(classes), np.zeros((groups, classes))
-    for r in assigned.groupBy(tail.alias("g"), "cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        tokens_in[r.cls] += r.n
-        words_in[r.g, r.cls] = r.v
+        if round_:
+            table = _square(known.select("n", "words", "own", "cls").mapInArrow(partial(_followers, frequent=frequent, classes=classes), "cell long, n long"), classes)
+        near = known.drop("docs", "counts").mapInArrow(partial(_neighbours, frequent=frequent, classes=classes), NEIGHBOURS)
+        by_word = near.repartition("word").sortWithinPartitions("word")
+        with intermediate(spark) as passing:
+            assigned = passing(by_word.mapInArrow(partial(_assign, table=table), ASSIGNMENTS), f"classes{round_}")
+            by_chunk = assigned.drop("tail").repartition("chunk").sortWithinPartitions("chunk")
+            placed = kept(by_chunk.mapInArrow(_placed, PLACED), f"placed{round_}")
+            if round_ == ASSIGNED - 1:
+                # sizes of the classes, and the buckets of unseen words by their last bytes: groups x classes rows
+                tail = F.pmod(F.crc32("tail"), F.lit(groups))
+                trained = assigned.where("tail is not null and n > 0")
+                for r in trained.groupBy(tail.alias("g"), "cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+                    sizes[r.cls] += r.n
+                    words_in[r.g, r.cls] = r.v
+        known = chunks.join(placed, "chunk", "left")
     buckets = np.where(words_in.any(1), words_in.argmax(1), REST)
-    sizes = tokens_in + 0.5 * (words_in.sum(0) + np.bincount(buckets, minlength=classes) + np.bincount([*frequent.values()], minlength=classes))
-    sizes += np.bincount([frequent[END], *[frequent[bytes(r.word)] for r in top]], [0, *[r.n for r in top]], classes)
-    sizes[frequent[END]] += float(pairs[:, node[END]].sum())
-
-    run = partial(_classed, sizes=sizes, buckets=buckets, total=int(all_.n), words=int(all_.v), test_fold=test_fold, folds=folds)
-    texts = written(dealt(assigned).mapInArrow(run, CLASSED), "classed")
+    sizes = sizes + 0.5 * (words_in.sum(0) + np.bincount(buckets, minlength=classes) + np.bincount([*frequent.values()], minlength=classes))
+    sizes += np.bincount([frequent[END], *[frequent[w] for w in tops]], [0, *tops.values()], classes)
+    tops[END] = int(pairs[:, node[END]].sum())
+    sizes[frequent[END]] += float(tops[END])
+    different = int(words_in.sum()) + sum(n > 0 for n in tops.values())
+
+    run = partial(_classed, frequent=frequent, tops=tops, sizes=sizes, buckets=buckets, total=total, words=different)
+    texts = written(known.drop("chunk", "n").mapInArrow(run, CLASSED), "classed")
     table = _square(texts.where("not held_out").select("kinds").mapInArrow(partial(_table, classes=classes), "cell long, n long"), classes)
     model = Model({}, np.arange(classes), table, [], [])
-    return texts.mapInArrow(partial(_score, model=model, total=int(all_.n)), SCORES)
+    return texts.mapInArrow(partial(_score, model=model, total=total), SCORES)

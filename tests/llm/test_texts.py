@@ -2,16 +2,21 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
+from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from seriesloom.llm import classlm, fingerprint, langid, packing, pii
+from seriesloom.session import shared_dir
 from tests.llm.fixtures import fold, frame, hard_rows
 
 
@@ -287,6 +292,44 @@ def test_words_outside_the_exchange_have_their_own_classes(spark):
     assert made[good].score > made[bad].score + 1
 
 
+def test_class_model_keeps_one_table_and_no_chunk_matters(spark):
+    """Other partitions make other chunks; of the tables on the way only the one that the result reads stays."""
+    folder = urlparse(shared_dir(spark)).path
+    before = set(os.listdir(folder))
+    made = classlm.score(frame(spark, hard_rows()).repartition(1), words=50, groups=16, classes=8).collect()
+    left = set(os.listdir(folder)) - before
+    assert [name.split("-")[0] for name in left] == ["classed"]
+    again = classlm.score(frame(spark, hard_rows()).repartition(7), words=50, groups=16, classes=8).collect()
+    key = lambda r: (r.doc_id or -1, r.base_score, r.score)
+    for a, b in zip(sorted(made, key=key), sorted(again, key=key), strict=True):
+        assert a[:5] == b[:5] and a.score == pytest.approx(b.score) and a.base_score == pytest.approx(b.base_score)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 8])
+def test_words_are_summed_across_batches(size):
+    """A word's rows may stand in several batches, and a word without training texts has no neighbours."""
+    cell = lambda *x: np.array([*x], classlm.NEAR).tobytes()
+    rows = [
+        ("a", 0, 5, cell((0, 2), (7, 2))),
+        ("bcd", 0, 1, cell((3, 1), (4, 1))),
+        ("bcd", 1, 1, b""),
+        ("bcd", 2, 9, cell((3, 4), (4, 4))),
+        ("e", 1, 2, b""),
+    ]
+    table = np.zeros((4, 4))
+    table[0, 2], table[2, 3], table[3, 0], table[3, 3] = 50, 50, 50, 200
+    types = {"word": pa.binary(), "chunk": pa.int64(), "at": pa.int32(), "near": pa.binary()}
+    whole = pa.RecordBatch.from_arrays([pa.array([x.encode() if isinstance(x, str) else x for x in c], t) for c, t in zip(zip(*rows), types.values())], [*types])
+    batches = [whole.slice(i, size) for i in range(0, len(whole), size)]
+    made = [r for batch in classlm._assign(iter(batches), table) for r in batch.to_pylist()]
+    assert [(r["chunk"], r["at"], r["n"], r["tail"]) for r in made] == [(0, 5, 2, b"a"), (0, 1, 5, b"cd"), (1, 1, 5, None), (2, 9, 5, None), (1, 2, 0, b"e")]
+    assert [r["cls"] for r in made[:4]] == [2, 3, 3, 3]
+    by_chunk = pa.RecordBatch.from_pylist(sorted(made, key=lambda r: r["chunk"]))
+    placed = [r for batch in classlm._placed(by_chunk.slice(i, size) for i in range(0, 5, size)) for r in batch.to_pylist()]
+    counts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(r["counts"]), "<i8").tolist() for r in placed]
+    assert [r["chunk"] for r in placed] == [0, 1, 2] and counts == [[0, 5, 0, 0, 0, 2], [0, 5, 0], [0] * 9 + [5]]
+
+
 def test_neighbours_and_classes_of_rare_words():
     near = np.zeros((2, 8))
     near[0, 0] = near[0, 4 + 3] = 5  # after the end, before class 3
