@@ -2,8 +2,8 @@
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased. A benchmark
 item gives all its windows of 13 words, a shorter one its only window. Every document window is
-hashed and looked up among the benchmark's hashes, which are broadcast while they are few; a hit is
-then compared word by word. Everything is DataFrame functions, nothing leaves the JVM.
+hashed, from hashes of its words, and looked up among the benchmark's hashes, which are broadcast
+while they are few; a hit is then compared word by word. Everything is DataFrame functions, nothing leaves the JVM.
 
 The documents are only shuffled once, to bring the hits of a document back to it. A document's hits
 are at most as many as its words; nothing is gathered by window, so that a passage in a third of
@@ -17,6 +17,7 @@ by ``remove`` and ignored by ``scan``.
 from __future__ import annotations
 
 import string
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,25 +26,48 @@ from pyspark.sql import functions as F
 from seriesloom.llm.common import unused_prefix
 
 WINDOW = 13
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words. Matching the words takes far longer: Java tests a class with all of Unicode slowly.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Hashes up to this number (16 bytes each) are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
 
+def between_gaps(text: Column) -> Column:
+    """Words of a text as they are; gaps at its ends leave empty ones, which go."""
+    return F.array_remove(F.split(text, GAP), "")
+
+
 def words(text: str | Column) -> Column:
     """Lower-cased words of a text."""
     c = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     ascii_only = F.octet_length(c) == F.length(c)
     low = F.when(ascii_only, F.lower(c)).otherwise(F.translate(c, string.ascii_uppercase, string.ascii_lowercase))
-    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    return between_gaps(low)
+
+
+def paired(hashes: str, shift: int) -> Column:
+    """Every hash with the one ``shift`` places on; at the end, where there is none, alone."""
+    return F.zip_with(hashes, F.slice(hashes, shift + 1, F.size(hashes)), lambda a, b: F.xxhash64(a, b))
+
 
+def with_hashes(df: DataFrame, column: str, lengths: Iterable[int], prefix: str) -> DataFrame:
+    """Columns ``prefix`` and each length: hashes of that many words from every word on.
 
-def window_hashes(column: str, length: int) -> Column:
-    """Hashes of all windows of ``length`` words; the first window starts at word 1."""
-    last = F.size(column) - length + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(column, i, length)))
+    Hashes of 1, 2, 4... words are paired, the last two overlapping, so that a window costs a few
+    numbers and not all its words. Windows beyond the last word are among them.
+    """
+    df, p = df.withColumn(f"{prefix}1", F.transform(column, lambda x: F.xxhash64(x))), 1
+    for n in sorted(lengths):
+        while 2 * p <= n:
+            df = df.withColumn(f"{prefix}{2 * p}", paired(f"{prefix}{p}", p))
+            p *= 2
+        if n > p:
+            df = df.withColumn(f"{prefix}{n}", paired(f"{prefix}{p}", n - p))
+    return df
+
+
+def whole_windows(hashes: str, length: int) -> Column:
+    return F.slice(hashes, 1, F.greatest(F.size(hashes) - length + 1, F.lit(0)))
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -52,7 +76,15 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     listed = listed.select("item", "w", F.least(F.size("w"), F.lit(window)).alias("length"))
     each = listed.select("item", "length", "w", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("length") + 1)).alias("i"))
     each = each.select("item", "length", F.slice("w", F.col("i"), F.col("length")).alias("gram"))
-    return each.groupBy("length", "gram").agg(F.collect_set("item").alias("items")).select("length", F.xxhash64("gram").alias("hash"), "gram", "items")
+    grams = each.groupBy("length", "gram").agg(F.collect_set("item").alias("items"))
+    hashed = with_hashes(grams, "gram", range(1, window + 1), "h")
+    hash_ = F.coalesce(*[F.when(F.col("length") == n, F.get(f"h{n}", F.lit(0))) for n in range(1, window + 1)])
+    return hashed.select("length", hash_.alias("hash"), "gram", "items")
+
+
+def stands_at(words_: Column, at: Column, gram: Column) -> Column:
+    """Word by word, whether a gram starts at word ``at``."""
+    return F.forall(F.sequence(F.lit(0), F.size(gram) - 1), lambda k: F.get(words_, at - 1 + k) == F.get(gram, k))
 
 
 def keyed(docs: DataFrame, prefix: str) -> DataFrame:
@@ -75,11 +107,11 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, found: str = "
     fits = sum(counts.values()) <= MOST_BROADCAST
     side = (lambda df: F.broadcast(df)) if fits else (lambda df: df)
     keyed_docs = keyed(docs, own)
-    split = keyed_docs.select(k1, k2, words("text").alias(w_))
+    split = with_hashes(keyed_docs.select(k1, k2, words("text").alias(w_)), w_, counts, own)
     if counts:
         each = reduce(
             DataFrame.unionByName,
-            [split.select(k1, k2, F.lit(n).alias("length"), F.posexplode(window_hashes(w_, n)).alias("at", "hash")) for n in sorted(counts)],
+            [split.select(k1, k2, F.lit(n).alias("length"), F.posexplode(whole_windows(f"{own}{n}", n)).alias("at", "hash")) for n in sorted(counts)],
         )
         hits = (
             each.join(side(grams), ["length", "hash"])
@@ -88,11 +120,11 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, found: str = "
         )
     else:
         hits = split.select(k1, k2, F.lit(None).cast("array<struct<at:int,length:int,gram:array<string>,items:array<string>>>").alias(hits_)).limit(0)
-    counted = keyed_docs.withColumn(n_, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_ANY_CASE)).cast("long"))
+    counted = keyed_docs.withColumn(n_, F.size(between_gaps(F.coalesce("text", F.lit("")))).cast("long"))
     both = counted.join(hits, [k1, k2], "left")
-    both = both.withColumn(w_, F.when(F.col(hits_).isNotNull(), words("text")))
-    sure = F.sort_array(F.filter(hits_, lambda x: F.slice(F.col(w_), x["at"], x["length"]) == x["gram"]))
-    both = both.withColumn(hits_, sure).drop(w_)
+    # bound by a lambda, the words are made once a text and not once a hit
+    sure = F.transform(F.array(words("text")), lambda w: F.filter(hits_, lambda x: stands_at(w, x["at"], x["gram"])))
+    both = both.withColumn(hits_, F.when(F.col(hits_).isNotNull(), F.sort_array(F.get(sure, F.lit(0)))))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(
         hits_,

@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -52,6 +53,31 @@ def test_decontamination(spark, monkeypatch, most):
     assert got == plain_hits(rows, items)
 
 
+def test_long_texts_take_time_in_proportion(spark):
+    """Neither a window nor a hit may go through the whole text again."""
+    listed = [f"w{i * 7919 % 20011}" for i in range(20_000)]
+    items = spark.createDataFrame([(1, " ".join(listed[5000:9000])), (2, " ".join(listed[8990:9003]))], "item_id long, text string")
+    docs = frame(spark, [(1, "; ".join(listed)), (2, "W0 " * 20_000)])
+    begun = time.monotonic()
+    made = {r.doc_id: r for r in decontaminate.digest(decontaminate.scan(docs, items)).collect()}
+    assert time.monotonic() - begun < 30
+    assert (made[1].n_words, made[1].n_hit, made[1].n_items, made[1].contaminated) == (20_000, 4003, 2, True)
+    assert (made[2].n_words, made[2].n_hit, made[2].contaminated) == (20_000, 0, False)
+
+
+def test_hashes_of_windows(spark):
+    """Equal windows have equal hashes wherever they stand, for all lengths; others differ."""
+    rows = [("a b a b a b c a b a b a b c d e f g h i j k l",), ("x a b a b a b c d",), ("a",), ("",), (None,)]
+    plain = spark.createDataFrame(rows, "text string").select(decontaminate.words("text").alias("w"))
+    hashed = decontaminate.with_hashes(plain, "w", range(1, 14), "h")
+    made = hashed.select("w", *[decontaminate.whole_windows(f"h{n}", n).alias(f"h{n}") for n in range(1, 14)]).collect()
+    for n in range(1, 14):
+        pairs = {(tuple(r.w[i : i + n]), h) for r in made for i, h in enumerate(r[f"h{n}"])}
+        windows = {tuple(r.w[i : i + n]) for r in made for i in range(len(r.w) - n + 1)}
+        assert len({h for _, h in pairs}) == len(pairs) and {w for w, _ in pairs} == windows
+        assert all(len(r[f"h{n}"]) == max(0, len(r.w) - n + 1) for r in made)
+
+
 def test_decontamination_of_empty_tables(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     docs = frame(spark, hard_rows())
